@@ -19,14 +19,14 @@ BROADCAST_ROWS = 200_000
 LOOKUP_SALTS = 16
 
 
-def lookup_join(big: DataFrame, small: DataFrame, on: str, max_rows: int = BROADCAST_ROWS, salts: int = LOOKUP_SALTS) -> DataFrame:
-    """Left join of `big` with `small`, unique on `on`. `small` is counted: up to `max_rows` it is broadcast, beyond that both
+def lookup_join(big: DataFrame, small: DataFrame, on: str | list[str], how: str = "left", max_rows: int = BROADCAST_ROWS, salts: int = LOOKUP_SALTS) -> DataFrame:
+    """Join (left, inner, left_semi or left_anti) of `big` with `small`. `small` is counted: up to `max_rows` it is broadcast, beyond that both
     sides are shuffled with the hot keys of `big` spread over `salts` copies of each row of `small`. A null key finds nothing."""
     if small.limit(max_rows + 1).count() <= max_rows:
-        return big.join(F.broadcast(small), on, "left")
+        return big.join(F.broadcast(small), on, how)
     spread = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int"))
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return spread.join(copies, [on, "_salt"], "left").drop("_salt")
+    return spread.join(copies, [*([on] if isinstance(on, str) else on), "_salt"], how).drop("_salt")
 
 
 def ordered_shards(df: DataFrame, keys: Sequence[str], order: Sequence[str], shard: str = "_shard", shards: int | None = None) -> DataFrame:

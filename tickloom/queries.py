@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.text import instant_micros
-from .operators import late_events, periods, redelivery, references, regrid, runs
+from .operators import late_events, periods, redelivery, references, regrid, runs, spikes
 from .sources import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,6 +81,14 @@ def p5_kept(spark: SparkSession, d: str) -> DataFrame:
     return redelivery.deliveries(table(spark, d, "raw_pages")).where("not copy").select("delivery_id", F.col("producer").alias("acquisition"), F.col("number").alias("ordinal"), "digest")
 
 
+def p6_flags(spark: SparkSession, d: str) -> DataFrame:
+    return spikes.implausible_rows(table(spark, d, "ticks"), table(spark, d, "generations"), table(spark, d, "candles"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_flags(spark, d).select("row_table", "row_id").distinct()
+
+
 def _spans(spark: SparkSession, d: str) -> DataFrame:
     days = table(spark, d, "day_inventory", "generation", "family", "duration_seconds", "first_time", "last_time", "unresolved")
     covered = F.struct(F.lit("covered").alias("span_kind"), F.col("first_time").alias("s"), F.col("last_time").alias("e"), (F.col("duration_seconds").cast("bigint") * 1_000_000).alias("more"))
@@ -100,7 +108,7 @@ def p7_periods(spark: SparkSession, d: str) -> DataFrame:
     return periods.continuous_periods(_spans(spark, d), P7_KEYS, "s", "e").drop("gap_end")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_corrected, p1_hourly, p2_found, p3_found, p3_report, p4_found, p4_grid, p5_found, p5_kept, p7_found, p7_periods)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_corrected, p1_hourly, p2_found, p3_found, p3_report, p4_found, p4_grid, p5_found, p5_kept, p6_found, p6_flags, p7_found, p7_periods)}
 
 _P1_ARRIVED = """
 WITH pages AS (SELECT regexp_replace(lower(acquisition_id), '^\\s+|\\s+$', '', 'g') AS a, ordinal AS o, min(epoch_us(receipt_time_utc)) AS k FROM raw_pages WHERE receipt_time_utc IS NOT NULL GROUP BY 1, 2),
