@@ -49,3 +49,18 @@ def sharded_neighbours(df: DataFrame, keys: Sequence[str], shard: str, order: Se
     df = df.withColumns({c: F.lag("_value", -i).over(inner) for c, i in names} | {"_border": F.lag(F.lit(1), k).over(inner).isNull() | F.lead(F.lit(1), k).over(inner).isNull()})
     outer = Window.partitionBy(*keys, F.when(~F.col("_border"), F.col(shard))).orderBy(*order)
     return df.withColumns({c: F.coalesce(F.col(c), F.lag("_value", -i).over(outer)) for c, i in names}).drop("_value", "_border")
+
+
+def running_total(df: DataFrame, keys: Sequence[str], shard: str, order: Sequence[str], amount: Column, name: str) -> DataFrame:
+    """Adds `name`, the sum of `amount` over the rows before each row of its entity (`keys`, not null).
+
+    `shard` grows with `order`. Sums run within shards; what lies before a shard comes from the totals per shard, of which an
+    entity has few.
+    """
+    inner = Window.partitionBy(*keys, shard).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumn("_amount", amount)
+    totals = df.groupBy(*keys, shard).agg(F.sum("_amount").alias("_all"))
+    before = Window.partitionBy(*keys).orderBy(shard).rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.withColumn("_before", F.coalesce(F.sum("_all").over(before), F.lit(0))).drop("_all")
+    df = df.withColumn("_here", F.sum("_amount").over(inner) - F.col("_amount"))
+    return df.join(totals, [*keys, shard]).withColumn(name, F.col("_before") + F.col("_here")).drop("_before", "_here", "_amount")
