@@ -1,0 +1,20 @@
+"""Words and lines of texts, and the common words of the languages the corpus is written in."""
+
+from __future__ import annotations
+
+import re
+
+#: Common words (articles, prepositions, pronouns, conjunctions, auxiliaries) per language.
+COMMON = {
+    "en": "a an the this that these those of in on at by to for from with without over under after before between through is are was were be been being has have had do does did not no nor or and but if so as than then when while where why how what which who whom it its he she they we you i me my your our their his her them us him some any every each all both half more most one once there here only too very just would will can could may might must should nobody never",
+    "de": "der die das den dem des ein eine einen einem einer eines und oder aber nicht kein keine ist sind war waren wird wurde wurden werden hat haben hatte hatten im in am an auf aus bei mit nach von vom vor zu zum zur über unter für um durch gegen ohne bis es er sie wir ihr ich man sich so wie als wenn weil dass ob auch noch nur schon immer muss weder danach",
+    "es": "el la los las un una unos unas de del al a en con sin por para desde hasta entre sobre tras y o ni pero si no que como cuando donde porque es era eran fue ser está estaba se su sus lo le les me mi nos nuestro nuestra este esta esto ese esa muy más ya alguien nadie otra otro cada como",
+}
+COMMON_WORDS = frozenset(w for words in COMMON.values() for w in words.split())
+
+#: A word: letters, perhaps with an inner apostrophe, not part of a name with digits or underscores.
+WORD = re.compile(r"(?<![\w'’])[^\W\d_]+(?:['’][^\W\d_]+)*(?![\w])")
+#: What a line of a list or a table starts with.
+MARK = re.compile(r"\s*(?:[-*•·–+]\s+|\[[ xX]?\]\s*|\(?\d{1,3}[.)]\s+|[a-z][.)]\s+|\|)")
+#: What a sentence ends with, closing quotes and brackets aside.
+SENTENCE_END = re.compile(r"[.!?…:][\"'”’»)\]]*\s*$")
