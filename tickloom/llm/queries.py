@@ -6,10 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import table
-from . import mixing, quality
+from . import leakage, mixing, quality
 from .words import COMMON_WORDS
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("item_id", "doc_id").distinct()
+
+
 def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, list[mixing.Plan]]:
     targets = table(spark, d, "mix_targets")
     tokens = mixing.counted(table(spark, d, "documents"), targets)
@@ -37,7 +41,7 @@ def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
     return quality.text_statistics(table(spark, d, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (p9_mixture, p9_shares, p10_found, p10_layout, p10_statistics)}
+QUERIES = {f.__name__: f for f in (p8_found, p9_mixture, p9_shares, p10_found, p10_layout, p10_statistics)}
 
 ORACLES = {
     "p10_statistics": rf"""
