@@ -36,22 +36,20 @@ STILL_RATIO = 2.5
 #: Positions in a block of the pairing, and how far a block looks back to find which details are already spent.
 BLOCK, LOOK_BACK = 65_536, 64
 
-KEYS = ["series", "entity"]
-
 
 def _pair(width: int, back: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """From outlying details ordered by series, entity, block and position to the positions within spikes."""
+    """From outlying details ordered by key, block and position to the positions within spikes."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: pd.DataFrame | None = None
 
         def spikes(df: pd.DataFrame) -> pd.DataFrame:
-            codes = pd.factorize(pd.MultiIndex.from_frame(df[[*KEYS, "block"]]))[0]
+            key, block = df["key"].to_numpy(np.int64), df["block"].to_numpy(np.int64)
             pos, u, base = df["pos"].to_numpy(np.int64), df["u"].to_numpy(float), df["prev"].to_numpy(float)
             rows, at, i, n = [], [], 0, len(df)
             while i < n:
                 height, k, end = u[i] - base[i], i + 1, -1
-                while k < n and codes[k] == codes[i] and pos[k] - pos[i] <= width:
+                while k < n and key[k] == key[i] and block[k] == block[i] and pos[k] - pos[i] <= width:
                     off = (u[k] - base[i]) / height
                     if abs(off) <= back:
                         end = k
@@ -65,13 +63,14 @@ def _pair(width: int, back: float) -> Callable[[Iterator[pd.DataFrame]], Iterato
                 rows += [i] * int(pos[end] - pos[i])
                 at += range(int(pos[i]), int(pos[end]))
                 i = end + 1
-            out = df.iloc[rows][[*KEYS, "block"]].assign(pos=np.asarray(at, np.int64))
-            return out[out["pos"] // BLOCK == out["block"]][[*KEYS, "pos"]]
+            out = pd.DataFrame({"key": key[rows], "pos": np.asarray(at, np.int64)})
+            return out[out["pos"].to_numpy() // BLOCK == block[rows]]
 
         for df in frames:  # the last group of a batch may go on in the next
+            if df.empty:
+                continue
             df = df if held is None else pd.concat([held, df], ignore_index=True)
-            last = df[[*KEYS, "block"]].iloc[-1]
-            same = (df["block"] == last["block"]) & (df["series"] == last["series"]) & ((df["entity"] == last["entity"]) | (df["entity"].isna() & pd.isna(last["entity"])))
+            same = (df["block"] == df["block"].iloc[-1]) & (df["key"] == df["key"].iloc[-1])
             held = df[same]
             if (~same).any():
                 yield spikes(df[~same].reset_index(drop=True))
@@ -81,11 +80,9 @@ def _pair(width: int, back: float) -> Callable[[Iterator[pd.DataFrame]], Iterato
     return run
 
 
-def _on(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
-    """Join on keys where null equals null."""
-    same = lambda df: df.withColumn("_entity", F.coalesce(F.concat(F.lit("="), F.col("entity").cast("string")), F.lit(""))).drop("entity")
-    joined = lookup_join(left.withColumn("_entity", F.coalesce(F.concat(F.lit("="), F.col("entity").cast("string")), F.lit(""))), same(right), ["_entity" if k == "entity" else k for k in keys], how)
-    return joined.drop("_entity")
+def _same_entity(df: DataFrame) -> DataFrame:
+    """The entity as a join key under which null equals null."""
+    return df.withColumn("_entity", F.coalesce(F.concat(F.lit("="), F.col("entity").cast("string")), F.lit("")))
 
 
 def implausible(readings: DataFrame, min_still: Mapping[str, int], *, factor: float = FACTOR, outlying: float = OUTLYING, back: float = RETURN, width: int = WIDTH, still_ratio: float = STILL_RATIO) -> DataFrame:
@@ -96,41 +93,41 @@ def implausible(readings: DataFrame, min_still: Mapping[str, int], *, factor: fl
     Repeats of a reading share its flag. Empty input gives an empty result.
     """
     readings = readings.where("u is not null")
-    levels = written(readings.where("u > 0 and not isnan(u)").groupBy(*KEYS).agg(F.percentile_approx("u", 0.5, 1000).alias("level")), "levels")
-    held = _on(readings, levels, KEYS, "left")
+    # Each series of an entity gets a number, which stands for both from here on.
+    levels = readings.groupBy("series", "entity").agg(F.percentile_approx(F.when((F.col("u") > 0) & ~F.isnan("u"), F.col("u")), 0.5, 1000).alias("level"))
+    levels = written(levels.withColumn("key", F.monotonically_increasing_id()), "levels")
+    held = lookup_join(_same_entity(readings).drop("entity"), _same_entity(levels).drop("entity"), ["series", "_entity"]).drop("_entity")
     u, level = F.col("u"), F.col("level")
-    wrong = F.isnan("u") | (u <= 0) | (F.abs("u") == float("inf")) | (u > level * factor) | (u < level / factor)
+    wrong = F.isnan("u") | (u <= 0) | (F.abs("u") == float("inf")) | F.coalesce((u > level * factor) | (u < level / factor), F.lit(False))
     impossible = held.where(wrong).select("series", "row_id", F.lit("impossible").alias("reason"))
-
-    seen = held.where(~wrong & F.col("t").isNotNull()).groupBy(*KEYS, "t", "u").agg(F.count(F.lit(1)).alias("_n")).drop("_n")
-    seen = sharded_neighbours(ordered_shards(seen, KEYS, ["t", "u"]), KEYS, "_shard", ["t", "u"], F.struct("u"), 1, 0)
-    seen = seen.withColumn("_no", F.row_number().over(Window.partitionBy(*KEYS, "_shard").orderBy("t", "u")))
-    details = written(seen.select(*KEYS, "t", "u", F.col("`_n-1`.u").alias("prev"), "_shard", "_no"), "details")
-    before = Window.partitionBy(*KEYS).orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = written(details.groupBy(*KEYS, "_shard").agg(F.count(F.lit(1)).alias("_c")).withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c"), "offsets")
-    scales = written(details.groupBy(*KEYS).agg(F.greatest(F.percentile_approx(F.abs(u - F.col("prev")), 0.5, 10_000), F.lit(1.0)).alias("scale")), "scales")
-    placed = _on(details, offsets, [*KEYS, "_shard"], "inner").withColumn("pos", F.col("_before") + F.col("_no"))
-    rare = _on(placed.where("prev <> u"), scales, KEYS, "inner").where(F.abs(u - F.col("prev")) > F.col("scale") * outlying)
+    seen = held.where(~wrong & F.col("t").isNotNull()).groupBy("key", "t", "u").agg(F.count(F.lit(1)).alias("_n")).drop("_n")
+    seen = sharded_neighbours(ordered_shards(seen, ["key"], ["t", "u"]), ["key"], "_shard", ["t", "u"], F.struct("u"), 1, 0)
+    seen = seen.withColumn("_no", F.row_number().over(Window.partitionBy("key", "_shard").orderBy("t", "u")))
+    details = written(seen.select("key", "t", "u", F.col("`_n-1`.u").alias("prev"), "_shard", "_no"), "details")
+    before = Window.partitionBy("key").orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = written(details.groupBy("key", "_shard").agg(F.count(F.lit(1)).alias("_c")).withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c"), "offsets")
+    scales = written(details.groupBy("key").agg(F.greatest(F.percentile_approx(F.abs(u - F.col("prev")), 0.5, 10_000), F.lit(1.0)).alias("scale")), "scales")
+    placed = lookup_join(details, offsets, ["key", "_shard"], "inner").withColumn("pos", F.col("_before") + F.col("_no"))
+    rare = lookup_join(placed.where("prev <> u"), scales, "key", "inner").where(F.abs(u - F.col("prev")) > F.col("scale") * outlying)
     block = F.floor(F.col("pos") / F.lit(BLOCK))
-    rare = rare.select(*KEYS, "pos", "u", "prev", F.explode(F.array_distinct(F.array(block, F.floor((F.col("pos") + LOOK_BACK) / F.lit(BLOCK))))).alias("block"))
+    rare = rare.select("key", "pos", "u", "prev", F.explode(F.array_distinct(F.array(block, F.floor((F.col("pos") + LOOK_BACK) / F.lit(BLOCK))))).alias("block"))
     # A block that ends within a spike takes the few details after its end from the next one.
     rare = rare.unionByName(rare.where((F.col("pos") % BLOCK < width) & (F.col("block") == F.floor(F.col("pos") / F.lit(BLOCK)))).withColumn("block", F.col("block") - 1))
-    pairs = rare.repartition(*KEYS, "block").sortWithinPartitions(*KEYS, "block", "pos")
-    kind = readings.schema["entity"].dataType.simpleString()
-    spiked = written(pairs.mapInPandas(_pair(width, back), f"series string, entity {kind}, pos bigint"), "spiked")
-    spikes = written(_on(placed, spiked, [*KEYS, "pos"], "left_semi").select(*KEYS, "t", "u"), "spikes")
-    spike_rows = _on(readings, spikes, [*KEYS, "t", "u"], "left_semi").select("series", "row_id", F.lit("spike").alias("reason"))
+    pairs = rare.repartition("key", "block").sortWithinPartitions("key", "block", "pos")
+    spiked = written(pairs.mapInPandas(_pair(width, back), "key bigint, pos bigint"), "spiked")
+    spikes = written(lookup_join(placed, spiked, ["key", "pos"], "left_semi").select("key", "t", "u"), "spikes")
+    spike_rows = lookup_join(held, spikes, ["key", "t", "u"], "left_semi").select("series", "row_id", F.lit("spike").alias("reason"))
 
     # Standstills: zero details in a row, spikes left out.
-    plain = _on(details.select(*KEYS, "t", "u"), spikes, [*KEYS, "t", "u"], "left_anti").withColumn("_key", F.struct(*KEYS)).withColumn("_at", F.timestamp_micros("t"))
+    plain = lookup_join(details.select("key", "t", "u"), spikes, ["key", "t", "u"], "left_anti").withColumn("_at", F.timestamp_micros("t"))
     least = max(2, int(min(min_still.values()) / still_ratio))
-    still = written(collapse_runs(plain, F.col("u"), entity="_key", time="_at", tie="u", min_records=least).select("_key.*", "value", "first_micros", "last_micros", "n_records"), "still")
-    lengths = still.select(*KEYS, "n_records").distinct()
-    shorter = F.coalesce(F.lag("n_records").over(Window.partitionBy(*KEYS).orderBy("n_records")), F.lit(0))
+    still = written(collapse_runs(plain, F.col("u"), entity="key", time="_at", tie="u", min_records=least).select("key", "value", "first_micros", "last_micros", "n_records"), "still")
+    lengths = lookup_join(still.select("key", "n_records").distinct(), levels.select("key", "series"), "key", "inner")
+    shorter = F.coalesce(F.lag("n_records").over(Window.partitionBy("key").orderBy("n_records")), F.lit(0))
     floor = F.create_map(*[x for k, v in min_still.items() for x in (F.lit(k), F.lit(v))])[F.col("series")]
-    from_ = lengths.withColumn("_s", shorter).where((F.col("n_records") >= floor) & (F.col("n_records") >= F.col("_s") * still_ratio)).groupBy(*KEYS).agg(F.min("n_records").alias("_from"))
-    long = written(_on(still, written(from_, "from"), KEYS, "inner").where("n_records >= _from").select(*KEYS, F.col("value").alias("u"), "first_micros", "last_micros"), "long")
-    still_rows = _on(readings, long, [*KEYS, "u"], "inner").where("t between first_micros and last_micros").select("series", "row_id", F.lit("still").alias("reason"))
+    from_ = lengths.withColumn("_s", shorter).where((F.col("n_records") >= floor) & (F.col("n_records") >= F.col("_s") * still_ratio)).groupBy("key").agg(F.min("n_records").alias("_from"))
+    long = written(lookup_join(still, written(from_, "from"), "key", "inner").where("n_records >= _from").select("key", F.col("value").alias("u"), "first_micros", "last_micros"), "long")
+    still_rows = lookup_join(held, long, ["key", "u"], "inner").where("t between first_micros and last_micros").select("series", "row_id", F.lit("still").alias("reason"))
     return impossible.unionByName(spike_rows).unionByName(still_rows).distinct()
 
 
