@@ -31,7 +31,8 @@ def lookup_join(big: DataFrame, small: DataFrame, on: str | list[str], how: str
 
 def ordered_shards(df: DataFrame, keys: Sequence[str], order: Sequence[str], shard: str = "_shard", shards: int | None = None) -> DataFrame:
     """`df` with a shard number: shards are ranges of (keys, order) of about equal row counts, so an entity with a third of
-    the rows spans a third of the shards, and rows tied in `order` up to its last column can still be parted."""
+    the rows spans a third of the shards, and rows tied in `order` up to its last column can still be parted. The ranges are
+    sampled anew by every plan, so the result may be read once only in a plan (write it to read it twice)."""
     n = shards or shuffle_width(df.sparkSession)
     return df.repartitionByRange(n, *keys, *order).withColumn(shard, F.spark_partition_id())
 
@@ -51,16 +52,26 @@ def sharded_neighbours(df: DataFrame, keys: Sequence[str], shard: str, order: Se
     return df.withColumns({c: F.coalesce(F.col(c), F.lag("_value", -i).over(outer)) for c, i in names}).drop("_value", "_border")
 
 
-def running_total(df: DataFrame, keys: Sequence[str], shard: str, order: Sequence[str], amount: Column, name: str) -> DataFrame:
-    """Adds `name`, the sum of `amount` over the rows before each row of its entity (`keys`, not null).
+def running(df: DataFrame, keys: Sequence[str], shard: str, order: Sequence[str], amount: Column, name: str, how: str = "sum") -> DataFrame:
+    """Adds `name`, the `sum` or `max` of `amount` over the rows before each row of its entity (`keys`; null is a key of its own).
 
-    `shard` grows with `order`. Sums run within shards; what lies before a shard comes from the totals per shard, of which an
-    entity has few.
+    `shard` grows with `order` and must be the same whenever it is computed (a function of the row, not a sampled range), for the
+    rows are read twice. It runs within shards; what lies before a shard comes from the totals per shard, of which an
+    entity has few. Before the first row a sum is 0 and a maximum null.
     """
-    inner = Window.partitionBy(*keys, shard).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn("_amount", amount)
-    totals = df.groupBy(*keys, shard).agg(F.sum("_amount").alias("_all"))
+    f = {"sum": F.sum, "max": F.max}[how]
+    inner = Window.partitionBy(*keys, shard).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    last = Window.partitionBy(*keys, shard).orderBy(*order)
+    df = df.withColumn("_amount", amount).withColumn("_here", f("_amount").over(inner)).withColumn("_tail", F.lead(F.lit(1)).over(last).isNull())
+    # The last row of each shard knows the shard's total; those rows alone meet per entity.
+    total = F.when(F.col("_tail"), F.coalesce(F.col("_here") + F.col("_amount"), "_amount", "_here") if how == "sum" else F.greatest("_here", "_amount"))
+    totals = df.where("_tail").select(*keys, shard, total.alias("_all"))
     before = Window.partitionBy(*keys).orderBy(shard).rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.withColumn("_before", F.coalesce(F.sum("_all").over(before), F.lit(0))).drop("_all")
-    df = df.withColumn("_here", F.sum("_amount").over(inner) - F.col("_amount"))
-    return df.join(totals, [*keys, shard]).withColumn(name, F.col("_before") + F.col("_here")).drop("_before", "_here", "_amount")
+    totals = totals.withColumn("_before", f("_all").over(before)).drop("_all")
+    totals = totals.select(F.col(shard).alias("_of"), "_before", *[F.col(k).alias(f"_of_{k}") for k in keys])
+    on = F.col(shard) == F.col("_of")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    joined = df.drop("_tail").join(totals, on, "left").drop("_of", *[f"_of_{k}" for k in keys])
+    value = F.coalesce("_before", F.lit(0)) + F.coalesce("_here", F.lit(0)) if how == "sum" else F.greatest("_before", "_here")
+    return joined.withColumn(name, value).drop("_before", "_here", "_amount")
