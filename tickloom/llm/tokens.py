@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import base64
+import sys
+import types
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -16,14 +17,16 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 
 
-@lru_cache(4)
 def encoding(path: str, pattern: str = PATTERN):
-    """The byte-level BPE of a file with one `base64 rank` a line."""
+    """The byte-level BPE of a file with one `base64 rank` a line, read once in each process."""
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f) if a}
-    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    held = vars(sys.modules.setdefault("_tickloom_encodings", types.ModuleType("_tickloom_encodings")))
+    if (path, pattern) not in held:
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        held[path, pattern] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return held[path, pattern]
 
 
 #: Texts are cut at white space into pieces of about so many characters before they are encoded, for even work per call.
