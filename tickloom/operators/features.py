@@ -47,6 +47,9 @@ class Settings:
 
 SETTINGS = Settings()
 
+#: Added before rounding where exact ties are common, so that they go up whatever the order of summation.
+TIE = 1e-9
+
 
 def by_row() -> WindowSpec:
     return Window.partitionBy(E).orderBy("ordinal")
@@ -167,7 +170,7 @@ def rolling(c: DataFrame, s: Settings = SETTINGS) -> DataFrame:
         way = F.sum(F.abs("_r")).over(last(n))
         out[f"directional_efficiency_{n}"] = F.when(full("_r", n), six(F.when(way > 0, F.least(F.abs(bps_change(close, back)) / way, F.lit(1.0)))))
         out[f"abs_return_mean_{n}_bps"] = F.when(full("_r", n), six(F.avg(F.abs("_r")).over(last(n))))
-        out[f"range_mean_{n}_bps"] = F.when(full("range_bps", n), six(F.avg("range_bps").over(last(n))))
+        out[f"range_mean_{n}_bps"] = F.when(full("range_bps", n), six(F.avg("range_bps").over(last(n)) + TIE))
         out[f"tick_volume_mean_{n}"] = F.when(full("tick_volume", n), six(F.avg("tick_volume").over(last(n))))
     c = c.withColumns(out)
     ratio = F.when(F.col("range_mean_20_bps") > 0, six(F.col("range_mean_5_bps") / F.col("range_mean_20_bps")))
@@ -202,7 +205,7 @@ def statistics(c: DataFrame, s: Settings = SETTINGS) -> DataFrame:
         rows = F.count("_x").over(f) == n
         still = F.max("close_units").over(f) == F.min("close_units").over(f)
         slope, icept = F.regr_slope(close, F.col("_x")).over(f), F.regr_intercept(close, F.col("_x")).over(f)
-        out[f"trend_r2_{n}"] = F.when(rows & ~still, F.round(F.regr_r2(close, F.col("_x")).over(f), 4))
+        out[f"trend_r2_{n}"] = F.when(rows & ~still, F.round(F.regr_r2(close, F.col("_x")).over(f) + TIE, 4))
         out[f"trend_residual_{n}_bps"] = F.when(rows & (close != 0), F.round((close - (icept + slope * F.col("_x"))) / close * 10_000, 4))
         top, low = F.max("high_units").over(f), F.min("low_units").over(f)
         out[f"range_position_{n}"] = F.when(rows & (top > low), six((F.col("close_units") - low) / (top - low)))
