@@ -52,26 +52,26 @@ def sharded_neighbours(df: DataFrame, keys: Sequence[str], shard: str, order: Se
     return df.withColumns({c: F.coalesce(F.col(c), F.lag("_value", -i).over(outer)) for c, i in names}).drop("_value", "_border")
 
 
-def running(df: DataFrame, keys: Sequence[str], shard: str, order: Sequence[str], amount: Column, name: str, how: str = "sum") -> DataFrame:
-    """Adds `name`, the `sum` or `max` of `amount` over the rows before each row of its entity (`keys`; null is a key of its own).
+def running(df: DataFrame, keys: Sequence[str], shard: str, order: Sequence[str], amounts: dict[str, Column], how: str = "sum") -> DataFrame:
+    """Adds for each name in `amounts` the `sum` or `max` of its column over the rows before each row of its entity (`keys`; null is a key of its own).
 
     `shard` grows with `order` and must be the same whenever it is computed (a function of the row, not a sampled range), for the
     rows are read twice. It runs within shards; what lies before a shard comes from the totals per shard, of which an
     entity has few. Before the first row a sum is 0 and a maximum null.
     """
     f = {"sum": F.sum, "max": F.max}[how]
-    inner = Window.partitionBy(*keys, shard).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    last = Window.partitionBy(*keys, shard).orderBy(*order)
-    df = df.withColumn("_amount", amount).withColumn("_here", f("_amount").over(inner)).withColumn("_tail", F.lead(F.lit(1)).over(last).isNull())
-    # The last row of each shard knows the shard's total; those rows alone meet per entity.
-    total = F.when(F.col("_tail"), F.coalesce(F.col("_here") + F.col("_amount"), "_amount", "_here") if how == "sum" else F.greatest("_here", "_amount"))
-    totals = df.where("_tail").select(*keys, shard, total.alias("_all"))
+    zero = lambda c: F.coalesce(c, F.lit(0)) if how == "sum" else c
+    both = lambda a, b: zero(a) + zero(b) if how == "sum" else F.greatest(a, b)
+    at = {name: f"_{k}" for k, name in enumerate(amounts)}
+    by = Window.partitionBy(*keys, shard).orderBy(*order)
+    df = df.withColumns({f"_amount{i}": amounts[n] for n, i in at.items()})
+    df = df.withColumns({f"_here{i}": f(f"_amount{i}").over(by.rowsBetween(Window.unboundedPreceding, -1)) for i in at.values()} | {"_tail": F.lead(F.lit(1)).over(by).isNull()})
+    # The last row of each shard knows the shard's totals; those rows alone meet per entity.
+    totals = df.where("_tail").select(*keys, shard, *[both(F.col(f"_here{i}"), F.col(f"_amount{i}")).alias(f"_all{i}") for i in at.values()])
     before = Window.partitionBy(*keys).orderBy(shard).rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.withColumn("_before", f("_all").over(before)).drop("_all")
-    totals = totals.select(F.col(shard).alias("_of"), "_before", *[F.col(k).alias(f"_of_{k}") for k in keys])
+    totals = totals.select(F.col(shard).alias("_of"), *[F.col(k).alias(f"_of_{k}") for k in keys], *[f(f"_all{i}").over(before).alias(f"_before{i}") for i in at.values()])
     on = F.col(shard) == F.col("_of")
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
-    joined = df.drop("_tail").join(totals, on, "left").drop("_of", *[f"_of_{k}" for k in keys])
-    value = F.coalesce("_before", F.lit(0)) + F.coalesce("_here", F.lit(0)) if how == "sum" else F.greatest("_before", "_here")
-    return joined.withColumn(name, value).drop("_before", "_here", "_amount")
+    joined = df.drop("_tail", *[f"_amount{i}" for i in at.values()]).join(totals, on, "left").drop("_of", *[f"_of_{k}" for k in keys])
+    return joined.withColumns({n: both(F.col(f"_before{i}"), F.col(f"_here{i}")) for n, i in at.items()}).drop(*[f"{p}{i}" for i in at.values() for p in ("_before", "_here")])

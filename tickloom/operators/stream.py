@@ -51,7 +51,7 @@ def classified(ticks: DataFrame, generations: DataFrame) -> DataFrame:
         "_bad", F.when(F.col("t").isNull() | F.col("price").isNull(), "missing_value").when(F.col("_scale").isNull(), "unknown_scale").when(~exact, "off_scale")
     )
     rows = rows.withColumn("_shard", F.floor(F.col("seq") / F.lit(SHARD_ARRIVALS)))
-    rows = running(rows, [E], "_shard", ["seq"], F.when(F.col("_bad").isNull(), F.col("t")), "_newest", "max")
+    rows = running(rows, [E], "_shard", ["seq"], {"_newest": F.when(F.col("_bad").isNull(), F.col("t"))}, "max")
     late = F.coalesce(F.col("t") < F.col("_newest"), F.lit(False))
     rows = rows.withColumn("_bad", F.coalesce("_bad", F.when(late, "backwards_time")))
     at = Window.partitionBy(E, "t", F.col("_bad").isNull()).orderBy("seq")
@@ -82,7 +82,7 @@ def moves(records: DataFrame, checks: Checks = CHECKS) -> DataFrame:
         context.alias("context"), relative_move(prev["units"], F.col("units")).alias("bps"), F.abs(bps_change(F.col("units"), prev["units"])).alias("exact_bps"),
     )
     breaks = F.coalesce((F.col("before") != F.col("units")).cast("int"), F.lit(1))
-    return running(rows, [E], "_shard", ["t", "seq"], breaks, "_runs", "sum").withColumn("run", F.col("_runs") + breaks).drop("_runs", "_shard")
+    return running(rows, [E], "_shard", ["t", "seq"], {"_runs": breaks}).withColumn("run", F.col("_runs") + breaks).drop("_runs", "_shard")
 
 
 def candles(records: DataFrame, duration: int = 60, offset: int = 0, checks: Checks = CHECKS, moved: DataFrame | None = None) -> DataFrame:
