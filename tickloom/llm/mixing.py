@@ -82,7 +82,7 @@ def mixture(tokens: DataFrame, plans: list[Plan], block_tokens: int = BLOCK_TOKE
     rows = tokens.where("n_tokens > 0").join(F.broadcast(quotas), "source").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
     rows = rows.withColumn("_order", F.xxhash64(F.lit(seed), "doc_id", "copy"))
     rows = rows.withColumn("_bucket", F.shiftright("_order", 64 - BUCKETS.bit_length() + 1))
-    rows = running(rows, ["source", "copy"], "_bucket", ["_order", "doc_id"], F.col("n_tokens"), "_start")
+    rows = running(rows, ["source", "copy"], "_bucket", ["_order", "doc_id"], {"_start": F.col("n_tokens")})
     rows = rows.withColumn("_at", F.col("copy") * F.col("_all") + F.col("_start")).where(2 * F.col("_at") + F.col("n_tokens") <= 2 * F.col("_quota"))
     rows = rows.select("source", F.floor(F.col("_at") / block_tokens).cast("bigint").alias("block"), "doc_id", "copy", "n_tokens")
 
@@ -98,7 +98,7 @@ def mixture(tokens: DataFrame, plans: list[Plan], block_tokens: int = BLOCK_TOKE
     for s, e in reversed(edges[:-1]):
         pick = F.when(point < e, F.lit(s)).otherwise(pick)
     schedule = spark.range(slots if edges else 0).withColumnRenamed("id", "slot").withColumn("source", pick).withColumn("_shard", F.floor(F.col("slot") / SLOTS))
-    schedule = running(schedule, ["source"], "_shard", ["slot"], F.lit(1), "block").select("source", "block", "slot")
+    schedule = running(schedule, ["source"], "_shard", ["slot"], {"block": F.lit(1)}).select("source", "block", "slot")
     # Should a block find no slot all the same, it comes after the schedule.
     return rows.join(schedule, ["source", "block"], "left").withColumn("slot", F.coalesce("slot", F.lit(slots) + F.col("block"))).select("slot", "source", "block", "doc_id", "copy", "n_tokens")
 
