@@ -41,7 +41,7 @@ def retractions(ticks: DataFrame, period: int = 300_000_000, cutoff: int = 1_800
     rows = ticks.where("event_time_micros is not null and generation is not null").withWatermark("event_time_micros", f"{cutoff // 1_000_000} seconds").select("generation", start.alias("p"), "event_time_micros", F.coalesce("price", F.lit(0.0)).alias("price"))
 
     def change(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        generation, p = key
+        generation, p = key[0], int(key[1])
         if state.hasTimedOut:
             state.remove()
             return
@@ -49,6 +49,7 @@ def retractions(ticks: DataFrame, period: int = 300_000_000, cutoff: int = 1_800
         more, extra = 0, 0.0
         for df in frames:
             more, extra = more + len(df), extra + float(df["price"].sum())
+        version, n, total = int(version), int(n), float(total)
         out = ([(generation, p, version + 1, -1, n, total)] if version >= 0 else []) + [(generation, p, version + 1, 1, n + more, total + extra)]
         state.update((version + 1, n + more, total + extra))
         due = (p + period + cutoff) // 1000
