@@ -171,6 +171,14 @@ def _weighted(idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
     return np.vstack([basis * idf[:, None], np.zeros((1, basis.shape[1]))]).astype(np.float32)
 
 
+def _summed(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Sum of the table's rows that each row picks, column by column, so that no array of all picked rows is made."""
+    out = table[rows[:, 0]]
+    for j in range(1, rows.shape[1]):
+        out += table[rows[:, j]]
+    return out
+
+
 def _gram_times(idf: np.ndarray, basis: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """This task's part of A' A basis, where A has a row of unit length per passage."""
     size, width = len(idf), basis.shape[1]
@@ -181,10 +189,10 @@ def _gram_times(idf: np.ndarray, basis: np.ndarray) -> Callable[[Iterator[pa.Rec
         for b in batches:
             for flat, lengths, _ in _batches(b):
                 rows = blocks(flat, lengths, 2 * BLOCK)[0]
-                for lo in range(0, len(rows), 2_000):
-                    m = rows[lo : lo + 2_000]
+                for lo in range(0, len(rows), 500):
+                    m = rows[lo : lo + 500]
                     norm = squares[m].sum(1)
-                    z = table[m].sum(1) / np.maximum(norm, 1e-9)[:, None]
+                    z = _summed(table, m) / np.maximum(norm, 1e-9)[:, None]
                     ids = m.ravel()
                     order = np.argsort(ids, kind="stable")
                     order = order[np.searchsorted(ids[order], 0) :]
@@ -251,16 +259,18 @@ def candidates(flat: np.ndarray, lengths: np.ndarray, index: Index, table: np.nd
     """Pairs (document, item) of some passages' cosine of at least `cosine`, as rows of two numbers."""
     rows, own = blocks(flat, lengths, BLOCK)
     found = []
-    for lo in range(0, len(rows), 4_096):
-        s = table[rows[lo : lo + 4_097]].sum(1)  # one more, for the passage that begins in the last block
-        o = own[lo : lo + 4_097]
+    step = 1_024
+    for lo in range(0, len(rows), step):
+        s = _summed(table, rows[lo : lo + step + 1])  # one more, for the passage that begins in the last block
+        o = own[lo : lo + step + 1]
         x = s.copy()
         same = o[1:] == o[:-1]
         x[:-1][same] += s[1:][same]
-        x, o = x[:4_096], o[:4_096]
-        near = np.maximum.reduceat(_unit(x) @ index.queries.T, index.first, axis=1)
-        d, i = np.nonzero(near >= cosine)
-        found.append(np.stack([o[d], i], 1))
+        near = _unit(x[:step]) @ index.queries.T
+        some = np.flatnonzero(near.max(1) >= cosine)
+        if len(some):
+            d, i = np.nonzero(np.maximum.reduceat(near[some], index.first, axis=1) >= cosine)
+            found.append(np.stack([o[some[d]], i], 1))
     return np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
 
 
