@@ -215,8 +215,8 @@ class Index:
     first: np.ndarray
 
 
-def latent_basis(numbers: DataFrame, size: int, rank: int = RANK, fit_passages: int = FIT_PASSAGES, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
-    """idf over all passages, and the leading right singular vectors by a randomised SVD (range of A'A, then Rayleigh-Ritz)."""
+def latent_basis(numbers: DataFrame, size: int, rank: int = RANK, fit_passages: int = FIT_PASSAGES, seed: int = 42, powers: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """idf over all passages, and the leading right singular vectors by a randomised SVD (range of (A'A)^powers, then Rayleigh-Ritz)."""
     counts = {r[0]: r[1] for r in numbers.mapInArrow(_frequencies(size), "word bigint, n bigint").groupBy("word").agg(F.sum("n")).collect()}  # a row a word of the items
     n = counts.pop(-1, 0)
     df = np.zeros(size)
@@ -235,7 +235,9 @@ def latent_basis(numbers: DataFrame, size: int, rank: int = RANK, fit_passages:
         parts = fit.mapInArrow(_gram_times(idf, basis), "part binary").collect()  # FIT_TASKS matrices of words x width
         return sum(np.frombuffer(p[0], np.float32).reshape(size, -1).astype(float) for p in parts)
 
-    q = np.linalg.qr(times(np.linalg.qr(np.random.default_rng(seed).standard_normal((size, width)))[0]))[0]
+    q = np.linalg.qr(np.random.default_rng(seed).standard_normal((size, width)))[0]
+    for _ in range(powers):
+        q = np.linalg.qr(times(q))[0]
     values, vectors = np.linalg.eigh((lambda t: (t + t.T) / 2)(q.T @ times(q)))
     return idf, (q @ vectors[:, ::-1])[:, :rank]
 

@@ -117,7 +117,7 @@ def text_layout(documents: DataFrame, text: str = "text") -> DataFrame:
 
 def not_prose(documents: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """Ids of documents less than half of whose characters are prose; empty and null texts aren't among them."""
-    return text_layout(documents.select(id, text), text).where(F.trim(F.col(text)) != "").where("prose_share < 0.5").select(id)
+    return text_layout(documents.select(id, text), text).where(F.col(text).rlike(r"\S")).where("prose_share < 0.5").select(id)
 
 
 def text_statistics(documents: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
