@@ -78,6 +78,37 @@ def test_neighbouring_spikes_do_not_pair_across(spark, gap):
     assert flagged(spark, rows) == {(100, "spike"), (100 + gap, "spike")}
 
 
+def test_spikes_at_the_ends_of_a_series(spark):
+    rows = walk(200)
+    for k in (0, 1, 197, 198, 199):
+        rows[k][3] += 600
+    assert flagged(spark, rows) == {(k, "spike") for k in (0, 1, 197, 198, 199)}
+    rows = walk(200)
+    for k in (0, 1, 2, 3, 196, 197, 198, 199):  # mirrored, these are away for seven readings
+        rows[k][3] += 600
+    assert flagged(spark, rows) == set()
+
+
+def test_wrong_extreme_and_change_of_level_at_the_ends_of_candles(spark):
+    schema = "generation string, open_time_micros bigint, candle_id bigint, open_units bigint, high_units bigint, low_units bigint, close_units bigint"
+
+    def candles(entity, first):
+        low = [r[3] for r in walk(60, first + 1)]
+        return [[entity, k * 60_000_000, first + k, int(x) + 1, int(x) + 4, int(x), int(x) + 3] for k, x in enumerate(low)]
+
+    rows = candles("a", 0) + candles("b", 100) + candles("c", 200)
+    rows[0][5] -= 900  # a: a wrong low at the start, two wrong highs of different heights at the end
+    rows[58][4] += 300
+    rows[59][4] += 2_000
+    for k in (60, 119):  # b: levels that change in the first and the last candle, with open and close
+        rows[k][3:] = [x + 700 for x in rows[k][3:]]
+    rows[179][4] += 10  # c: nothing far out
+    ticks = spark.createDataFrame([], "generation string, event_time_micros timestamp, price double, tick_id bigint")
+    gens = spark.createDataFrame([], "generation string, price_scale int")
+    frame = spark.createDataFrame(rows, schema).selectExpr("generation", "timestamp_micros(open_time_micros) as open_time_micros", "candle_id", "open_units", "high_units", "low_units", "close_units")
+    assert sorted(tuple(r) for r in spikes.implausible_rows(ticks, gens, frame).collect()) == [("candles", k, "spike") for k in (0, 58, 59)]
+
+
 def test_rows_of_both_tables(spark):
     ticks = spark.createDataFrame([], "generation string, event_time_micros timestamp, price double, tick_id bigint")
     gens = spark.createDataFrame([], "generation string, price_scale int")

@@ -3,7 +3,9 @@
 Each series of a source is taken through the undecimated Haar transform at its finest scale, where the detail at a reading is its
 step from the one before. Details are scaled by their median absolute value in the series. A spike is a pair of outlying
 details of opposite sign a few readings apart between which the series is away from, and after which it is back at, its
-level; a lasting change of level has one outlying detail only, and livelier stretches none. Runs of zero detail are standstills
+level; a lasting change of level has one outlying detail only, and livelier stretches none. At the ends of a series, where the
+other edge is missing, a reading's own level (a candle's open and close) tells a spike from a change of level, and where it has none the series
+is mirrored about its first and last reading. Runs of zero detail are standstills
 if they are far longer than any other of the series. Bounds around the series' median find values that can be no price.
 
 Readings repeated at one instant count as one. Series are ordered in range shards; only outlying details, which are rare by
@@ -37,8 +39,9 @@ STILL_RATIO = 2.5
 BLOCK, LOOK_BACK = 65_536, 64
 
 
-def _pair(width: int, back: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """From outlying details ordered by key, block and position to the positions within spikes."""
+def _pair(width: int, back: float, outlying: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """From outlying details ordered by key, block and position to the positions within spikes. Positions at an end of the series, whose spike has
+    one edge only, come with the least distance from their own level (`least`) and whether they are spikes without such a level (`mirrored`)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: pd.DataFrame | None = None
@@ -46,24 +49,39 @@ def _pair(width: int, back: float) -> Callable[[Iterator[pd.DataFrame]], Iterato
         def spikes(df: pd.DataFrame) -> pd.DataFrame:
             key, block = df["key"].to_numpy(np.int64), df["block"].to_numpy(np.int64)
             pos, u, base = df["pos"].to_numpy(np.int64), df["u"].to_numpy(float), df["prev"].to_numpy(float)
-            rows, at, i, n = [], [], 0, len(df)
+            last, scale = df["n"].to_numpy(np.int64), df["scale"].to_numpy(float)
+            rows, at, least, mirrored, i, n = [], [], [], [], 0, len(df)
+
+            def add(first: int, to: int, distance: float, mirror: bool) -> None:
+                rows.extend([i] * (to - first))
+                at.extend(range(first, to))
+                least.extend([distance] * (to - first))
+                mirrored.extend([mirror] * (to - first))
+
             while i < n:
-                height, k, end = u[i] - base[i], i + 1, -1
+                height, k, end, away = u[i] - base[i], i + 1, -1, True
                 while k < n and key[k] == key[i] and block[k] == block[i] and pos[k] - pos[i] <= width:
                     off = (u[k] - base[i]) / height
                     if abs(off) <= back:
                         end = k
                         break
                     if off < 0.5:
+                        away = False
                         break
                     k += 1
                 if end < 0:
-                    i += 1
+                    distance = max(scale[i] * outlying, abs(height) * (1 - back))
+                    head, tail = int(pos[i]) - 1, int(last[i] - pos[i]) + 1  # readings before and from this detail on
+                    ends = away and tail <= width
+                    if head <= width and (i == 0 or key[i - 1] != key[i] or block[i - 1] != block[i]):
+                        add(1, head + 1, distance, 2 * head - 1 <= width and head < tail)
+                    if ends:
+                        add(head + 1, head + tail + 1, distance, 2 * tail - 1 <= width and tail < head)
+                    i = k if ends else i + 1
                     continue
-                rows += [i] * int(pos[end] - pos[i])
-                at += range(int(pos[i]), int(pos[end]))
+                add(int(pos[i]), int(pos[end]), -1.0, True)
                 i = end + 1
-            out = pd.DataFrame({"key": key[rows], "pos": np.asarray(at, np.int64)})
+            out = pd.DataFrame({"key": key[rows], "pos": np.asarray(at, np.int64), "least": np.asarray(least, float), "mirrored": np.asarray(mirrored, bool)})
             return out[out["pos"].to_numpy() // BLOCK == block[rows]]
 
         for df in frames:  # the last group of a batch may go on in the next
@@ -90,9 +108,12 @@ def implausible(readings: DataFrame, min_still: Mapping[str, int], *, factor: fl
 
     t: micros, u: double. Null values are no cases; non-finite ones are impossible. Readings without t are only held against the
     bounds. `min_still`: readings that a standstill of a series has at least. A null entity is an entity of its own.
-    Repeats of a reading share its flag. Empty input gives an empty result.
+    Repeats of a reading share its flag. Empty input gives an empty result. A column `own` (double), if there is one, is a level
+    that the reading itself tells, null where it tells none; it decides at the ends of a series.
     """
     readings = readings.where("u is not null")
+    if "own" not in readings.columns:
+        readings = readings.withColumn("own", F.lit(None).cast("double"))
     # Each series of an entity gets a number, which stands for both from here on.
     levels = readings.groupBy("series", "entity").agg(F.percentile_approx(F.when((F.col("u") > 0) & ~F.isnan("u"), F.col("u")), 0.5, 1000).alias("level"))
     levels = written(levels.withColumn("key", F.monotonically_increasing_id()), "levels")
@@ -100,22 +121,24 @@ def implausible(readings: DataFrame, min_still: Mapping[str, int], *, factor: fl
     u, level = F.col("u"), F.col("level")
     wrong = F.isnan("u") | (u <= 0) | (F.abs("u") == float("inf")) | F.coalesce((u > level * factor) | (u < level / factor), F.lit(False))
     impossible = held.where(wrong).select("series", "row_id", F.lit("impossible").alias("reason"))
-    seen = held.where(~wrong & F.col("t").isNotNull()).groupBy("key", "t", "u").agg(F.count(F.lit(1)).alias("_n")).drop("_n")
+    seen = held.where(~wrong & F.col("t").isNotNull()).groupBy("key", "t", "u").agg(F.max("own").alias("own"))
     seen = sharded_neighbours(ordered_shards(seen, ["key"], ["t", "u"]), ["key"], "_shard", ["t", "u"], F.struct("u"), 1, 0)
     seen = seen.withColumn("_no", F.row_number().over(Window.partitionBy("key", "_shard").orderBy("t", "u")))
-    details = written(seen.select("key", "t", "u", F.col("`_n-1`.u").alias("prev"), "_shard", "_no"), "details")
+    details = written(seen.select("key", "t", "u", "own", F.col("`_n-1`.u").alias("prev"), "_shard", "_no"), "details")
     before = Window.partitionBy("key").orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)
     offsets = written(details.groupBy("key", "_shard").agg(F.count(F.lit(1)).alias("_c")).withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c"), "offsets")
-    scales = written(details.groupBy("key").agg(F.greatest(F.percentile_approx(F.abs(u - F.col("prev")), 0.5, 10_000), F.lit(1.0)).alias("scale")), "scales")
+    scales = written(details.groupBy("key").agg(F.greatest(F.percentile_approx(F.abs(u - F.col("prev")), 0.5, 10_000), F.lit(1.0)).alias("scale"), F.count(F.lit(1)).alias("n")), "scales")
     placed = lookup_join(details, offsets, ["key", "_shard"], "inner").withColumn("pos", F.col("_before") + F.col("_no"))
     rare = lookup_join(placed.where("prev <> u"), scales, "key", "inner").where(F.abs(u - F.col("prev")) > F.col("scale") * outlying)
     block = F.floor(F.col("pos") / F.lit(BLOCK))
-    rare = rare.select("key", "pos", "u", "prev", F.explode(F.array_distinct(F.array(block, F.floor((F.col("pos") + LOOK_BACK) / F.lit(BLOCK))))).alias("block"))
+    rare = rare.select("key", "pos", "u", "prev", "scale", "n", F.explode(F.array_distinct(F.array(block, F.floor((F.col("pos") + LOOK_BACK) / F.lit(BLOCK))))).alias("block"))
     # A block that ends within a spike takes the few details after its end from the next one.
     rare = rare.unionByName(rare.where((F.col("pos") % BLOCK < width) & (F.col("block") == F.floor(F.col("pos") / F.lit(BLOCK)))).withColumn("block", F.col("block") - 1))
     pairs = rare.repartition("key", "block").sortWithinPartitions("key", "block", "pos")
-    spiked = written(pairs.mapInPandas(_pair(width, back), "key bigint, pos bigint"), "spiked")
-    spikes = written(lookup_join(placed, spiked, ["key", "pos"], "left_semi").select("key", "t", "u"), "spikes")
+    spiked = written(pairs.mapInPandas(_pair(width, back, outlying), "key bigint, pos bigint, least double, mirrored boolean"), "spiked")
+    spiked = lookup_join(placed, spiked, ["key", "pos"], "inner")
+    told = F.coalesce(F.abs(u - F.col("own")) > F.col("least"), F.col("mirrored"))
+    spikes = written(spiked.where(told).select("key", "t", "u"), "spikes")
     spike_rows = lookup_join(held, spikes, ["key", "t", "u"], "left_semi").select("series", "row_id", F.lit("spike").alias("reason"))
 
     # Standstills: zero details in a row, spikes left out.
@@ -132,13 +155,14 @@ def implausible(readings: DataFrame, min_still: Mapping[str, int], *, factor: fl
 
 
 def market_readings(ticks: DataFrame, generations: DataFrame, candles: DataFrame) -> DataFrame:
-    """The series of ticks (prices at price_scale) and candles (high and low) of each generation."""
+    """The series of ticks (prices at price_scale) and candles (high and low, with the nearer of open and close as their own level) of each generation."""
     scales = generations.groupBy("generation").agg(F.max("price_scale").alias("_scale"))
     t = lookup_join(ticks.select("generation", "event_time_micros", "price", "tick_id"), scales, "generation")
     t = t.select(F.lit("ticks").alias("series"), F.col("generation").alias("entity"), F.unix_micros("event_time_micros").alias("t"), price_units(F.col("price"), F.col("_scale")).alias("u"), F.col("tick_id").alias("row_id"))
-    both = F.explode(F.array(*[F.struct(F.lit(f"candles.{k}").alias("s"), F.col(f"{k}_units").cast("double").alias("u")) for k in ("high", "low")]))
-    c = candles.select("generation", "open_time_micros", "candle_id", both.alias("x")).select(F.col("x.s").alias("series"), F.col("generation").alias("entity"), F.unix_micros("open_time_micros").alias("t"), F.col("x.u").alias("u"), F.col("candle_id").alias("row_id"))
-    return t.unionByName(c)
+    own = lambda f: (f("open_units", "close_units") if {"open_units", "close_units"} <= set(candles.columns) else F.lit(None)).cast("double")
+    both = F.explode(F.array(*[F.struct(F.lit(f"candles.{k}").alias("s"), F.col(f"{k}_units").cast("double").alias("u"), own(f).alias("own")) for k, f in (("high", F.greatest), ("low", F.least))]))
+    c = candles.select("generation", "open_time_micros", "candle_id", both.alias("x")).select(F.col("x.s").alias("series"), F.col("generation").alias("entity"), F.unix_micros("open_time_micros").alias("t"), F.col("x.u").alias("u"), F.col("candle_id").alias("row_id"), F.col("x.own").alias("own"))
+    return t.withColumn("own", F.lit(None).cast("double")).unionByName(c)
 
 
 def implausible_rows(ticks: DataFrame, generations: DataFrame, candles: DataFrame) -> DataFrame:
