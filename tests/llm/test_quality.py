@@ -41,6 +41,24 @@ def test_repetition():
     assert layout(None) == layout("") == layout(" \n ") == (0.0, 0.0, 0.0, 0.0)
 
 
+@pytest.mark.parametrize("text", ["the log\n" * 200, "plan de rasgos\n" * 200, "\n\n".join(["the log of the plan"] * 200), "\n".join(f"the log {k}" for k in range(200)), "\n".join(["we saw it", "nobody was there", "this is the plan", "it had to be so"][k * k // 3 % 4] for k in range(200))])
+def test_short_repeated_lines_are_no_prose(text):
+    assert layout(text)[3] < 0.1
+
+
+@pytest.mark.parametrize("name", PROSE)
+def test_prose_filed_again_in_a_text_or_word_by_word_stays_prose(name):
+    assert layout("\n\n".join([PROSE[name]] * 5))[3] > 0.9
+    if name != "items":
+        assert layout(PROSE[name].replace(" ", "\n"))[3] > 0.9
+
+
+def test_coverage_counts_characters():
+    twice = "Von acht Fällen kamen zwei aus dem Auszahlungsplan, der Rest aus dem Auszahlungsplan, und der Kerzenstrom blieb teuer."
+    assert phrase_coverage([x.strip(",.").lower() for x in twice.split()]) > 0.4 and layout(twice)[3] > 0.9
+    assert phrase_coverage("a b c a b c lengthy words here".split()) == pytest.approx(6 / (6 + 16))
+
+
 def test_whole_long_text():
     junk = "\n".join(f"{k:040x}" for k in range(3000))
     assert layout(PROSE["plain"] + "\n" + junk)[3] < 0.01 and layout(junk + "\n" + (PROSE["plain"] + "\n") * 3000)[3] > 0.6

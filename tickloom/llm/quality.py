@@ -5,7 +5,8 @@ Statistics that are counts over words and lines run as built-in functions. What
 
 A line belongs to prose if enough of its words are common words of a language, taken together with its neighbours where it
 is short (so wrapped, narrow or unpunctuated prose stays prose), if most of its characters are letters of such words, and if
-no phrase fills it again and again. List items must be sentences to count as prose. Rows with separators never do.
+no phrase fills it again and again. List items must be sentences to count as prose. Rows with separators never do. In a document that
+repeats its lines or paragraphs, or that one phrase fills, the lines that do so must be sentences too, or stand in a repeated paragraph of sentences.
 """
 
 from __future__ import annotations
@@ -23,8 +24,11 @@ from .words import COMMON_WORDS, MARK, SENTENCE_END, WORD
 COMMON_SHARE, WORD_CHARS = 0.15, 0.5
 #: Words that a line and its neighbours should have together.
 CONTEXT_WORDS = 12
-#: A line in which one phrase of three words covers this share of the words, or more, says nothing.
+#: A line in which one phrase of three words covers this share of the words, or more, says nothing. A document in which one, more than
+#: twice, covers this share of the words' characters is filled by it. (By characters, two mentions of a long name would fill a sentence.)
 PHRASE_SHARE = 0.4
+#: A document with this share of characters in repeated lines or paragraphs repeats itself.
+REPEATED_SHARE = 0.4
 #: Separators that make a line a row of cells.
 CELLS = 3
 #: A list item is a sentence with this many words and an end mark, or this many without.
@@ -33,20 +37,28 @@ ITEM_WORDS, LONG_ITEM_WORDS = 8, 20
 LAYOUT = "duplicate_line_share double, duplicate_paragraph_share double, phrase_coverage double, prose_share double"
 
 
-def phrase_coverage(words: list[str], n: int = 3) -> float:
-    """Share of the words that the most frequent phrase of n words covers, counting each word once; 0 if none comes twice."""
+def _dominant(words: list[str], n: int) -> list[bool]:
+    """Which words the most frequent phrase of n words covers; none if no phrase comes twice."""
+    out = [False] * len(words)
     if len(words) < 2 * n:
-        return 0.0
+        return out
     grams = list(zip(*(words[i:] for i in range(n))))
     top, count = Counter(grams).most_common(1)[0]
-    if count < 2:
-        return 0.0
-    covered, end = 0, 0
-    for i, g in enumerate(grams):
-        if g == top:
-            covered += i + n - max(i, end)
-            end = i + n
-    return covered / len(words)
+    if count >= 2:
+        for i, g in enumerate(grams):
+            if g == top:
+                out[i : i + n] = [True] * n
+    return out
+
+
+def _covered(words: list[str], flags: list[bool]) -> float:
+    total = sum(map(len, words))
+    return sum(len(w) for w, f in zip(words, flags) if f) / total if total else 0.0
+
+
+def phrase_coverage(words: list[str], n: int = 3) -> float:
+    """Share of the words' characters that the most frequent phrase of n words covers, counting each word once; 0 if none comes twice."""
+    return _covered(words, _dominant(words, n))
 
 
 def _repeated(parts: list[str]) -> float:
@@ -55,6 +67,36 @@ def _repeated(parts: list[str]) -> float:
     return (total - sum(map(len, set(parts)))) / total if total else 0.0
 
 
+def _sentence(line: str, n: int) -> bool:
+    return n >= LONG_ITEM_WORDS or n >= ITEM_WORDS and bool(SENTENCE_END.search(line))
+
+
+def _hollow(lines: list[str], by_line: list[list[str]], repeats: bool, filled: list[bool] | None) -> set[int]:
+    """Lines that aren't sentences and only repeat: those that came before, of two words or more (words alone in their lines come again in any
+    prose), where the document `repeats`; those that its dominant phrase (`filled`, per word, if it fills the document) covers to half."""
+    out: set[int] = set()
+    if not repeats and filled is None:
+        return out
+    seen, known, place, at = set(), set(), 0, 0
+    while at < len(lines):
+        end = at
+        while end < len(lines) and lines[end]:
+            end += 1
+        paragraph = tuple(lines[at:end])
+        told = paragraph in known and _sentence(paragraph[-1], len({x for w in by_line[at:end] for x in w}))
+        known.add(paragraph)
+        for k in range(at, end):
+            w = by_line[k]
+            again = repeats and len(w) >= 2 and lines[k] in seen and not told
+            full = filled is not None and _covered(w, filled[place : place + len(w)]) >= 0.5
+            if (again or full) and not _sentence(lines[k], len(w)):
+                out.add(k)
+            seen.add(lines[k])
+            place += len(w)
+        at = end + 1
+    return out
+
+
 def layout(text: str | None) -> tuple[float, float, float, float]:
     """Shares of characters in repeated lines and in repeated paragraphs, coverage of the dominant phrase, share of
     characters in prose. An empty or null text has no prose and no repetition: all are 0."""
@@ -63,17 +105,24 @@ def layout(text: str | None) -> tuple[float, float, float, float]:
     lines = [x.strip() for x in text.splitlines()]
     info: list[tuple[int, int, int, int, bool] | None] = []
     words: list[str] = []
+    by_line: list[list[str]] = []
     junk_phrase = set()
     for k, line in enumerate(lines):
         if not line:
             info.append(None)
+            by_line.append([])
             continue
         w = [x.replace("’", "'") for x in WORD.findall(line.lower())]
         words += w
+        by_line.append(w)
         common = sum(x in COMMON_WORDS or x.partition("'")[0] in COMMON_WORDS for x in w)
-        if len(w) >= 6 and phrase_coverage(w) >= PHRASE_SHARE:
+        if len(w) >= 6 and sum(_dominant(w, 3)) >= PHRASE_SHARE * len(w):
             junk_phrase.add(k)
         info.append((len(line), sum(map(len, w)), len(w), common, bool(MARK.match(line))))
+    paragraphs = [p.strip() for p in "\n".join(lines).split("\n\n") if p.strip()]
+    line_share, paragraph_share, filled = _repeated([x for x in lines if x]), _repeated(paragraphs), _dominant(words, 3)
+    coverage = _covered(words, filled)
+    junk_phrase |= _hollow(lines, by_line, max(line_share, paragraph_share) >= REPEATED_SHARE, filled if coverage >= PHRASE_SHARE and sum(filled) > 6 else None)
     total = prose = 0
     for i, x in enumerate(info):
         if x is None:
@@ -84,7 +133,7 @@ def layout(text: str | None) -> tuple[float, float, float, float]:
         if i in junk_phrase or max(line.count("|"), line.count("\t"), line.count(";") if n < 12 else 0) >= CELLS:
             continue
         if marked:
-            if not (n >= LONG_ITEM_WORDS or n >= ITEM_WORDS and SENTENCE_END.search(line)):
+            if not _sentence(line, n):
                 continue
         elif n < CONTEXT_WORDS:
             for step in range(1, CONTEXT_WORDS):
@@ -100,8 +149,7 @@ def layout(text: str | None) -> tuple[float, float, float, float]:
                     break
         if n and common >= COMMON_SHARE * n and letters >= WORD_CHARS * chars:
             prose += x[0]
-    paragraphs = [p.strip() for p in "\n".join(lines).split("\n\n") if p.strip()]
-    return _repeated([x for x in lines if x]), _repeated(paragraphs), phrase_coverage(words), prose / total
+    return line_share, paragraph_share, coverage, prose / total
 
 
 def text_layout(documents: DataFrame, text: str = "text") -> DataFrame:
