@@ -2,7 +2,9 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from tickloom import research_queries
 from tickloom.operators import asof, paths, search
 from tickloom.sources import files
 from tickloom.streaming import jobs
@@ -65,6 +67,31 @@ def test_paths(spark):
     assert 0.85 < np.mean(np.diff(steps) % 5000 == 1) < 0.95 and paths.path_numbers(np.empty(0), 3) == (0.0, 0, 0)
 
 
+@pytest.mark.parametrize("n, block_length", [(0, 3), (1, 1), (1, 5), (2, 2), (7, 1), (50, 3), (400, 5), (3000, 10), (40, 1000)])
+def test_block_path_is_that_of_single_draws(n, block_length):
+    for r in range(4):
+        assert paths.block_path(7, "m/c", r, n, block_length).tolist() == paths._drawn_path(7, "m/c", r, n, block_length).tolist()
+
+
+def test_bootstrap_resamples_the_trades_of_each_path(spark, monkeypatch):
+    monkeypatch.setattr(paths, "PIECE", 16)
+    rnd = random.Random(4)
+    v = {p: [rnd.choice([92, -100, 0]) for _ in range(n)] for p, n in (("a/30", 70), ("a/60", 1), ("b/30", 9))}
+    rows = [(p, k // 2, k, x) for p, xs in v.items() for k, x in enumerate(xs)]
+    rnd.shuffle(rows)
+    out = paths.bootstrap_trades(spark.createDataFrame(rows, "path string, t bigint, id bigint, value bigint"), "path", ["t", "id"], "value", 30, 5, 5).collect()
+    assert len(out) == 90
+    for r in out:
+        x = np.array(v[r["path"]], float)
+        want = paths.path_numbers(x[paths.block_path(42, r["path"], r["replicate"], len(x), 5)], 5)
+        assert (r["n"], r["max_drawdown"], r["longest_underwater"], r["negative_rolling"]) == (len(x), *want[:2], want[2] if len(x) >= 5 else None)
+
+
+def test_bootstrap_query_has_every_path(spark, data):
+    out = research_queries.bootstrap_paths(spark, data).groupBy("path").agg(F.count("*").alias("k"), F.max("n").alias("n"))
+    assert {(r["path"], r["n"]) for r in out.where("k = 200").collect()} == {(r["path"], r["n"]) for r in research_queries.path_drawdowns(spark, data).collect()}
+
+
 def test_csv_daily_and_lines(spark, tmp_path):
     (tmp_path / "t.csv").write_text("time_utc,symbol,price\n2020-01-01T00:00:00.5Z,X,1.25\n2020-01-01T00:00:01Z,Y,1.25\n2020-01-01 00:00:01Z,X,1\n2020-01-01T00:00:02Z,X,1.255\n2020-01-02T00:00:02Z,X,-3\n")
     rows = files.read_tick_csv(spark, str(tmp_path / "t.csv"), "X", 2).collect()

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 
 def equity(trades: DataFrame, path: str, order: list[str], value: str) -> DataFrame:
     """Trades with equity, peak (at least 0) and drawdown along each path."""
@@ -66,7 +68,41 @@ class CounterStream:
 
 
 def block_path(seed: int, stratum: str, replicate: int, n: int, block_length: int) -> np.ndarray:
-    """n indices of a stationary bootstrap: each step restarts with probability 1 / block_length, else goes on (round the end)."""
+    """n indices of a stationary bootstrap: each step restarts with probability 1 / block_length, else goes on (round the end).
+
+    The draws are those of a CounterStream, taken all at once; the few restarts are gone through one by one.
+    """
+    if n == 0:
+        return np.empty(0, np.int64)
+    head, count = CounterStream(seed, stratum, replicate).head, n // 4 + n // (4 * block_length) + 16
+    words, have = np.empty(0, np.uint64), 0
+    while True:
+        # Words in reverse of CounterStream's list: it pops the first eight bytes of a digest first.
+        more = b"".join(hashlib.sha256(head + k.to_bytes(8, "little")).digest() for k in range(have, have + count))
+        words, have = np.concatenate([words, np.frombuffer(more, "<u8")]), have + count
+        restarts, skip = [], -1
+        for h in np.flatnonzero(words[1:] % np.uint64(block_length) == 0).tolist():
+            if h != skip:  # else this word is the index of the restart before
+                restarts.append(h)
+                skip = h + 1
+        at = np.array(restarts, np.int64)
+        steps = at - np.arange(len(at)) + 1  # the step of each restart: words of indices are no steps
+        inside = steps < n
+        at, steps = at[inside], steps[inside]
+        if len(words) >= n + len(at) + 1:
+            break
+        count = max(16, count // 4)
+    used = words[: n + len(at)]
+    if (used >= np.uint64(min((2**64 - 1) // m * m for m in (n, block_length)))).any():  # a draw that may be rejected
+        return _drawn_path(seed, stratum, replicate, n, block_length)
+    starts = np.concatenate([[0], steps])
+    first = (np.concatenate([words[:1], words[at + 2]]) % np.uint64(n)).astype(np.int64)
+    lengths = np.diff(np.append(starts, n))
+    return (np.repeat(first - starts, lengths) + np.arange(n)) % n
+
+
+def _drawn_path(seed: int, stratum: str, replicate: int, n: int, block_length: int) -> np.ndarray:
+    """block_path draw by draw."""
     s = CounterStream(seed, stratum, replicate)
     out = np.empty(n, np.int64)
     for k in range(n):
@@ -85,8 +121,10 @@ def path_numbers(values: np.ndarray, horizon: int) -> tuple[float, int, int]:
     return float((peak - e).max()) if len(e) else 0.0, longest, int((sums < 0).sum())
 
 
-#: Trades of a bootstrapped path at most; it is held by every task.
+#: Trades of a path that `bootstrap` takes at most, since every task holds it; `bootstrap_trades` has no such limit.
 MAX_PATH = 1_000_000
+#: Trades in a stored piece of a path, and replicates that one task draws of one path.
+PIECE, UNIT = 4096, 25
 
 
 def bootstrap(spark: SparkSession, values: np.ndarray, stratum: str, replicates: int = 200, block_length: int = 5, horizon: int = 20, seed: int = 42) -> DataFrame:
@@ -102,6 +140,28 @@ def bootstrap(spark: SparkSession, values: np.ndarray, stratum: str, replicates:
     return spark.range(0, replicates, 1, min(replicates, 32)).mapInPandas(run, "replicate bigint, max_drawdown double, longest_underwater bigint, negative_rolling bigint")
 
 
+def bootstrap_trades(trades: DataFrame, path: str, order: list[str], value: str, replicates: int = 200, block_length: int = 5, horizon: int = 20, seed: int = 42) -> DataFrame:
+    """One row per path and replicate: path, n, replicate, max_drawdown, longest_underwater, negative_rolling (null where a path is shorter than `horizon`).
+
+    Each path is resampled over its own trades in `order`, its name being the stratum. The values are written once in pieces; UNIT replicates of a
+    path are a unit of work, which holds the values of that path alone. `replicates` is the number of samples, the only sampling there is.
+    """
+    no = F.row_number().over(Window.partitionBy(path).orderBy(*order)) - 1
+    placed = trades.select(F.col(path).alias("path"), no.alias("_no"), F.col(value).cast("double").alias("_v"))
+    pieces = placed.groupBy("path", F.floor(F.col("_no") / F.lit(PIECE)).alias("piece")).agg(F.array_sort(F.collect_list(F.struct("_no", "_v"))).alias("_x"))
+    pieces = written(pieces.select("path", "piece", F.col("_x._v").alias("values")), "paths")
+    units = pieces.withColumn("unit", F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // UNIT))))
+
+    def run(df: pd.DataFrame) -> pd.DataFrame:
+        df = df.sort_values("piece")
+        values, name, unit = np.concatenate(df["values"].to_list()), df["path"].iloc[0], int(df["unit"].iloc[0])
+        rows = [(name, len(values), r, *path_numbers(values[block_path(seed, name, r, len(values), block_length)], horizon)) for r in range(unit * UNIT, min(replicates, (unit + 1) * UNIT))]
+        out = pd.DataFrame(rows, columns=["path", "n", "replicate", "max_drawdown", "longest_underwater", "negative_rolling"])
+        return out if len(values) >= horizon else out.assign(negative_rolling=None)
+
+    return units.groupBy("path", "unit").applyInPandas(run, "path string, n bigint, replicate bigint, max_drawdown double, longest_underwater bigint, negative_rolling bigint")
+
+
 def stability(paths: DataFrame) -> DataFrame:
     """Exact median and 95 % quantile of drawdowns, 95 % of underwater stretches."""
     return paths.agg(F.count(F.lit(1)).alias("replicates"), F.percentile("max_drawdown", F.lit(0.5)).alias("median_drawdown"), F.percentile("max_drawdown", F.lit(0.95)).alias("p95_drawdown"), F.percentile("longest_underwater", F.lit(0.95)).alias("p95_underwater"))

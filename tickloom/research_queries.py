@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -134,9 +133,8 @@ def path_worst_sums(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bootstrap_paths(spark: SparkSession, d: str) -> DataFrame:
-    """Bootstraps the days' sums of all trades, one value a day."""
-    days = _trades(spark, d).groupBy(F.floor(F.col("entry_micros") / F.lit(DAY)).alias("day")).agg(F.sum("value").alias("v")).orderBy("day").collect()
-    return paths.bootstrap(spark, np.array([r["v"] for r in days], float), "days", 200, 5, 10)
+    """Bootstraps the trades of each path (generation and expiry), 200 replicates of each."""
+    return paths.bootstrap_trades(_trades(spark, d), "path", PATH_ORDER, "value", 200, 5, 10)
 
 
 def grouped_results(spark: SparkSession, d: str) -> DataFrame:
