@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.prices import price_units
 from .shards import lookup_join, ordered_shards
 
 
@@ -42,11 +43,6 @@ def collapse_runs(events: DataFrame, value: Column, *, entity: str = "generation
     )
 
 
-def price_units(price: Column, scale: Column) -> Column:
-    """`price` counted in units of 10^-scale, rounded; without a scale the price as it is."""
-    return F.when(scale.isNull(), price).otherwise(F.round(price * F.pow(F.lit(10.0), scale.cast("double"))))
-
-
 def standing_prices(ticks: DataFrame, generations: DataFrame, min_records: int = 2) -> DataFrame:
     """Stretches in which a generation's price, at its `price_scale`, comes again and again."""
     scales = generations.groupBy("generation").agg(F.max("price_scale").alias("_scale"))

@@ -21,8 +21,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.prices import price_units
 from ..session import written
-from .runs import collapse_runs, price_units
+from .runs import collapse_runs
 from .shards import lookup_join, ordered_shards, sharded_neighbours
 
 #: A value beyond this factor of the series' median, either way, is no price.
