@@ -6,10 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import table
-from . import leakage, mixing, quality
+from . import leakage, mixing, quality, runs
 from .words import COMMON_WORDS
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    out = runs.standing_prices(table(spark, d, "ticks"), table(spark, d, "generations"))
+    return out.select(F.col("first_id").alias("first_tick_id"), "n_records", "duration_micros")
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("item_id", "doc_id").distinct()
 
@@ -41,9 +46,13 @@ def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
     return quality.text_statistics(table(spark, d, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (p8_found, p9_mixture, p9_shares, p10_found, p10_layout, p10_statistics)}
+QUERIES = {f.__name__: f for f in (p2_found, p8_found, p9_mixture, p9_shares, p10_found, p10_layout, p10_statistics)}
 
 ORACLES = {
+    "p2_found": """
+WITH t AS (SELECT ticks.generation, tick_id, epoch_us(event_time_micros) AS t, CASE WHEN price_scale IS NULL THEN price ELSE round(price * pow(10.0, price_scale)) END AS v FROM ticks LEFT JOIN generations USING (generation) WHERE price IS NOT NULL AND event_time_micros IS NOT NULL),
+n AS (SELECT *, row_number() OVER (PARTITION BY generation ORDER BY t, tick_id) - row_number() OVER (PARTITION BY generation, v ORDER BY t, tick_id) AS run FROM t)
+SELECT arg_min(tick_id, (t, tick_id)) AS first_tick_id, count(*) AS n_records, max(t) - min(t) AS duration_micros FROM n GROUP BY generation, v, run HAVING count(*) >= 2""",
     "p10_statistics": rf"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 s AS (SELECT doc_id, t, regexp_extract_all(lower(t), '\p{{L}}+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '\S')) AS l FROM t)
