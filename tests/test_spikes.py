@@ -8,7 +8,7 @@ SCHEMA = "series string, entity string, t bigint, u double, row_id bigint"
 
 
 def flagged(spark, rows, **kw):
-    out = spikes.implausible(spark.createDataFrame(rows, SCHEMA), {"s": 20}, **kw).collect()
+    out = spikes.implausible(spark.createDataFrame(rows, SCHEMA), **kw).collect()
     return {(r["row_id"], r["reason"]) for r in out}
 
 

@@ -13,16 +13,29 @@ from pyspark.sql import functions as F
 
 from ..session import shuffle_width
 
-#: Rows of a lookup table up to which it is broadcast.
-BROADCAST_ROWS = 200_000
+#: Rows and bytes of a lookup table up to which it is broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 #: Copies of each lookup row beyond that; rows of one hot key are spread over as many tasks.
 LOOKUP_SALTS = 16
 
 
-def lookup_join(big: DataFrame, small: DataFrame, on: str | list[str], how: str = "left", max_rows: int = BROADCAST_ROWS, salts: int = LOOKUP_SALTS) -> DataFrame:
-    """Join (left, inner, left_semi or left_anti) of `big` with `small`. `small` is counted: up to `max_rows` it is broadcast, beyond that both
-    sides are shuffled with the hot keys of `big` spread over `salts` copies of each row of `small`. A null key finds nothing."""
-    if small.limit(max_rows + 1).count() <= max_rows:
+def fits(small: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether `small` has at most so many rows and bytes (fixed columns as 8 bytes each, texts and nested columns by their length)."""
+    kinds = {c: t for c, t in small.dtypes}
+    nested = [c for c, t in kinds.items() if t.startswith(("array", "map", "struct"))]
+    size = F.lit(8 * len(kinds))
+    for c in (F.col(f"`{c}`") for c, t in kinds.items() if t in ("string", "binary")):
+        size = size + F.coalesce(F.octet_length(c), F.lit(0))
+    if nested:
+        size = size + F.octet_length(F.to_json(F.struct(*[f"`{c}`" for c in nested])))
+    n, width = small.limit(max_rows + 1).agg(F.count(F.lit(1)), F.sum(size)).first()
+    return n <= max_rows and (width or 0) <= max_bytes
+
+
+def lookup_join(big: DataFrame, small: DataFrame, on: str | list[str], how: str = "left", max_rows: int = BROADCAST_ROWS, salts: int = LOOKUP_SALTS, small_fits: bool | None = None) -> DataFrame:
+    """Join (left, inner, left_semi or left_anti) of `big` with `small`. `small` is measured (see `fits`, or told by `small_fits`): if it is small it is
+    broadcast, else both sides are shuffled with the hot keys of `big` spread over `salts` copies of each row of `small`. A null key finds nothing."""
+    if fits(small, max_rows) if small_fits is None else small_fits:
         return big.join(F.broadcast(small), on, how)
     spread = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int"))
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

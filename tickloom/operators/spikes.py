@@ -1,100 +1,350 @@
 """Implausible readings: impossible values, spikes and standstills, against each source's own behaviour.
 
-Each series of a source is taken through the undecimated Haar transform at its finest scale, where the detail at a reading is its
-step from the one before. Details are scaled by their median absolute value in the series. A spike is a pair of outlying
-details of opposite sign a few readings apart between which the series is away from, and after which it is back at, its
-level; a lasting change of level has one outlying detail only, and livelier stretches none. At the ends of a series, where the
-other edge is missing, a reading's own level (a candle's open and close) tells a spike from a change of level, and where it has none the series
-is mirrored about its first and last reading. Runs of zero detail are standstills
-if they are far longer than any other of the series. Bounds around the series' median find values that can be no price.
-
-Readings repeated at one instant count as one. Series are ordered in range shards; only outlying details, which are rare by
-their definition, are paired, in blocks of positions.
+Each series of a source is taken through the undecimated Haar transform at the widths 1, 2 and 4: the detail at a reading is the mean of
+so many readings from it on less the mean of as many before. At each width details are scaled by the upper quartile of the
+sizes of the series' own non-zero details. A spike is a stretch of a few readings between two outlying details of opposite
+sign at one of the widths, all of it far from the level before, to which the series is back after it; a lasting change of level has
+no second detail, livelier stretches have none that is outlying. At the ends of a series, where the other detail is missing, a reading's
+own level (a candle's open and close) tells a spike from a change of level, and where it has none the series is mirrored about its
+end. Runs of zero details, spikes aside, are standstills if they are far longer than the other runs of the series, than runs that its
+share of zero details explains, and than runs usual in sources of its kind. Bounds around the series' median find what can be no price.
+
+Readings repeated at one instant count as one. What says whether a reading is within a spike are the readings at most HALO places
+away, so the series, written once in ordered shards, are worked on in Arrow batches as whole arrays, and only the readings near the
+borders of shards meet those of the neighbouring shards. No result depends on where the borders lie.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.prices import price_units
-from ..session import written
-from .runs import collapse_runs
-from .shards import lookup_join, ordered_shards, sharded_neighbours
+from ..session import shuffle_width, written
+from .shards import fits, lookup_join, ordered_shards
 
 #: A value beyond this factor of the series' median, either way, is no price.
 FACTOR = 5.0
-#: Outlying: a detail of more than so many median absolute details.
-OUTLYING = 36.0
-#: A spike's return comes within this share of its height.
+#: Outlying: a detail of more than so many upper quartiles of the series' non-zero details.
+OUTLYING = 11.0
+#: A spike's return comes within this share of its least height.
 RETURN = 0.3
 #: Readings in a spike at most.
 WIDTH = 5
-#: A standstill is so many times longer than the longest of the shorter runs.
+#: A standstill is so many times longer than what is usual.
 STILL_RATIO = 2.5
-#: Positions in a block of the pairing, and how far a block looks back to find which details are already spent.
-BLOCK, LOOK_BACK = 65_536, 64
-
-
-def _pair(width: int, back: float, outlying: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """From outlying details ordered by key, block and position to the positions within spikes. Positions at an end of the series, whose spike has
-    one edge only, come with the least distance from their own level (`least`) and whether they are spikes without such a level (`mirrored`)."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: pd.DataFrame | None = None
-
-        def spikes(df: pd.DataFrame) -> pd.DataFrame:
-            key, block = df["key"].to_numpy(np.int64), df["block"].to_numpy(np.int64)
-            pos, u, base = df["pos"].to_numpy(np.int64), df["u"].to_numpy(float), df["prev"].to_numpy(float)
-            last, scale = df["n"].to_numpy(np.int64), df["scale"].to_numpy(float)
-            rows, at, least, mirrored, i, n = [], [], [], [], 0, len(df)
-
-            def add(first: int, to: int, distance: float, mirror: bool) -> None:
-                rows.extend([i] * (to - first))
-                at.extend(range(first, to))
-                least.extend([distance] * (to - first))
-                mirrored.extend([mirror] * (to - first))
-
-            while i < n:
-                height, k, end, away = u[i] - base[i], i + 1, -1, True
-                while k < n and key[k] == key[i] and block[k] == block[i] and pos[k] - pos[i] <= width:
-                    off = (u[k] - base[i]) / height
-                    if abs(off) <= back:
-                        end = k
-                        break
-                    if off < 0.5:
-                        away = False
-                        break
-                    k += 1
-                if end < 0:
-                    distance = max(scale[i] * outlying, abs(height) * (1 - back))
-                    head, tail = int(pos[i]) - 1, int(last[i] - pos[i]) + 1  # readings before and from this detail on
-                    ends = away and tail <= width
-                    if head <= width and (i == 0 or key[i - 1] != key[i] or block[i - 1] != block[i]):
-                        add(1, head + 1, distance, 2 * head - 1 <= width and head < tail)
-                    if ends:
-                        add(head + 1, head + tail + 1, distance, 2 * tail - 1 <= width and tail < head)
-                    i = k if ends else i + 1
-                    continue
-                add(int(pos[i]), int(pos[end]), -1.0, True)
-                i = end + 1
-            out = pd.DataFrame({"key": key[rows], "pos": np.asarray(at, np.int64), "least": np.asarray(least, float), "mirrored": np.asarray(mirrored, bool)})
-            return out[out["pos"].to_numpy() // BLOCK == block[rows]]
-
-        for df in frames:  # the last group of a batch may go on in the next
-            if df.empty:
+#: Of the sources of a kind, the share whose ordinary runs a standstill must outlast.
+USUAL = 0.9
+#: Widths of the Haar details.
+WIDTHS = (1, 2, 4)
+#: Bins an octave in which sizes of details, and values for the median, are counted.
+BINS = 64
+
+
+def haar(u: np.ndarray, width: int) -> np.ndarray:
+    """Details at the places width..n-width: mean of `width` readings from there on less the mean of as many before."""
+    b, k = u, 1
+    while k < width:
+        b, k = b[k:] + b[:-k], 2 * k
+    return (b[width:] - b[:-width]) / width if len(u) >= 2 * width else np.empty(0)
+
+
+def size_bin(sizes: np.ndarray) -> np.ndarray:
+    return np.floor(np.log2(sizes) * BINS).astype(np.int64)
+
+
+def bin_size(b: int) -> float:
+    """Upper edge of a bin."""
+    return 2.0 ** ((b + 1) / BINS)
+
+
+def _quartile(bins: np.ndarray, counts: np.ndarray) -> float:
+    """Upper edge of the bin of the upper quartile (nearest rank); 0 if there is none."""
+    if not len(bins):
+        return 0.0
+    order = np.argsort(bins)
+    below = np.cumsum(counts[order])
+    return bin_size(int(bins[order][np.searchsorted(below, -(-3 * below[-1] // 4))]))
+
+
+def spike_mask(u: np.ndarray, own: np.ndarray, scale: np.ndarray, outlying: float, back: float, width: int, ends: bool) -> np.ndarray:
+    """Which of a series' distinct readings are within spikes. `ends`: the first and last readings are those of the series.
+
+    Whether a reading is one depends on nothing more than 3 * width + 1 places away.
+    """
+    n, mask = len(u), np.zeros(len(u), bool)
+    for w, s in zip(WIDTHS, scale):
+        d = haar(u, w)
+        far = np.abs(d) > outlying * s
+        if s <= 0 or not far.any():
+            continue
+        for m in range(w, width + 1):
+            i = np.flatnonzero(far[: len(d) - m] & far[m:] & (d[: len(d) - m] * d[m:] < 0)) + w if len(d) > m else np.empty(0, np.int64)
+            if not len(i):
                 continue
-            df = df if held is None else pd.concat([held, df], ignore_index=True)
-            same = (df["block"] == df["block"].iloc[-1]) & (df["key"] == df["key"].iloc[-1])
-            held = df[same]
-            if (~same).any():
-                yield spikes(df[~same].reset_index(drop=True))
-        if held is not None and len(held):
-            yield spikes(held.reset_index(drop=True))
+            mean = lambda at, k: sum(u[at + j] for j in range(k)) / k
+            base, after = mean(i - w, w), mean(i + m, w)
+            x = np.stack([u[i + j] for j in range(m)], 1)
+            sign = np.sign(x[:, 0] - base)
+            height = ((x - base[:, None]) * sign[:, None]).min(1)
+            good = (height > outlying * s) & (np.abs(after - base) <= back * height)
+            for j in [*range(-w, 0), *range(m, m + w)]:  # at the wider widths no reading of the stretch may hide in the means
+                good &= np.abs(u[i + j] - base) <= 0.5 * height
+            for k in np.flatnonzero(good):
+                # The stretch between two spikes looks like a spike seen from within them; the level around tells which is which.
+                around = np.median(u[max(0, i[k] - 2 * width) : i[k] + m + 2 * width])
+                if abs(base[k] - around) < abs(x[k].mean() - around):
+                    mask[i[k] : i[k] + m] = True
+    if ends and n > 1 and scale[0] > 0:
+        for flip in (False, True):
+            v, o = (u[::-1], own[::-1]) if flip else (u, own)
+            hit = _end(v[: 3 * width + 1], o[:width], n, outlying * scale[0], back, width)
+            mask |= hit[::-1] if flip else hit
+    return mask
+
+
+def _end(u: np.ndarray, own: np.ndarray, n: int, far: float, back: float, width: int) -> np.ndarray:
+    """Readings at the start of a series that are far from what follows and have a level of their own that they are far from, or none."""
+    mask = np.zeros(n, bool)
+    for h in range(1, min(width, len(u) - 1) + 1):
+        x = u[:h] - u[h]
+        sign = np.sign(x[0])
+        least = (x * sign).min()
+        rest = np.abs(u[h : h + width + 1] - u[h])
+        if least <= far or rest.max() > 0.5 * least:
+            continue
+        known = ~np.isnan(own[:h])
+        told = np.abs(u[:h] - np.where(known, own[:h], 0.0)) > max(far, least * (1 - back))
+        mask[:h] |= np.where(known, told, 2 * h - 1 <= width and h < n - h)
+    return mask
+
+
+def _halo(width: int) -> int:
+    return 3 * width + 1
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
+    """Stretches of consecutive rows of one key as (key, arrays of `names`). `no` grows by one from row to row of a shard, so a shard that a scan has cut gives several stretches."""
+    held: list[dict[str, np.ndarray]] = []
+    last: tuple[int, int] | None = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = {c: b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in {"key", "no", *names}}
+        key, no = cols["key"], cols["no"]
+        cuts = np.flatnonzero((key[1:] != key[:-1]) | (no[1:] != no[:-1] + 1)) + 1
+        bounds = [0, *cuts.tolist(), len(key)]
+        for lo, hi in zip(bounds, bounds[1:]):
+            if held and last != (int(key[lo]), int(no[lo]) - 1):
+                yield int(held[0]["key"][0]), {c: np.concatenate([h[c] for h in held]) for c in names}
+                held = []
+            held.append({c: v[lo:hi] for c, v in cols.items()})
+            last = (int(key[hi - 1]), int(no[hi - 1]))
+    if held:
+        yield int(held[0]["key"][0]), {c: np.concatenate([h[c] for h in held]) for c in names}
+
+
+def _distinct(x: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows begin a distinct reading, and each row's reading."""
+    new = np.ones(len(x["t"]), bool)
+    new[1:] = (x["t"][1:] != x["t"][:-1]) | (x["u"][1:] != x["u"][:-1])
+    return new, np.cumsum(new) - 1
+
+
+def _own(own: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+    """Greatest level of its own that a row of each reading tells."""
+    out = np.full(n, -np.inf)
+    np.maximum.at(out, row, np.where(np.isnan(own), -np.inf, own))
+    return np.where(np.isinf(out), np.nan, out)
+
+
+def _detail_counts(u: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Details at the places `inside` as (code, count): code is 4 * bin + number of the width, or -(number + 1) << 40 for zeros."""
+    codes = []
+    for k, w in enumerate(WIDTHS):
+        d = haar(u, w)
+        a = np.abs(d[inside[w : len(u) - w + 1]]) if len(d) else d
+        codes.append(size_bin(a[a > 0]) * 4 + k)
+        codes.append(np.full(int((a == 0).sum()), -(k + 1) << 40))
+    return np.unique(np.concatenate(codes), return_counts=True)
+
+
+_BORDER = "key bigint, kind int, t bigint, u double, own double, decided boolean, codes array<bigint>, counts array<bigint>"
+
+
+def _borders(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of each stretch: how its inner details are distributed (kind 0), and the readings near its ends (kind 1), of which those that are not `decided` need the neighbours."""
+    halo = _halo(width)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, x in _chunks(batches, "t", "u", "own"):
+            new, row = _distinct(x)
+            t, u = x["t"][new], x["u"][new]
+            n = len(t)
+            place = np.arange(n)
+            inner = (place >= halo) & (place < n - halo)
+            codes, counts = _detail_counts(u, inner)
+            at = np.flatnonzero((place < 2 * halo) | (place >= n - 2 * halo))
+            own = _own(x["own"], row, n)[at]
+            k = len(at)
+            lists = pa.array([codes.tolist(), *[None] * k], pa.list_(pa.int64())), pa.array([counts.tolist(), *[None] * k], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.full(k + 1, key)), pa.array(np.minimum(np.arange(k + 1), 1).astype(np.int32)), pa.array(np.concatenate([[0], t[at]])), pa.array(np.concatenate([[0.0], u[at]])),
+                pa.array(np.concatenate([[np.nan], own])), pa.array(np.concatenate([[True], inner[at]])), *lists,
+            ], names=["key", "kind", "t", "u", "own", "decided", "codes", "counts"])
+
+    return run
+
+
+def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    """Rows ordered by key as one table a key."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        key = b.column(0).to_numpy(zero_copy_only=False)
+        bounds = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
+        for lo, hi in zip(bounds, bounds[1:]):
+            if hi == lo:
+                continue
+            if held and held[0].column(0)[0].as_py() != key[lo]:
+                yield held[0].column(0)[0].as_py(), pa.Table.from_batches(held)
+                held = []
+            held.append(b.slice(lo, hi - lo))
+    if held:
+        yield held[0].column(0)[0].as_py(), pa.Table.from_batches(held)
+
+
+_STITCHED = "key bigint, kind int, t bigint, u double, n bigint, zeros bigint, scales array<double>"
+
+
+def _stitched(outlying: float, back: float, width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From what _borders gives, ordered by key, kind and reading: a series' number of readings, zero details and scales (kind 0), and the readings near borders that are spikes (kind 1)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, x in _by_key(batches):
+            kind = x["kind"].to_numpy()
+            lists = x.filter(pa.array(kind == 0))
+            flat = lambda c: np.concatenate([np.asarray(v, np.int64) for v in lists[c].to_pylist()] or [np.empty(0, np.int64)])
+            codes, counts = flat("codes"), flat("counts")
+            r = x.filter(pa.array(kind == 1))
+            t, u, own, decided = (r[c].to_numpy() for c in ("t", "u", "own", "decided"))
+            new, row = _distinct({"t": t, "u": u})
+            n = int(new.sum())
+            own, t, u = _own(own, row, n), t[new], u[new]
+            # A reading that two stretches share is at a border of both.
+            open_ = np.zeros(n, bool)
+            open_[row[~decided]] = True
+            more, times = _detail_counts(u, open_)
+            codes, counts = np.concatenate([codes, more]), np.concatenate([counts, times])
+            known = codes >= -(1 << 39)
+            scale = np.array([_quartile(codes[known & (codes % 4 == k)] // 4, counts[known & (codes % 4 == k)]) for k in range(len(WIDTHS))])
+            zeros = int(counts[codes == -1 << 40].sum())
+            total = int(counts[(codes == -1 << 40) | (known & (codes % 4 == 0))].sum()) + 1
+            at = np.flatnonzero(spike_mask(u, own, scale, outlying, back, width, True) & open_)
+            k = len(at)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.full(k + 1, key)), pa.array(np.minimum(np.arange(k + 1), 1).astype(np.int32)), pa.array(np.concatenate([[0], t[at]])), pa.array(np.concatenate([[0.0], u[at]])),
+                pa.array([total, *[None] * k], pa.int64()), pa.array([zeros, *[None] * k], pa.int64()), pa.array([scale.tolist(), *[None] * k], pa.list_(pa.float64())),
+            ], names=["key", "kind", "t", "u", "n", "zeros", "scales"])
+
+    return run
+
+
+def usual_run(n: Column, zeros: Column) -> Column:
+    """The longest run of equal readings that n readings with so many zero details show if these come independently; infinite if there are no others."""
+    details = F.greatest(n - 1, F.lit(1)).cast("double")
+    more = F.log(F.greatest(details - zeros, F.lit(2.0))) / F.log(details / zeros)
+    return F.when(zeros <= 0, 1.0).when(zeros >= details, float("inf")).otherwise(1.0 + more)
+
+
+_FOUND = "key bigint, kind string, row_id bigint, u double, first bigint, last bigint, n bigint, head boolean, tail boolean, lengths array<bigint>, counts array<bigint>"
+_FOUND_TYPES = {"key": pa.int64(), "kind": pa.string(), "row_id": pa.int64(), "u": pa.float64(), "first": pa.int64(), "last": pa.int64(), "n": pa.int64(), "head": pa.bool_(), "tail": pa.bool_(), "lengths": pa.list_(pa.int64()), "counts": pa.list_(pa.int64())}
+
+
+def _rows(size: int, **columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(columns[c], k) if c in columns else pa.nulls(size, k) for c, k in _FOUND_TYPES.items()], names=list(_FOUND_TYPES))
+
+
+def _found(outlying: float, back: float, width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of each stretch: the rows of spikes (kind spike), runs at its ends (end) and long ones within (run), and the lengths of the runs within (lengths)."""
+    halo = _halo(width)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, x in _chunks(batches, "t", "u", "row_id", "border", "s0", "s1", "s2", "least"):
+            new, row = _distinct(x)
+            t, u = x["t"][new], x["u"][new]
+            n = len(t)
+            scale, least = np.array([x[f"s{k}"][0] for k in range(len(WIDTHS))]), max(2.0, x["least"][0])
+            spiked = spike_mask(u, np.full(n, np.nan), scale, outlying, back, width, False)
+            spiked[:halo] = spiked[max(n - halo, 0) :] = False
+            spiked[row[x["border"]]] = True
+            hit = spiked[row]
+            if hit.any():
+                yield _rows(int(hit.sum()), key=np.full(int(hit.sum()), key), kind=["spike"] * int(hit.sum()), row_id=x["row_id"][hit])
+            t, u = t[~spiked], u[~spiked]
+            if not len(t):
+                continue
+            cut = np.flatnonzero(u[1:] != u[:-1]) + 1
+            first, stop = np.concatenate([[0], cut]), np.concatenate([cut, [len(u)]])
+            length = stop - first
+            inner = np.ones(len(first), bool)
+            inner[[0, -1]] = False
+            lengths, counts = np.unique(length[inner], return_counts=True)
+            if len(lengths):
+                yield _rows(1, key=[key], kind=["lengths"], lengths=[lengths.tolist()], counts=[counts.tolist()])
+            keep = np.flatnonzero(~inner | (length >= least))
+            yield _rows(
+                len(keep), key=np.full(len(keep), key), kind=np.where(inner[keep], "run", "end").tolist(), u=u[first[keep]], first=t[first[keep]], last=t[stop[keep] - 1], n=length[keep], head=keep == 0, tail=keep == len(first) - 1
+            )
+
+    return run
+
+
+_LONG = "key bigint, u double, first bigint, last bigint, n bigint, ordinary bigint, breaks array<bigint>"
+
+
+def _standstills(ratio: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From runs ordered by key and time: per series its ordinary longest run (u null), and its runs that may be standstills, with the lengths from which they are if nothing else forbids it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, x in _by_key(batches):
+            d = x.to_pydict()
+            count: dict[int, int] = {}
+            runs: list[list] = []
+            open_: list | None = None  # a run at the end of a stretch, which may go on in the next
+            least = max(2.0, d["least"][0])
+            for i, kind in enumerate(d["kind"]):
+                if kind == "lengths":
+                    for n in d["lengths"][i]:
+                        count[n] = 1
+                elif kind == "run":
+                    runs.append([d["u"][i], d["first"][i], d["last"][i], d["n"][i]])
+                else:
+                    here = [d["u"][i], d["first"][i], d["last"][i], d["n"][i]]
+                    if open_ is not None and d["head"][i] and open_[0] == here[0]:
+                        here = [here[0], open_[1], here[2], open_[3] + here[3] - (open_[2] == here[1])]
+                    elif open_ is not None:
+                        runs.append(open_)
+                    open_ = here
+                    if not d["tail"][i]:
+                        runs.append(open_)
+                        open_ = None
+            if open_ is not None:
+                runs.append(open_)
+            for r in runs:
+                count[r[3]] = 1
+            sizes = sorted(count)
+            breaks = [n for k, n in enumerate(sizes) if n >= ratio * (sizes[k - 1] if k else 0) and n >= least]
+            ordinary = max((n for n in sizes if not breaks or n < breaks[0]), default=0)
+            long = [r for r in runs if breaks and r[3] >= breaks[0]]
+            k = len(long)
+            yield pa.RecordBatch.from_arrays([
+                pa.array([key] * (k + 1)), pa.array([None, *[r[0] for r in long]], pa.float64()), pa.array([None, *[r[1] for r in long]], pa.int64()), pa.array([None, *[r[2] for r in long]], pa.int64()),
+                pa.array([None, *[r[3] for r in long]], pa.int64()), pa.array([ordinary] * (k + 1)), pa.array([breaks] * (k + 1), pa.list_(pa.int64())),
+            ], names=["key", "u", "first", "last", "n", "ordinary", "breaks"])
 
     return run
 
@@ -104,55 +354,54 @@ def _same_entity(df: DataFrame) -> DataFrame:
     return df.withColumn("_entity", F.coalesce(F.concat(F.lit("="), F.col("entity").cast("string")), F.lit("")))
 
 
-def implausible(readings: DataFrame, min_still: Mapping[str, int], *, factor: float = FACTOR, outlying: float = OUTLYING, back: float = RETURN, width: int = WIDTH, still_ratio: float = STILL_RATIO) -> DataFrame:
+def implausible(readings: DataFrame, *, factor: float = FACTOR, outlying: float = OUTLYING, back: float = RETURN, width: int = WIDTH, still_ratio: float = STILL_RATIO, usual: float = USUAL) -> DataFrame:
     """Readings (series, entity, t, u, row_id) that are implausible: series, row_id, reason (`impossible`, `spike`, `still`).
 
     t: micros, u: double. Null values are no cases; non-finite ones are impossible. Readings without t are only held against the
-    bounds. `min_still`: readings that a standstill of a series has at least. A null entity is an entity of its own.
-    Repeats of a reading share its flag. Empty input gives an empty result. A column `own` (double), if there is one, is a level
-    that the reading itself tells, null where it tells none; it decides at the ends of a series.
+    bounds. A null entity is an entity of its own. Repeats of a reading share its flag, repeated rows give one row. Empty input gives an
+    empty result; a series that never moves stands still no longer than it does otherwise. A column `own` (double), if there
+    is one, is a level that the reading itself tells, null where it tells none; it decides at the ends of a series.
     """
     readings = readings.where("u is not null")
     if "own" not in readings.columns:
         readings = readings.withColumn("own", F.lit(None).cast("double"))
+    readings = readings.select("series", "entity", "t", "u", "own", "row_id")
+    u = F.col("u")
     # Each series of an entity gets a number, which stands for both from here on.
-    levels = readings.groupBy("series", "entity").agg(F.percentile_approx(F.when((F.col("u") > 0) & ~F.isnan("u"), F.col("u")), 0.5, 1000).alias("level"))
+    bin_ = F.when((u > 0) & ~F.isnan(u) & (u < float("inf")), F.floor(F.log2(u) * BINS))
+    counts = readings.groupBy("series", "entity", bin_.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    levels = counts.groupBy("series", "entity").agg(F.pow(F.lit(2.0), (F.percentile("bin", F.lit(0.5), F.col("n")) + 0.5) / BINS).alias("level"))
     levels = written(levels.withColumn("key", F.monotonically_increasing_id()), "levels")
     held = lookup_join(_same_entity(readings).drop("entity"), _same_entity(levels).drop("entity"), ["series", "_entity"]).drop("_entity")
-    u, level = F.col("u"), F.col("level")
-    wrong = F.isnan("u") | (u <= 0) | (F.abs("u") == float("inf")) | F.coalesce((u > level * factor) | (u < level / factor), F.lit(False))
+    level = F.col("level")
+    wrong = F.isnan(u) | (u <= 0) | (F.abs(u) == float("inf")) | F.coalesce((u > level * factor) | (u < level / factor), F.lit(False))
     impossible = held.where(wrong).select("series", "row_id", F.lit("impossible").alias("reason"))
-    seen = held.where(~wrong & F.col("t").isNotNull()).groupBy("key", "t", "u").agg(F.max("own").alias("own"))
-    seen = sharded_neighbours(ordered_shards(seen, ["key"], ["t", "u"]), ["key"], "_shard", ["t", "u"], F.struct("u"), 1, 0)
-    seen = seen.withColumn("_no", F.row_number().over(Window.partitionBy("key", "_shard").orderBy("t", "u")))
-    details = written(seen.select("key", "t", "u", "own", F.col("`_n-1`.u").alias("prev"), "_shard", "_no"), "details")
-    before = Window.partitionBy("key").orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = written(details.groupBy("key", "_shard").agg(F.count(F.lit(1)).alias("_c")).withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c"), "offsets")
-    scales = written(details.groupBy("key").agg(F.greatest(F.percentile_approx(F.abs(u - F.col("prev")), 0.5, 10_000), F.lit(1.0)).alias("scale"), F.count(F.lit(1)).alias("n")), "scales")
-    placed = lookup_join(details, offsets, ["key", "_shard"], "inner").withColumn("pos", F.col("_before") + F.col("_no"))
-    rare = lookup_join(placed.where("prev <> u"), scales, "key", "inner").where(F.abs(u - F.col("prev")) > F.col("scale") * outlying)
-    block = F.floor(F.col("pos") / F.lit(BLOCK))
-    rare = rare.select("key", "pos", "u", "prev", "scale", "n", F.explode(F.array_distinct(F.array(block, F.floor((F.col("pos") + LOOK_BACK) / F.lit(BLOCK))))).alias("block"))
-    # A block that ends within a spike takes the few details after its end from the next one.
-    rare = rare.unionByName(rare.where((F.col("pos") % BLOCK < width) & (F.col("block") == F.floor(F.col("pos") / F.lit(BLOCK)))).withColumn("block", F.col("block") - 1))
-    pairs = rare.repartition("key", "block").sortWithinPartitions("key", "block", "pos")
-    spiked = written(pairs.mapInPandas(_pair(width, back, outlying), "key bigint, pos bigint, least double, mirrored boolean"), "spiked")
-    spiked = lookup_join(placed, spiked, ["key", "pos"], "inner")
-    told = F.coalesce(F.abs(u - F.col("own")) > F.col("least"), F.col("mirrored"))
-    spikes = written(spiked.where(told).select("key", "t", "u"), "spikes")
-    spike_rows = lookup_join(held, spikes, ["key", "t", "u"], "left_semi").select("series", "row_id", F.lit("spike").alias("reason"))
-
-    # Standstills: zero details in a row, spikes left out.
-    plain = lookup_join(details.select("key", "t", "u"), spikes, ["key", "t", "u"], "left_anti").withColumn("_at", F.timestamp_micros("t"))
-    least = max(2, int(min(min_still.values()) / still_ratio))
-    still = written(collapse_runs(plain, F.col("u"), entity="key", time="_at", tie="u", min_records=least).select("key", "value", "first_micros", "last_micros", "n_records"), "still")
-    lengths = lookup_join(still.select("key", "n_records").distinct(), levels.select("key", "series"), "key", "inner")
-    shorter = F.coalesce(F.lag("n_records").over(Window.partitionBy("key").orderBy("n_records")), F.lit(0))
-    floor = F.create_map(*[x for k, v in min_still.items() for x in (F.lit(k), F.lit(v))])[F.col("series")]
-    from_ = lengths.withColumn("_s", shorter).where((F.col("n_records") >= floor) & (F.col("n_records") >= F.col("_s") * still_ratio)).groupBy("key").agg(F.min("n_records").alias("_from"))
-    long = written(lookup_join(still, written(from_, "from"), "key", "inner").where("n_records >= _from").select("key", F.col("value").alias("u"), "first_micros", "last_micros"), "long")
-    still_rows = lookup_join(held, long, ["key", "u"], "inner").where("t between first_micros and last_micros").select("series", "row_id", F.lit("still").alias("reason"))
-    return impossible.unionByName(spike_rows).unionByName(still_rows).distinct()
+
+    order, wide = ("key", "t", "u", "row_id"), shuffle_width(readings.sparkSession)  # a stated number, for little data that costs much isn't to be put together
+    shards = ordered_shards(held.where(~wrong & F.col("t").isNotNull()).select(*order, "own"), ["key"], ["t", "u", "row_id"])
+    shards = written(shards.drop("_shard").sortWithinPartitions(*order).withColumn("no", F.monotonically_increasing_id()), "readings")
+    edges = shards.select("key", "no", "t", "u", F.coalesce("own", F.lit(float("nan"))).alias("own")).mapInArrow(_borders(width), _BORDER)
+    stitched = written(edges.repartition(wide, "key").sortWithinPartitions("key", "kind", "t", "u").mapInArrow(_stitched(outlying, back, width), _STITCHED), "stitched")
+    series = stitched.where("kind = 0").select("key", *[F.col("scales")[k].alias(f"s{k}") for k in range(len(WIDTHS))], (usual_run(F.col("n"), F.col("zeros")) * still_ratio).alias("least"))
+    border = stitched.where("kind = 1").select("key", "t", "u", F.lit(True).alias("border"))
+
+    # Both joins leave the rows of a shard in their order if they broadcast; if one doesn't, the shards are put together again.
+    light = fits(series), fits(border)
+    told = lookup_join(shards.select("key", "no", "t", "u", "row_id"), series, "key", "inner", small_fits=light[0])
+    told = lookup_join(told, border, ["key", "t", "u"], small_fits=light[1]).withColumn("border", F.coalesce("border", F.lit(False)))
+    if not all(light):
+        told = told.repartition(F.shiftright("no", 33)).sortWithinPartitions("no")
+    found = written(told.mapInArrow(_found(outlying, back, width), _FOUND), "found")
+    runs = lookup_join(found.where("kind <> 'spike'").drop("row_id"), series.select("key", "least"), "key", "inner")
+    runs = runs.repartition(wide, "key").sortWithinPartitions("key", F.col("first").asc_nulls_first(), "u", "last", "head", F.col("tail").desc())
+    long = written(runs.select("key", "kind", "u", "first", "last", "n", "head", "tail", "lengths", "least").mapInArrow(_standstills(still_ratio), _LONG), "runs")
+    kinds = levels.select("key", "series")
+    ordinary = lookup_join(long.where("u is null").select("key", "ordinary"), kinds, "key", "inner").groupBy("series").agg((F.percentile("ordinary", F.lit(usual)) * still_ratio).alias("_usual"))
+    still = lookup_join(lookup_join(long.where("u is not null"), kinds, "key", "inner"), ordinary, "series", "inner")
+    still = still.where(F.col("n") >= F.array_min(F.filter("breaks", lambda b: b >= F.col("_usual")))).select("key", "u", "first", "last")
+    still_rows = lookup_join(shards.select("key", "t", "u", "row_id"), written(still, "still"), ["key", "u"], "inner").where("t between first and last").select("key", "row_id", F.lit("still").alias("reason"))
+    moving = found.where("kind = 'spike'").select("key", "row_id", F.lit("spike").alias("reason")).unionByName(still_rows)
+    return impossible.unionByName(lookup_join(moving, kinds, "key", "inner").select("series", "row_id", "reason")).distinct()
 
 
 def market_readings(ticks: DataFrame, generations: DataFrame, candles: DataFrame) -> DataFrame:
@@ -168,6 +417,6 @@ def market_readings(ticks: DataFrame, generations: DataFrame, candles: DataFrame
 
 def implausible_rows(ticks: DataFrame, generations: DataFrame, candles: DataFrame) -> DataFrame:
     """Rows of ticks and candles with an implausible price, and candles whose high is below their low: row_table, row_id, reason."""
-    found = implausible(market_readings(ticks, generations, candles), {"ticks": 20, "candles.high": 6, "candles.low": 6})
+    found = implausible(market_readings(ticks, generations, candles))
     crossed = candles.where("high_units < low_units").select(F.lit("candles").alias("row_table"), F.col("candle_id").alias("row_id"), F.lit("crossed").alias("reason"))
     return found.select(F.substring_index("series", ".", 1).alias("row_table"), "row_id", "reason").unionByName(crossed).distinct()
