@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..sources import table
 from . import leakage, mixing, quality, runs
-from .words import COMMON_WORDS
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -39,7 +38,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_layout(spark: SparkSession, d: str) -> DataFrame:
-    return quality.text_layout(table(spark, d, "documents", "doc_id", "text")).select("doc_id", *[F.round(x.split()[0], 6).alias(x.split()[0]) for x in quality.LAYOUT.split(", ")])
+    return quality.text_layout(table(spark, d, "documents", "doc_id", "text")).select("doc_id", *[F.round(x, 6).alias(x) for x in quality.LAYOUT])
 
 
 def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
@@ -53,12 +52,13 @@ ORACLES = {
 WITH t AS (SELECT ticks.generation, tick_id, epoch_us(event_time_micros) AS t, CASE WHEN price_scale IS NULL THEN price ELSE round(price * pow(10.0, price_scale)) END AS v FROM ticks LEFT JOIN generations USING (generation) WHERE price IS NOT NULL AND event_time_micros IS NOT NULL),
 n AS (SELECT *, row_number() OVER (PARTITION BY generation ORDER BY t, tick_id) - row_number() OVER (PARTITION BY generation, v ORDER BY t, tick_id) AS run FROM t)
 SELECT arg_min(tick_id, (t, tick_id)) AS first_tick_id, count(*) AS n_records, max(t) - min(t) AS duration_micros FROM n GROUP BY generation, v, run HAVING count(*) >= 2""",
-    "p10_statistics": rf"""
-WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-s AS (SELECT doc_id, t, regexp_extract_all(lower(t), '\p{{L}}+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '\S')) AS l FROM t)
+    "p10_statistics": r"""
+WITH t AS (SELECT row_number() OVER () AS i, doc_id, coalesce(text, '') AS t FROM documents),
+s AS (SELECT i, doc_id, t, regexp_extract_all(lower(t), '\p{L}+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '\S')) AS l FROM t),
+common AS (SELECT word FROM (SELECT unnest(list_distinct(w)) AS word FROM s) GROUP BY 1 HAVING count(*) >= 0.05 * (SELECT count(*) FROM s)),
+known AS (SELECT i, count(*) AS k FROM (SELECT i, unnest(w) AS word FROM s) JOIN common USING (word) GROUP BY 1)
 SELECT doc_id, len(w) AS n_words, CASE WHEN len(w) > 0 THEN round(CAST(list_sum(list_transform(w, lambda x: length(x))) AS DOUBLE) / len(w), 6) END AS mean_word_length,
-  CASE WHEN length(t) > 0 THEN round(CAST(length(regexp_replace(t, '[\p{{L}}\p{{Nd}}\s]+', '', 'g')) AS DOUBLE) / length(t), 6) END AS symbol_ratio,
+  CASE WHEN length(t) > 0 THEN round(CAST(length(regexp_replace(t, '[\p{L}\p{Nd}\s]+', '', 'g')) AS DOUBLE) / length(t), 6) END AS symbol_ratio,
   CASE WHEN len(l) > 0 THEN round(CAST(len(list_filter(l, lambda x: regexp_matches(x, '[.!?…:]\s*$'))) AS DOUBLE) / len(l), 6) END AS end_mark_share,
-  CASE WHEN len(w) > 0 THEN round(CAST(len(list_filter(w, lambda x: x IN ({", ".join(f"'{x}'" for x in sorted(COMMON_WORDS))}))) AS DOUBLE) / len(w), 6) END AS common_word_share,
-  CAST(len(l) AS BIGINT) AS line_count FROM s""",
+  CASE WHEN len(w) > 0 THEN round(CAST(coalesce(k, 0) AS DOUBLE) / len(w), 6) END AS common_word_share, CAST(len(l) AS BIGINT) AS line_count FROM s LEFT JOIN known USING (i)""",
 }
