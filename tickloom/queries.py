@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.text import instant_micros
-from .operators import late_events, periods, redelivery, references, regrid, runs, spikes
+from .operators import late_events, periods, redelivery, references, regrid, spikes
 from . import extra_queries, research_queries, stream_queries
 from .sources import table
 
@@ -32,11 +32,6 @@ def p1_hourly(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("total", F.round(F.col("total").cast("double"), 3)).withColumns({c: F.col(c).cast("double") for c in ("low", "high")})
 
 
-def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    out = runs.standing_prices(table(spark, d, "ticks"), table(spark, d, "generations"))
-    return out.select(F.col("first_id").alias("first_tick_id"), "n_records", "duration_micros")
-
-
 def _orphans(spark: SparkSession, d: str) -> DataFrame:
     t = lambda name: table(spark, d, name)
     return references.orphans(
@@ -109,7 +104,7 @@ def p7_periods(spark: SparkSession, d: str) -> DataFrame:
     return periods.continuous_periods(_spans(spark, d), P7_KEYS, "s", "e").drop("gap_end")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_corrected, p1_hourly, p2_found, p3_found, p3_report, p4_found, p4_grid, p5_found, p5_kept, p6_found, p6_flags, p7_found, p7_periods)} | stream_queries.QUERIES | research_queries.QUERIES | extra_queries.QUERIES
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_corrected, p1_hourly, p3_found, p3_report, p4_found, p4_grid, p5_found, p5_kept, p6_found, p6_flags, p7_found, p7_periods)} | stream_queries.QUERIES | research_queries.QUERIES | extra_queries.QUERIES
 
 _P1_ARRIVED = """
 WITH pages AS (SELECT regexp_replace(lower(acquisition_id), '^\\s+|\\s+$', '', 'g') AS a, ordinal AS o, min(epoch_us(receipt_time_utc)) AS k FROM raw_pages WHERE receipt_time_utc IS NOT NULL GROUP BY 1, 2),
@@ -151,10 +146,6 @@ ORACLES: dict[str, str] = {
     "p1_found": _P1_ARRIVED + "SELECT DISTINCT generation, p AS period_start_micros FROM arrived WHERE arrival > p + 300000000 AND arrival <= p + 2100000000",
     "p1_corrected": _P1_ARRIVED + _P1_STATE + "SELECT generation, p AS period_start_micros, n, n_values, round(CAST(total AS DOUBLE), 3) AS total, CAST(low AS DOUBLE) AS low, CAST(high AS DOUBLE) AS high, versions FROM periods",
     "p1_hourly": _P1_ARRIVED + _P1_STATE + "SELECT generation, CAST(floor(p / 3600000000) AS BIGINT) * 3600000000 AS period_start_micros, CAST(sum(n) AS BIGINT) AS n, CAST(sum(n_values) AS BIGINT) AS n_values, round(CAST(sum(total) AS DOUBLE), 3) AS total, CAST(min(low) AS DOUBLE) AS low, CAST(max(high) AS DOUBLE) AS high, CAST(sum(versions) AS BIGINT) AS versions FROM periods GROUP BY 1, 2",
-    "p2_found": """
-WITH t AS (SELECT ticks.generation, tick_id, epoch_us(event_time_micros) AS t, CASE WHEN price_scale IS NULL THEN price ELSE round(price * pow(10.0, price_scale)) END AS v FROM ticks LEFT JOIN generations USING (generation) WHERE price IS NOT NULL AND event_time_micros IS NOT NULL),
-n AS (SELECT *, row_number() OVER (PARTITION BY generation ORDER BY t, tick_id) - row_number() OVER (PARTITION BY generation, v ORDER BY t, tick_id) AS run FROM t)
-SELECT arg_min(tick_id, (t, tick_id)) AS first_tick_id, count(*) AS n_records, max(t) - min(t) AS duration_micros FROM n GROUP BY generation, v, run HAVING count(*) >= 2""",
     "p3_found": _P3 + "SELECT ref_table, ref_id, ref_field, ref_key FROM misses",
     "p3_report": _P3 + "SELECT ref_table, day, reason, count(*) AS n_references, count(DISTINCT ref_id) AS n_rows FROM misses GROUP BY 1, 2, 3",
     "p4_found": """
