@@ -44,10 +44,10 @@ def test_shares_repeats_and_prefixes(spark, vocabulary):
     docs = [(k, "big" if k % 3 else "small", "x" * (20 + k % 31)) for k in range(900)] + [(2000, None, "xx"), (2001, "other", "xx"), (2002, "big", ""), (2003, "small", None), (None, "big", "yy")]
     m, plans = mixed(spark, docs, [("big", 0.4, 1), ("small", 0.6, 3), ("none", 0.0, 2)], vocabulary, block_tokens=256)
     rows = m.collect()
-    uses = collections.Counter((r["source"], r["doc_id"]) for r in rows)
+    uses = collections.Counter((r["source"], r["doc_id"]) for r in rows if r["from_token"] == 0)
     assert max(n for (s, _), n in uses.items() if s == "big") == 1 and max(n for (s, _), n in uses.items() if s == "small") <= 3
     small = [n for (s, _), n in uses.items() if s == "small"]
-    assert max(small) - min(small) <= 1 and {k for _, k in uses} <= set(range(900))
+    assert max(small) - min(small) <= 1 and {k for _, k in uses} <= {None, *range(900)}
     total = sum(r["n_tokens"] for r in rows)
     for p in plans:
         got = sum(r["n_tokens"] for r in rows if r["source"] == p.source)
@@ -69,6 +69,37 @@ def test_every_block_has_its_own_slot(spark, vocabulary):
     assert all(len(x) == 1 for x in at.values()) and len(at) == len({y for x in at.values() for y in x})
 
 
+def test_blocks_hold_equally_many_tokens_and_uses_are_whole(spark, vocabulary):
+    docs = [(k, "ab"[k % 3 > 0], "x" * (1 + 7 * k % 400)) for k in range(500)]
+    m, plans = mixed(spark, docs, [("a", 0.5, 3), ("b", 0.5, 2)], vocabulary, block_tokens=256, shuffled=40)
+    rows = m.collect()
+    size, use = collections.Counter(), collections.defaultdict(list)
+    for r in rows:
+        size[r["source"], r["block"]] += r["n_tokens"]
+        use[r["doc_id"], r["copy"]].append((r["block"], r["from_token"], r["n_tokens"]))
+    for p in plans:
+        blocks = sorted(b for s, b in size if s == p.source)
+        assert blocks == list(range(len(blocks))) and all(size[p.source, b] == 256 for b in blocks[:-1]) and 0 < size[p.source, blocks[-1]] <= 256
+    texts = {k: len(t) for k, _, t in docs}
+    for (k, _), parts in use.items():
+        at = 0
+        for _, since, n in sorted(parts):
+            assert since == at
+            at += n
+        assert at == texts[k]
+
+
+def test_golden_points_stay_exact(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(0,), (1,), (10**6 + 7,), (10**12 + 39,)], "slot bigint").select("slot", mixing.golden_point(F.col("slot")).alias("p")).collect()
+    from decimal import Decimal, getcontext
+
+    getcontext().prec = 50
+    g = Decimal("0.61803398874989484820458683436563811772030917980576")
+    assert all(abs(float((g * r["slot"]) % 1) - r["p"]) < 1e-9 for r in rows)
+
+
 def test_empty(spark, vocabulary):
     m, plans = mixed(spark, [], [("a", 1.0, 1)], vocabulary)
     assert m.count() == 0 and mixing.shares(m, plans).count() == 1
