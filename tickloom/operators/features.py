@@ -263,7 +263,7 @@ def swings(c: DataFrame, s: Settings = SETTINGS) -> DataFrame:
     c = c.withColumn("_row", F.row_number().over(w).cast("bigint") - 1)
     top = enough & (high > F.max("high_units").over(before)) & (high > F.max("high_units").over(after))
     bottom = enough & (low < F.min("low_units").over(before)) & (low < F.min("low_units").over(after))
-    c = c.withColumns({"newly_confirmed_swing_high": F.coalesce(top, F.lit(False)), "newly_confirmed_swing_low": F.coalesce(bottom, F.lit(False)), "_hl": high, "_ll": low, "_ec": F.lag("close_micros", right).over(w), "_pc": F.lag("close_units").over(w)})
+    c = c.withColumns({"newly_confirmed_swing_high": F.coalesce(top, F.lit(False)), "newly_confirmed_swing_low": F.coalesce(bottom, F.lit(False)), "_hl": high, "_ll": low, "_ec": F.lag("close_micros", right).over(w), "_eo": F.lag("ordinal", right).over(w), "_pc": F.lag("close_units").over(w)})
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     for side, level in (("high", "_hl"), ("low", "_ll")):
         known = F.last(F.when(F.col(f"newly_confirmed_swing_{side}"), F.struct(F.col(level).alias("units"), F.col("_ec").alias("event"), F.col("close_micros").alias("confirm"), F.col("_row").alias("row"))), ignorenulls=True).over(run)
@@ -278,7 +278,7 @@ def swings(c: DataFrame, s: Settings = SETTINGS) -> DataFrame:
     return c.withColumns({
         "sweep_reject_high": no((F.col("high_units") > up) & (close < up)), "breakout_up": no((close > up) & (pc.isNull() | (pc <= up))),
         "sweep_reject_low": no((F.col("low_units") < dn) & (close > dn)), "breakout_down": no((close < dn) & (pc.isNull() | (pc >= dn))),
-    }).drop("_ec")
+    })
 
 
 def sequence(c: DataFrame, s: Settings = SETTINGS) -> DataFrame:
@@ -287,11 +287,11 @@ def sequence(c: DataFrame, s: Settings = SETTINGS) -> DataFrame:
     run, earlier = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
     for side, level, names in (("high", "_hl", ("first_high", "HH", "LH", "EH")), ("low", "_ll", ("first_low", "HL", "LL", "EL"))):
         new = F.col(f"newly_confirmed_swing_{side}")
-        prev = F.last(F.when(new, F.col(level)), ignorenulls=True).over(earlier)
+        point = F.struct(F.col(level).alias("units"), F.col("_ec").alias("event"), F.col("close_micros").alias("confirm"))
+        c = c.withColumn(f"_before_{side}", F.last(F.when(new, point), ignorenulls=True).over(earlier))
+        prev = F.col(f"_before_{side}.units")
         kind = F.when(new, F.when(prev.isNull(), names[0]).when(F.col(level) - prev > s.epsilon_units, names[1]).when(prev - F.col(level) > s.epsilon_units, names[2]).otherwise(names[3]))
         c = c.withColumn(f"swing_{side}_type", kind).withColumn(f"last_swing_{side}_type", F.last(f"swing_{side}_type", ignorenulls=True).over(run))
-    ec = F.lag("close_micros", s.swing_right).over(w)
-    c = c.withColumn("_ec", ec)
     for t, side, level in (("HH", "high", "_hl"), ("HL", "low", "_ll"), ("LH", "high", "_hl"), ("LL", "low", "_ll")):
         c = c.withColumn(f"newly_confirmed_{t}", F.coalesce(F.col(f"swing_{side}_type") == t, F.lit(False)))
         known = F.last(F.when(F.col(f"newly_confirmed_{t}"), F.struct(F.col(level).alias("units"), F.col("_ec").alias("event"), F.col("close_micros").alias("confirm"), F.col("_row").alias("row"))), ignorenulls=True).over(run)
@@ -303,7 +303,7 @@ def sequence(c: DataFrame, s: Settings = SETTINGS) -> DataFrame:
         F.when(h.isNull() | l.isNull(), "unknown,unknown").when(h.startswith("first") | l.startswith("first"), "warming_up,unknown").when((h == "HH") & (l == "HL"), "bullish_hh_hl,bullish").when((h == "LH") & (l == "LL"), "bearish_lh_ll,bearish")
         .when((h == "HH") & (l == "LL"), "expanding_hh_ll,volatile_expansion").when((h == "LH") & (l == "HL"), "contracting_lh_hl,compression").when((h == "EH") | (l == "EL"), "equal_level_mixed,mixed").otherwise("mixed,mixed")
     )
-    return c.withColumn("market_structure_sequence", F.split_part(word, F.lit(","), F.lit(1))).withColumn("market_structure_bias", F.split_part(word, F.lit(","), F.lit(2))).drop("_ec")
+    return c.withColumn("market_structure_sequence", F.split_part(word, F.lit(","), F.lit(1))).withColumn("market_structure_bias", F.split_part(word, F.lit(","), F.lit(2)))
 
 
 # What a window cannot say
@@ -318,11 +318,11 @@ def _carried(s: Settings):
         age = still = 0
         ema: list[float] = []
         n = 0
-        active: tuple[str, float, int] | None = None
+        active: tuple[str, float, int, int] | None = None
         trend = "none"
         for df in frames:
             k = len(df)
-            out = {c: np.empty(k, object) for c in ("trend_leg_direction", "pullback_against_trend", "failed_breakout_up", "failed_breakout_down", "break_of_structure", "change_of_character")}
+            out = {c: np.empty(k, object) for c in ("trend_leg_direction", "pullback_against_trend", "failed_breakout_up", "failed_breakout_down", "break_of_structure", "change_of_character", "_failed_units", "_failed_close")}
             ages, values = np.empty(k, np.int64), np.full((k, len(periods)), np.nan)
             steps = np.full((k, len(periods)), np.nan)
             for i, x in enumerate(df.itertuples(index=False)):
@@ -350,15 +350,16 @@ def _carried(s: Settings):
                 out["trend_leg_direction"][i], ages[i] = leg, age
                 fu = fd = bos = coc = False
                 if active is not None:
-                    d, level, start = active
+                    d, level, start, began = active
                     if x.row - start > s.breakout_max_bars:
                         active = None
                     elif x.row > start and (x.close < level if d == "up" else x.close > level):
                         fu, fd, active = d == "up", d == "down", None
+                        out["_failed_units"][i], out["_failed_close"][i] = int(level), began
                 for d, broke, level in (("up", x.up, x.high), ("down", x.down, x.low)):
                     if broke:
                         bos, coc = bos or trend in ("none", d), coc or trend not in ("none", d)
-                        active, trend = (d, level, x.row), d
+                        active, trend = (d, level, x.row, x.closed), d
                 out["failed_breakout_up"][i], out["failed_breakout_down"][i], out["break_of_structure"][i], out["change_of_character"][i] = fu, fd, bos, coc
             frame = pd.DataFrame({"generation": df["generation"], "ordinal": df["ordinal"], **out, "trend_leg_age_candles": ages, "_in_segment": df["in_segment"]})
             for j, p in enumerate(periods):
@@ -372,9 +373,9 @@ def carried(c: DataFrame, s: Settings = SETTINGS) -> DataFrame:
     """Moving averages, trend legs and what becomes of breakouts, joined to the rows; needs rolling(), adjacency() and swings()."""
     cols = c.select(
         E, "ordinal", F.col("clean_segment_index").alias("segment"), F.col("clean_segment_candle_index").alias("in_segment"), F.col("close_units").cast("double").alias("close"), F.col("candle_direction").alias("direction"), F.col("directional_state").alias("state"),
-        F.col("breakout_up").alias("up"), F.col("breakout_down").alias("down"), F.col("last_swing_high_units").cast("double").alias("high"), F.col("last_swing_low_units").cast("double").alias("low"), F.col("_row").alias("row"),
+        F.col("breakout_up").alias("up"), F.col("breakout_down").alias("down"), F.col("last_swing_high_units").cast("double").alias("high"), F.col("last_swing_low_units").cast("double").alias("low"), F.col("_row").alias("row"), F.col("close_micros").alias("closed"),
     )
-    kinds = f"{E} string, ordinal bigint, trend_leg_direction string, pullback_against_trend boolean, failed_breakout_up boolean, failed_breakout_down boolean, break_of_structure boolean, change_of_character boolean, trend_leg_age_candles bigint, _in_segment bigint"
+    kinds = f"{E} string, ordinal bigint, trend_leg_direction string, pullback_against_trend boolean, failed_breakout_up boolean, failed_breakout_down boolean, break_of_structure boolean, change_of_character boolean, _failed_units bigint, _failed_close bigint, trend_leg_age_candles bigint, _in_segment bigint"
     kinds += "".join(f", ema{p} double, _step{p} double" for p in s.periods)
     state = cols.repartition(E).sortWithinPartitions(E, "ordinal").mapInPandas(_carried(s), kinds)
     five = lambda v, ready, name: F.when(~ready | v.isNull(), "not_ready").when(v >= 5, f"{name}strong_up").when(v >= 1, f"{name}mild_up").when(v <= -5, f"{name}strong_down").when(v <= -1, f"{name}mild_down").otherwise(f"{name}flat")
@@ -412,13 +413,54 @@ def structure(x: DataFrame) -> DataFrame:
     return x.withColumn("current_event_close_micros", F.when(c("current_event_types") != "", c("close_micros")))
 
 
-def structure_events(x: DataFrame) -> DataFrame:
-    """One row per structure event: generation, event_id (running), event_type, event_direction, event_row, close_micros, known_at_micros, price_units."""
-    rows = x.where("current_event_types <> ''").select(E, "_row", "close_micros", "known_at_micros", "close_units", F.posexplode(F.split("current_event_types", r"\|")).alias("_p", "_v"))
-    w = Window.partitionBy(E).orderBy("_row", "_p")
-    return rows.select(
-        E, F.row_number().over(w).cast("bigint").alias("event_id"), F.split_part("_v", F.lit(":"), F.lit(1)).alias("event_type"), F.split_part("_v", F.lit(":"), F.lit(2)).alias("event_direction"), F.col("_row").alias("event_row"), "close_micros", "known_at_micros", F.col("close_units").alias("price_units")
-    )
+#: Columns of the event tables after generation.
+STRUCTURE_EVENT = ("event_id", "event_type", "event_direction", "event_close_micros", "confirm_close_micros", "known_at_micros", "event_row", "confirm_row", "event_candle_ordinal", "confirm_candle_ordinal", "price_units", "level_units", "reference", "reference_close_micros")
+SEQUENCE_EVENT = ("event_id", "row", "candle_ordinal", "decision_close_micros", "known_at_micros", "swing_event_type", "swing_type", "swing_price_units", "swing_event_close_micros", "swing_confirm_close_micros", "previous_price_units", "previous_event_close_micros", "previous_confirm_close_micros", "sequence_after", "bias_after")
+
+
+def structure_events(x: DataFrame, s: Settings = SETTINGS) -> DataFrame:
+    """One row per structure event, numbered from 1 in a generation: generation and STRUCTURE_EVENT.
+
+    A swing lies at its own candle and is confirmed `swing_right` rows later; all other events are confirmed where they happen. level and
+    reference say what the event is held against: a swing, or the breakout that failed.
+    """
+    c = F.col
+    none = F.lit(None).cast("bigint")
+
+    def event(kind: Column | str, direction: str, price: Column, level: Column, reference: str, since: Column, swing: bool = False) -> Column:
+        kind = F.lit(kind) if isinstance(kind, str) else kind
+        own = (c("_ec"), c("_row") - s.swing_right, c("_eo")) if swing else (c("close_micros"), c("_row"), c("ordinal"))
+        return F.struct(
+            kind.alias("event_type"), F.lit(direction).alias("event_direction"), own[0].alias("event_close_micros"), c("close_micros").alias("confirm_close_micros"), "known_at_micros", own[1].alias("event_row"), c("_row").alias("confirm_row"),
+            own[2].alias("event_candle_ordinal"), c("ordinal").alias("confirm_candle_ordinal"), price.alias("price_units"), level.alias("level_units"), F.lit(reference).alias("reference"), since.alias("reference_close_micros"),
+        )
+
+    turn = F.when(c("break_of_structure"), "break_of_structure").otherwise("change_of_character")
+    close = c("close_units")
+    events = [F.when(c(f"newly_confirmed_swing_{side}"), event(f"swing_{side}", d, c(level), c(level), "strict_left_right", none, True)) for side, d, level in (("high", "up", "_hl"), ("low", "down", "_ll"))]
+    events += [F.when(c(f"failed_breakout_{d}"), event("failed_breakout", d, close, c("_failed_units"), "active_breakout", c("_failed_close"))) for d in ("up", "down")]
+    for side, back, out in (("high", "down", "up"), ("low", "up", "down")):
+        held = (c(f"last_swing_{side}_units"), f"last_swing_{side}", c(f"last_swing_{side}_event_close_micros"))
+        events.append(F.when(c(f"sweep_reject_{side}"), event(f"sweep_reject_{side}", back, close, *held)))
+        events += [F.when(c(f"breakout_{out}"), event(kind, out, close, *held)) for kind in ("breakout", turn)]
+    rows = x.select(E, "_row", F.posexplode(F.array_compact(F.array(*events))).alias("_p", "_v"))
+    number = F.row_number().over(Window.partitionBy(E).orderBy("_row", "_p")).cast("bigint")
+    return rows.select(E, number.alias("event_id"), *[F.col(f"_v.{k}") for k in STRUCTURE_EVENT[1:]])
+
+
+def sequence_events(x: DataFrame) -> DataFrame:
+    """One row per confirmed swing, numbered from 1 in a generation, with its type, the swing before on its side and what the sequence is after it: generation and SEQUENCE_EVENT; needs sequence()."""
+    c = F.col
+    swing = lambda side, level: F.when(c(f"newly_confirmed_swing_{side}"), F.struct(F.lit(f"swing_{side}").alias("kind"), c(f"swing_{side}_type").alias("type"), c(level).alias("units"), c(f"_before_{side}").alias("before")))
+    rows = x.select(
+        E, c("_row").alias("row"), c("ordinal").alias("candle_ordinal"), c("close_micros").alias("decision_close_micros"), "known_at_micros", c("_ec").alias("swing_event_close_micros"), c("market_structure_sequence").alias("sequence_after"), c("market_structure_bias").alias("bias_after"),
+        F.posexplode(F.array_compact(F.array(swing("high", "_hl"), swing("low", "_ll")))).alias("_p", "_v"),
+    )
+    rows = rows.withColumns({
+        "event_id": F.row_number().over(Window.partitionBy(E).orderBy("row", "_p")).cast("bigint"), "swing_event_type": c("_v.kind"), "swing_type": c("_v.type"), "swing_price_units": c("_v.units"), "swing_confirm_close_micros": c("decision_close_micros"),
+        "previous_price_units": c("_v.before.units"), "previous_event_close_micros": c("_v.before.event"), "previous_confirm_close_micros": c("_v.before.confirm"),
+    })
+    return rows.select(E, *SEQUENCE_EVENT)
 
 
 def regime(x: DataFrame) -> DataFrame:

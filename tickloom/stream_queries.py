@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .operators import encodings
 from .operators import features as fe
 from .operators import stream as st
+from .plans import catalog
 from .sources import table
 
 
@@ -95,7 +97,7 @@ def profile_runs(spark: SparkSession, d: str) -> DataFrame:
 def profile_documents(spark: SparkSession, d: str) -> DataFrame:
     moved = _moved(spark, d)
     p = st.profile(moved, st.candles(moved, moved=moved))
-    return p.select("generation", F.to_json("prices").alias("prices"), F.to_json("gaps").alias("gaps"), F.to_json("runs").alias("runs"), F.to_json("flags").alias("flags"))
+    return p.select("generation", "prices.*", "gaps.*", "runs.*", "flags.*")
 
 
 KEY = ("generation", "ordinal")
@@ -163,15 +165,27 @@ def structure_events(spark: SparkSession, d: str) -> DataFrame:
     return fe.structure_events(_all(spark, d))
 
 
+def sequence_events(spark: SparkSession, d: str) -> DataFrame:
+    return fe.sequence_events(fe.sequence(fe.swings(fe.candle_columns(_candles(spark, d)))))
+
+
 def regime(spark: SparkSession, d: str) -> DataFrame:
     return _all(spark, d).select(*KEY, *REGIME)
 
 
-def feature_rows_all(spark: SparkSession, d: str) -> DataFrame:
-    """Every feature of every clean candle."""
+def _features(spark: SparkSession, d: str) -> DataFrame:
     moved = _moved(spark, d)
-    out = fe.features(st.candles(moved, moved=moved), fe.tick_path(moved))
-    return out.drop(*[c for c in out.columns if c.startswith("_")])
+    return fe.features(st.candles(moved, moved=moved), fe.tick_path(moved))
+
+
+def feature_rows_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every output of the catalog for every clean candle."""
+    return catalog.resolve().apply(_features(spark, d))
+
+
+def feature_bins(spark: SparkSession, d: str) -> DataFrame:
+    """All fixed bins of every clean candle."""
+    return encodings.fixed_bins(_features(spark, d), list(encodings.BINS)).select(*KEY, *[f"{c}_bucketed" for c in encodings.BINS])
 
 
 QUERIES = {
@@ -179,7 +193,7 @@ QUERIES = {
     for f in (
         ticks_accepted, tick_rejects, tick_moves, quote_deltas, candles_tumbling, candles_offset_grid, candles_multi_stream, candle_flags, candle_flag_counts, candles_withheld_tail, candles_from_bars, profile_gap_facts,
         profile_cadence_histogram, profile_jump_histogram, profile_price_facts, profile_runs, profile_documents, tick_path, anatomy, adjacency, rolling_features, rolling_statistics, candle_shape, swing_structure, swing_sequence,
-        moving_averages, structure_state, structure_events, regime, feature_rows_all,
+        moving_averages, structure_state, structure_events, sequence_events, regime, feature_rows_all, feature_bins,
     )
 }
 
@@ -385,6 +399,114 @@ SELECT generation, open_micros, n >= 3 AS tick_path_ready, n AS tick_path_direct
   CASE WHEN n < 3 THEN 'insufficient_tick_path' WHEN eff >= 0.65 THEN 'high' WHEN eff >= 0.35 THEN 'medium' ELSE 'low' END AS tick_path_efficiency_bucket, CASE WHEN n < 3 THEN 'insufficient_tick_path' WHEN rev >= 0.6 THEN 'high' WHEN rev <= 0.45 THEN 'low' ELSE 'medium' END AS tick_path_reversal_bucket FROM p6"""
 )
 
+def _state_sql() -> str:
+    """The recurrences row by row: moving averages begin anew in each segment, legs and breakouts are carried through a generation."""
+
+    def step(v: dict[str, str]) -> str:
+        """The state after row `s`, from the values before it."""
+        moving = "s.ds IN ('up', 'down')"
+        emas = [f"CASE WHEN {v['sg']} IS NULL OR {v['sg']} <> s.sg THEN s.z ELSE {2.0 / (p + 1)!r} * s.z + {1.0 - 2.0 / (p + 1)!r} * {v[f'e{p}']} END AS e{p}" for p in (20, 50)]
+        steps = [f"CASE WHEN {v['sg']} = s.sg AND {v[f'e{p}']} <> 0 THEN ({2.0 / (p + 1)!r} * s.z + {1.0 - 2.0 / (p + 1)!r} * {v[f'e{p}']} - {v[f'e{p}']}) / {v[f'e{p}']} * 10000 END AS st{p}" for p in (20, 50)]
+        live = f"{v['ad']} IS NOT NULL AND s.rn - {v['ar']} <= 5"
+        failed = f"({live} AND s.rn > {v['ar']} AND (({v['ad']} = 'up' AND s.z < {v['al']}) OR ({v['ad']} = 'down' AND s.z > {v['al']})))"
+        kept = f"({live} AND NOT {failed})"
+        now = f"CASE WHEN s.bu THEN 'up' ELSE {v['tr']} END"
+        active = lambda down, up, old, none: f"CASE WHEN s.bd THEN {down} WHEN s.bu THEN {up} WHEN {kept} THEN {old} ELSE {none} END"
+        return ", ".join([
+            "s.generation", "s.ordinal", "s.rn", "s.sg", *emas, *steps,
+            f"coalesce({v['leg']} IN ('up', 'down') AND {v['age']} >= 2 AND s.dir IN ('up', 'down') AND s.dir <> {v['leg']}, false) AS pb",
+            f"CASE WHEN {moving} THEN s.ds WHEN {v['still']} + 1 >= 3 THEN 'none' ELSE {v['leg']} END AS leg",
+            f"CASE WHEN {moving} THEN CASE WHEN s.ds = {v['leg']} THEN {v['age']} + 1 ELSE 1 END WHEN {v['still']} + 1 >= 3 THEN 0 ELSE {v['age']} END AS age",
+            f"CASE WHEN {moving} THEN 0 ELSE {v['still']} + 1 END AS still",
+            f"coalesce({failed} AND {v['ad']} = 'up', false) AS fu", f"coalesce({failed} AND {v['ad']} = 'down', false) AS fd", f"CASE WHEN {failed} THEN CAST({v['al']} AS BIGINT) END AS fl", f"CASE WHEN {failed} THEN {v['ac']} END AS fc",
+            f"(s.bu AND {v['tr']} IN ('none', 'up')) OR (s.bd AND {now} IN ('none', 'down')) AS bos", f"(s.bu AND {v['tr']} NOT IN ('none', 'up')) OR (s.bd AND {now} NOT IN ('none', 'down')) AS coc",
+            active("'down'", "'up'", v["ad"], "CAST(NULL AS VARCHAR)") + " AS ad", active("s.lu", "s.hu", v["al"], "CAST(NULL AS DOUBLE)") + " AS al", active("s.rn", "s.rn", v["ar"], "CAST(NULL AS BIGINT)") + " AS ar", active("s.cm", "s.cm", v["ac"], "CAST(NULL AS BIGINT)") + " AS ac",
+            f"CASE WHEN s.bd THEN 'down' WHEN s.bu THEN 'up' ELSE {v['tr']} END AS tr",
+        ])
+
+    first = {"sg": "CAST(NULL AS BIGINT)", "e20": "0.0", "e50": "0.0", "leg": "'none'", "age": "CAST(0 AS BIGINT)", "still": "CAST(0 AS BIGINT)", "ad": "CAST(NULL AS VARCHAR)", "al": "CAST(NULL AS DOUBLE)", "ar": "CAST(NULL AS BIGINT)", "ac": "CAST(NULL AS BIGINT)", "tr": "'none'"}
+    return f""",
+src AS MATERIALIZED (SELECT q.generation, q.ordinal, w.rn, seg.clean_segment_index AS sg, CAST(q.z AS DOUBLE) AS z, q.close_micros AS cm, q.candle_direction AS dir, q.directional_state AS ds, w.breakout_up AS bu, w.breakout_down AS bd, CAST(w.last_swing_high_units AS DOUBLE) AS hu, CAST(w.last_swing_low_units AS DOUBLE) AS lu
+  FROM q JOIN w ON w.generation = q.generation AND w.ordinal = q.ordinal JOIN seg ON seg.generation = q.generation AND seg.ordinal = q.ordinal),
+rec AS (SELECT {step(first)} FROM src s WHERE s.rn = 0 UNION ALL SELECT {step({k: f"r.{k}" for k in first})} FROM rec r JOIN src s ON s.generation = r.generation AND s.rn = r.rn + 1)"""
+
+
+def _features_sql() -> str:
+    """All stages in one: `ft` has every output of every clean candle."""
+    path, last = PATH.split("\nSELECT generation, open_micros, n >= 3")
+    parts = [CLEAN.replace("\nk AS (", "\nk AS MATERIALIZED (") + path[len(MOVED) :] + ",\npth AS (SELECT generation, open_micros, n >= 3" + last + ")"]
+    parts += [ADJACENT[len(CLEAN) :], ROLLED[len(CLEAN) :], _statistics_sql()[len(ROLLED) :], SHAPED[len(ADJACENT) :], _sequence_sql()[len(CLEAN) :], _state_sql()]
+    path_columns = [o.name for o in catalog.catalog() if o.stage == "tick_path"]
+    picked = [*[f"q.{c}" for c in ROLLING], *[f"seg.{c}" for c in ADJACENCY], *[f"s.{c}" for c in STATISTICS], *[f"sh.{c}" for c in SHAPE], *[f"e.{c}" for c in (*SWINGS, *SEQUENCE)], *[f"pth.{c}" for c in path_columns]]
+    state = ["rec.rn", "rec.e20", "rec.e50", "rec.st20", "rec.st50", "rec.fl", "rec.fc", *[f"rec.{a} AS {b}" for a, b in (("leg", "trend_leg_direction"), ("age", "trend_leg_age_candles"), ("pb", "pullback_against_trend"), ("fu", "failed_breakout_up"), ("fd", "failed_breakout_down"), ("bos", "break_of_structure"), ("coc", "change_of_character"))]]
+    on = lambda a: f"{a}.generation = k.generation AND {a}.ordinal = k.ordinal"
+    parts.append(f""",
+f0 AS (SELECT k.*, {", ".join(picked)}, {", ".join(state)}, e.hl, e.ll, e.ec, lag(k.ordinal, 2) OVER (PARTITION BY k.generation ORDER BY k.ordinal) AS eo
+  FROM k JOIN q ON {on("q")} JOIN seg ON {on("seg")} JOIN s ON {on("s")} JOIN sh ON {on("sh")} JOIN e ON {on("e")} JOIN rec ON {on("rec")} LEFT JOIN pth ON pth.generation = k.generation AND pth.open_micros = k.open_micros)""")
+    five = lambda v, ready, name: f"CASE WHEN NOT ({ready}) OR {v} IS NULL THEN 'not_ready' WHEN {v} >= 5 THEN '{name}strong_up' WHEN {v} >= 1 THEN '{name}mild_up' WHEN {v} <= -5 THEN '{name}strong_down' WHEN {v} <= -1 THEN '{name}mild_down' ELSE '{name}flat' END"
+    emas = []
+    for p in (20, 50):
+        ready, away = f"clean_segment_candle_index + 1 >= {p}", f"((z - e{p}) / nullif(e{p}, 0) * 10000)"
+        emas.append(f"round(e{p}, 6) AS ema{p}, {ready} AS is_ema{p}_ready, round({away}, 6) AS close_vs_ema{p}_bps, z >= e{p} AS is_close_above_ema{p}, round(st{p}, 6) AS ema{p}_slope_bps, {five(f'st{p}', ready, 'ema_slope_')} AS ema{p}_slope_state, {five(away, ready, 'close_vs_ema_')} AS close_vs_ema{p}_state")
+    apart = "((e20 - e50) / nullif(e50, 0) * 10000)"
+    emas.append(f"round({apart}, 6) AS ema20_minus_ema50_bps, e20 >= e50 AS is_ema20_above_ema50, {five(apart, 'clean_segment_candle_index + 1 >= 50', 'ema20_vs_ema50_')} AS ema20_ema50_alignment_state")
+    turn = "CASE WHEN break_of_structure THEN 'break_of_structure' ELSE 'change_of_character' END"
+    tokens = ["CASE WHEN newly_confirmed_swing_high THEN 'swing_high:up' END", "CASE WHEN newly_confirmed_swing_low THEN 'swing_low:down' END", "CASE WHEN failed_breakout_up THEN 'failed_breakout:up' END", "CASE WHEN failed_breakout_down THEN 'failed_breakout:down' END"]
+    for side, back, out in (("high", "down", "up"), ("low", "up", "down")):
+        tokens += [f"CASE WHEN sweep_reject_{side} THEN 'sweep_reject_{side}:{back}' END", f"CASE WHEN breakout_{out} THEN 'breakout:{out}' END", f"CASE WHEN breakout_{out} THEN {turn} || ':{out}' END"]
+    parts.append(f""",
+f1 AS (SELECT *, {", ".join(emas)}, low_activity AS low_tick_volume, hard_low_activity AS hard_low_tick_volume, gap_inside AS has_internal_gap, gap_before AS starts_after_gap, gap_before_micros AS starts_after_gap_micros, missing_buckets_before AS missing_buckets_since_prev_candle,
+  max_gap_inside_micros AS max_internal_gap_micros, frozen AS frozen_price_flag, frozen_observations AS max_same_price_run_ticks, frozen_micros AS max_same_price_run_micros, jump AS has_true_tick_jump, delayed_jump AS has_feed_delay_jump, reopen_jump AS has_gap_reopen_jump,
+  CASE WHEN failed_breakout_up OR failed_breakout_down THEN 'failed_breakout' WHEN sweep_reject_high OR sweep_reject_low THEN 'sweep_reject' WHEN breakout_up OR breakout_down THEN 'breakout' WHEN range_like THEN 'range' WHEN compression_state = 'compressed' THEN 'compression'
+    WHEN directional_state = 'up' THEN 'trend_up' WHEN directional_state = 'down' THEN 'trend_down' ELSE 'neutral' END AS structure_state,
+  concat_ws('|', {", ".join(tokens)}) AS current_event_types, market_structure_bias AS regime_structure_state,
+  CAST(directional_state = 'up' AS INT) + CAST(trend_leg_direction = 'up' AS INT) + CAST(market_structure_bias = 'bullish' AS INT) AS n_up, CAST(directional_state = 'down' AS INT) + CAST(trend_leg_direction = 'down' AS INT) + CAST(market_structure_bias = 'bearish' AS INT) AS n_down,
+  coalesce(greatest(directional_efficiency_10, directional_efficiency_20), 0.0) AS eff,
+  CASE WHEN range_to_avg20 IS NULL THEN 'unknown' WHEN range_to_avg20 < 0.6 THEN 'quiet' WHEN range_to_avg20 <= 1.8 THEN 'normal' WHEN range_to_avg20 <= 2.5 THEN 'expanded' ELSE 'extreme' END AS regime_volatility_state,
+  CASE WHEN failed_breakout_up THEN 'failed_breakout_up' WHEN failed_breakout_down THEN 'failed_breakout_down' WHEN sweep_reject_high THEN 'sweep_high' WHEN sweep_reject_low THEN 'sweep_low' WHEN change_of_character AND breakout_up THEN 'coch_up' WHEN change_of_character AND breakout_down THEN 'coch_down'
+    WHEN breakout_up THEN 'bos_up' WHEN breakout_down THEN 'bos_down' ELSE 'none' END AS regime_transition_state,
+  CASE WHEN frozen OR jump OR reopen_jump THEN 'frozen_or_dirty' WHEN has_gap OR delayed_jump OR max_abs_tick_jump_bps > 5 THEN 'gap_or_jump' WHEN low_activity OR hard_low_activity THEN 'low_volume' ELSE 'clean' END AS regime_quality_state FROM f0),
+f2 AS (SELECT *, CASE WHEN current_event_types <> '' THEN close_micros END AS current_event_close_micros, CASE WHEN compression_state = 'compressed' THEN 'compression' WHEN range_like OR directional_state = 'sideways' THEN 'range' WHEN n_up + n_down = 0 THEN 'neutral'
+    WHEN n_up > n_down AND (eff >= 0.35 OR n_up >= 2) THEN 'trend_up' WHEN n_down > n_up AND (eff >= 0.35 OR n_down >= 2) THEN 'trend_down' ELSE 'neutral' END AS regime_trend_state FROM f1),
+ft AS (SELECT *, CASE WHEN regime_trend_state = 'trend_up' OR regime_structure_state = 'bullish' OR regime_transition_state IN ('bos_up', 'coch_up', 'sweep_low', 'failed_breakout_down') THEN 'buy_bias'
+    WHEN regime_trend_state = 'trend_down' OR regime_structure_state = 'bearish' OR regime_transition_state IN ('bos_down', 'coch_down', 'sweep_high', 'failed_breakout_up') THEN 'sell_bias'
+    WHEN regime_trend_state IN ('range', 'compression') OR regime_structure_state IN ('compression', 'mixed', 'volatile_expansion') THEN 'two_sided_or_no_bias' ELSE 'neutral' END AS regime_directional_bias,
+  concat_ws('|', regime_trend_state, regime_volatility_state, regime_structure_state, regime_transition_state, regime_quality_state) AS regime_v1, regime_quality_state = 'clean' AS is_regime_clean,
+  regime_trend_state IN ('trend_up', 'trend_down') AS is_regime_trending, regime_trend_state = 'range' AS is_regime_ranging, regime_transition_state <> 'none' AS is_regime_transition FROM f2)""")
+    return "WITH RECURSIVE " + "".join(parts).lstrip()
+
+
+FEATURES = _features_sql()
+
+
+def _structure_event_sql() -> str:
+    own, swing = "close_micros, close_micros, known_at_micros, rn, rn, ordinal, ordinal", "ec, close_micros, known_at_micros, rn - 2, rn, eo, ordinal"
+    turn = "CASE WHEN break_of_structure THEN 'break_of_structure' ELSE 'change_of_character' END"
+    rows = [("newly_confirmed_swing_high", "'swing_high'", "up", swing, "hl, hl, 'strict_left_right', NULL"), ("newly_confirmed_swing_low", "'swing_low'", "down", swing, "ll, ll, 'strict_left_right', NULL")]
+    rows += [(f"failed_breakout_{d}", "'failed_breakout'", d, own, "z, fl, 'active_breakout', fc") for d in ("up", "down")]
+    for side, back, out in (("high", "down", "up"), ("low", "up", "down")):
+        held = f"z, last_swing_{side}_units, 'last_swing_{side}', last_swing_{side}_event_close_micros"
+        rows += [(f"sweep_reject_{side}", f"'sweep_reject_{side}'", back, own, held), (f"breakout_{out}", "'breakout'", out, own, held), (f"breakout_{out}", turn, out, own, held)]
+    union = " UNION ALL ".join(f"SELECT generation, rn, {k}, {kind}, '{d}', {at}, {held} FROM ft WHERE {where}" for k, (where, kind, d, at, held) in enumerate(rows))
+    return FEATURES + f", ev(generation, at_row, place, {', '.join(fe.STRUCTURE_EVENT[1:])}) AS ({union}) SELECT generation, row_number() OVER (PARTITION BY generation ORDER BY at_row, place) AS event_id, {', '.join(fe.STRUCTURE_EVENT[1:])} FROM ev"
+
+
+def _sequence_event_sql() -> str:
+    g = "PARTITION BY generation ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    last = lambda side, v: f"last_value(CASE WHEN newly_confirmed_swing_{side} THEN {v} END IGNORE NULLS) OVER ({g})"
+    lags = ", ".join(f"{last(side, v)} AS {side}_{name}" for side, level in (("high", "hl"), ("low", "ll")) for name, v in (("p", level), ("e", "ec"), ("c", "close_micros")))
+    one = lambda k, side, level: f"SELECT generation, rn, {k} AS place, rn AS \"row\", ordinal AS candle_ordinal, close_micros AS decision_close_micros, known_at_micros, 'swing_{side}' AS swing_event_type, swing_{side}_type AS swing_type, {level} AS swing_price_units, ec AS swing_event_close_micros, close_micros AS swing_confirm_close_micros, {side}_p AS previous_price_units, {side}_e AS previous_event_close_micros, {side}_c AS previous_confirm_close_micros, market_structure_sequence AS sequence_after, market_structure_bias AS bias_after FROM lg WHERE newly_confirmed_swing_{side}"
+    return f"WITH {_sequence_sql()}, lg AS (SELECT *, {lags} FROM e), ev AS ({one(0, 'high', 'hl')} UNION ALL {one(1, 'low', 'll')}) SELECT generation, row_number() OVER (PARTITION BY generation ORDER BY rn, place) AS event_id, \"row\", {', '.join(fe.SEQUENCE_EVENT[2:])} FROM ev"
+
+
+def bin_sql(c: str, value: str) -> str:
+    """The fixed bin of an expression, as NAME_bucketed."""
+    e = encodings.BINS[c]
+    text = " ".join(f"WHEN {value} <= {b} THEN '{encodings.general(a)}_to_{encodings.general(b)}'" if b != encodings.INF else f"ELSE '{encodings.general(a)}_to_{encodings.general(b)}'" for a, b in zip(e, e[1:]))
+    low = "" if e[0] == -encodings.INF else f" OR {value} < {e[0]}"
+    return f"CASE WHEN {value} IS NULL{low} THEN NULL {text} END AS {c}_bucketed"
+
+
 ORACLES = {
     "ticks_accepted": f"WITH {ACCEPTED} SELECT * FROM acc",
     "tick_rejects": f"WITH {ACCEPTED} SELECT generation, reason, count(*) AS n, min(seq) AS first_seq FROM r4 WHERE reason IS NOT NULL GROUP BY 1, 2",
@@ -414,4 +536,17 @@ SELECT generation, bucket AS open_micros, open_units, high_units, low_units, clo
     "candle_shape": f"WITH {SHAPED}" + _pick(SHAPE, "sh"),
     "swing_structure": f"WITH {SWUNG}" + _pick(SWINGS, "w"),
     "swing_sequence": f"WITH {_sequence_sql()}" + _pick(SEQUENCE, "e"),
+    "moving_averages": FEATURES + _pick(EMA, "ft"),
+    "structure_state": FEATURES + _pick(STATE, "ft"),
+    "regime": FEATURES + _pick(REGIME, "ft"),
+    "structure_events": _structure_event_sql(),
+    "sequence_events": _sequence_event_sql(),
+    "feature_rows_all": FEATURES + f" SELECT generation, {', '.join(o.name for o in catalog.catalog())} FROM ft",
+    "feature_bins": FEATURES + f" SELECT generation, ordinal, {', '.join(bin_sql(c, f'({c} / 1000.0)' if c.endswith('_micros') else c) for c in encodings.BINS)} FROM ft",
+    "profile_documents": f"""WITH {MOVED}{candle_sql()},
+steps AS (SELECT DISTINCT generation, abs(units - before) AS step FROM mv WHERE before <> units), gc AS (SELECT generation, list_reduce(list(step), lambda a, b: gcd(a, b)) AS step_units FROM steps GROUP BY 1),
+pr AS (SELECT generation, min(units) AS lo, max(units) AS hi, count(*) FILTER (WHERE before <> units) AS n FROM mv GROUP BY 1), gp AS (SELECT generation, count(delta) AS n, min(delta) AS lo, max(delta) AS hi, quantile_cont(delta, 0.5) AS med FROM mv WHERE delta IS NOT NULL GROUP BY 1),
+rr AS (SELECT generation, run, count(*) AS n, max(t) - min(t) AS span FROM mv GROUP BY 1, 2), ru AS (SELECT generation, count(*) AS n, max(n) AS longest, max(span) AS long_micros FROM rr GROUP BY 1), fl AS (SELECT generation, count(*) AS candles, {", ".join(f"count(*) FILTER (WHERE {f}) AS {f}" for f in st.FLAGS)} FROM c GROUP BY 1)
+SELECT pr.generation, pr.lo AS min_units, pr.hi AS max_units, pr.n AS n_moves, step_units, gp.n AS n_gaps, gp.lo AS min_gap, gp.hi AS max_gap, gp.med AS median_gap, ru.n AS n_runs, longest, long_micros AS longest_micros, candles, {", ".join(st.FLAGS)}
+FROM pr LEFT JOIN gc USING (generation) LEFT JOIN gp USING (generation) LEFT JOIN ru USING (generation) LEFT JOIN fl USING (generation)""",
 }
