@@ -3,6 +3,7 @@ import random
 
 from tickloom.functions import combinatorics as cb
 from tickloom.operators import capacity
+from tickloom.operators import stream as st
 from tickloom.operators.search import upper_tail
 from tickloom.sources import verify
 
@@ -44,3 +45,26 @@ def test_scores_and_differences(spark):
     a, b = spark.createDataFrame([(1, "x"), (1, "x"), (2, None)], "i int, s string"), spark.createDataFrame([("x", 1), (None, 2), ("z", 3)], "s string, i int")
     assert sorted((r["i"], r["side"]) for r in verify.differences(a, b).collect()) == [(1, "left"), (3, "right")]
     assert verify.digest(a).collect() == verify.digest(a.orderBy("s")).collect() and verify.digest(a.limit(0)).collect()[0]["n_rows"] == 0
+
+
+def test_divisors_of_any_size(spark):
+    """Long chains of Euclid's steps, many rows, a null generation and no moves."""
+    a, b = 4660046610375530309, 2880067194370816120  # consecutive members of Fibonacci's sequence, the longest chain 64 bits hold
+    rows = [("g", 0, a), ("g", 0, b)] + [("h", 5, 5 + 6 * k) for k in range(1, 3000)] + [(None, 1, 4), ("n", None, 3), ("n", 3, 3)]
+    df = spark.createDataFrame(rows, "generation string, before bigint, units bigint").repartition(6)
+    got = {r["generation"]: (r["n_moves"], r["step_units"]) for r in st.price_facts(df).collect()}
+    assert got == {"g": (2, 1), "h": (2999, 6), None: (1, 3), "n": (0, None)}
+
+
+def test_written_tables_are_dropped(spark, tmp_path):
+    from pathlib import Path
+
+    from tickloom import session
+
+    written = session.written(spark.range(3), "dropped")
+    at = session._WRITTEN[-1]
+    assert written.count() == 3 and Path(at.removeprefix("file://")).exists()
+    keep, session._WRITTEN[:] = session._WRITTEN[:-1], [at]
+    session.drop_written(spark)
+    assert not Path(at.removeprefix("file://")).exists() and session._WRITTEN == []
+    session._WRITTEN.extend(keep)

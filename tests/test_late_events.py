@@ -44,6 +44,14 @@ def test_arrival_from_pages_nulls_and_repeats(spark):
     assert [(r["n"], r["n_values"], r["total"]) for r in g] == [(2, 0, None)]
 
 
+def test_values_of_any_size(spark):
+    big = [("g", 10, 20, 2.5e18, None, None), ("g", 20, 400, 1e300, None, None), ("g", 30, 50, 1.5, None, None), ("g", 40, 60, float("inf"), None, None), ("g", 50, 70, -3e18, None, None)]
+    s = le.consolidate(run(spark, big)).collect()[0]
+    assert (s["n"], s["n_values"], float(s["total"]), s["total_large"], s["low"], s["high"]) == (5, 4, 1.5, 1e300, -3e18, 1e300)
+    s = le.consolidate(run(spark, big), grain=3_600_000_000).collect()[0]
+    assert (s["n_values"], s["total_large"], s["high"]) == (4, 1e300, 1e300)
+
+
 def test_empty(spark):
     assert run(spark, []).count() == 0 and le.consolidate(run(spark, []), grain=3_600_000_000).count() == 0
 

@@ -34,6 +34,16 @@ def test_against_brute_force(spark, block):
     assert {r[:4]: r[4] for r in got} == brute(rows) and len(got) == len(brute(rows))
 
 
+def test_far_ends_and_settings(spark):
+    """A span that lasts for ages is one row, and the setting the merge needs is put back."""
+    before = spark.conf.get("spark.sql.sessionWindow.merge.sessions.in.local.partition", None)
+    far = 250_000 * 365 * 86_400_000_000 // 1_000
+    rows = [("g", "f", k * 1_000, k * 1_000 + 10) for k in range(200)] + [("g", "f", 50_500, far), ("g", "f", far + 5, far + 6), ("h", "f", -5, far)] * 3
+    got = [tuple(r) for r in periods(spark, rows, 1_000).collect()]
+    assert {r[:4]: r[4] for r in got} == brute(rows) and len(got) == len(brute(rows))
+    assert spark.conf.get("spark.sql.sessionWindow.merge.sessions.in.local.partition", None) == before
+
+
 def test_touching_nesting_repeats_and_empty(spark):
     p = periods(spark, [("g", "f", 0, 10), ("g", "f", 10, 20), ("g", "f", 12, 15), ("g", "f", 0, 10), ("g", "f", 21, 22), ("g", "f", 5, 5)], 1000)
     assert [tuple(r) for r in gaps(p, ["g", "f"]).collect()] == [("g", "f", 20, 21)]

@@ -37,6 +37,6 @@ def test_moving_averages_and_legs(spark):
 
 def test_overlap_of_pages(spark):
     p = {1: [(1, "a"), (2, "b"), (2, "b")], 2: [(2, "b"), (2, "b"), (3, "c")], 3: [(3, "c"), (3, "c")], 4: [(9, "z")], 5: [(9, "z")]}
-    rows = [("q", o, k, t, x) for o, page in p.items() for k, (t, x) in enumerate(page)]
-    out = pages.without_overlap(spark.createDataFrame(rows, "acquisition string, ordinal bigint, place int, t_millis bigint, price string")).collect()
-    assert sorted((r["ordinal"], r["place"], r["price"]) for r in out) == [(1, 0, "a"), (1, 1, "b"), (1, 2, "b"), (2, 2, "c"), (3, 1, "c"), (4, 0, "z")]
+    rows = [("q", o, "d", k, t, x) for o, page in p.items() for k, (t, x) in enumerate(page)] + [("q", 5, "e", 0, 9, "z"), ("q", 5, "e", 1, 9, "y"), (None, 1, None, 0, 1, "a")]
+    out = pages.without_overlap(spark.createDataFrame(rows, "acquisition string, ordinal bigint, digest string, place int, t_millis bigint, price string")).collect()
+    assert sorted((r["ordinal"], r["place"], r["price"]) for r in out if r["acquisition"]) == [(1, 0, "a"), (1, 1, "b"), (1, 2, "b"), (2, 2, "c"), (3, 1, "c"), (4, 0, "z"), (5, 1, "y")]

@@ -58,5 +58,25 @@ def test_a_group_of_copies_over_many_splits(spark):
     assert out.count() == len(rows) and {r[0] for r in out.where("not copy").select("delivery_id").collect()} == {0, *range(5000, 5200)}
 
 
+def test_null_delivery_ids_come_first(spark):
+    rows = [(5, "p", 1, "a"), (None, "p", 1, "a"), (7, "p", None, "b"), (None, "q", 2, None), (3, "q", 2, None)]
+    df = spark.createDataFrame([(*r, "z", 1) for r in rows], SCHEMA)
+    for parts in (1, 5):
+        got = sorted(((r["delivery_id"] or 0, r["producer"], r["copy"]) for r in deliveries(df.repartition(parts)).collect()))
+        assert got == [(0, "p", False), (0, "q", False), (3, "q", True), (5, "p", True), (7, "p", False)]
+
+
+def test_small_batches_and_blocks_change_nothing(spark):
+    rnd = random.Random(3)
+    rows = [(i, rnd.choice(["hot", "HOT ", "p"]), rnd.choice([None, rnd.randrange(40)]), rnd.choice([None, "a", "b"])) for i in rnd.sample(range(900), 500)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in ("7", "10000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            assert copies(spark, rows, block=5) == copies(spark, rows) == brute(rows)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def test_empty(spark):
     assert copies(spark, []) == set()

@@ -34,6 +34,11 @@ def test_against_brute_force(spark, spread):
     assert {(r["ref_id"], r["ref_key"]) for r in got} == want and len(got) == len(want)
 
 
+def test_many_versions_of_one_parent(spark):
+    parents = [(7, k % 40, None if k % 3 else 50) for k in range(600)] + [(8, 5, 6)] * 300
+    assert {(r["ref_id"], r["reason"]) for r in check(spark, parents, [(1, 0, 7), (2, 39, 7), (3, 5, 8), (4, 6, 8), (5, 4, 8)]).collect()} == {(4, "retired"), (5, "later")}
+
+
 def test_text_keys_in_arrays_and_report(spark):
     p = spark.createDataFrame([(f"k{i}", at(0)) for i in range(50)], "k string, since timestamp")
     r = spark.createDataFrame([(1, at(1), ["k1", "zz", "zz", None, ""]), (2, at(1), None), (3, at(1), [])], "rid bigint, at timestamp, tos array<string>")

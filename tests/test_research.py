@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickloom import research_queries
-from tickloom.operators import asof, paths, search
+from tickloom.operators import asof, late_events, paths, search
 from tickloom.sources import files
 from tickloom.streaming import jobs
 
@@ -29,8 +29,16 @@ def test_tail_and_adjustment(spark):
 
     for w, n, p in ((3, 5, 0.5), (0, 4, 0.3), (40, 60, 0.52), (7, 7, 0.1)):
         assert search.upper_tail(w, n - w, p) == pytest.approx(sum(comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(w, n + 1)))
+    for n in (10**4, 10**6):  # against sums of the exact logarithms
+        w = np.array([n // 2 - 300, n // 2, n // 2 + 40, n // 2 + 500])
+        for k, got in zip(w, search.upper_tails(w, n - w, 0.5)):
+            terms = [comb(10**4, j) for j in range(k, 10**4 + 1)] if n == 10**4 else None
+            assert terms is None or got == pytest.approx(sum(terms) / 2**10**4, rel=1e-9)
+            assert 0 <= got <= 1
+    assert search.upper_tails(np.array([5 * 10**7 + 5000]), np.array([5 * 10**7 - 5000]), 0.5)[0] == pytest.approx(0.15865525, rel=2e-4)
+    assert search.upper_tails(np.array([0, 3, 3]), np.array([0, 0, 2]), 0.0).tolist() == [1.0, 0.0, 0.0] and search.upper_tails(np.array([3]), np.array([2]), 1.0)[0] == 1.0
     rnd = random.Random(2)
-    ps = [(f"c{k}", rnd.choice([None, 0.0, 1.0, rnd.random() ** 3])) for k in range(80)]
+    ps = [(f"c{k}", rnd.choice([None, 0.0, 1.0, 1.0, 1e-9, rnd.random() ** 3])) for k in range(80)]
     got = {r["conditions"]: r["adjusted"] for r in search.adjusted(spark.createDataFrame(ps, "conditions string, p_value double")).collect()}
     order = sorted((p, c) for c, p in ps if p is not None)
     for k, (_, c) in enumerate(order):
@@ -61,16 +69,21 @@ def test_paths(spark):
     s = paths.streaks(df, "path", ["k"], "v").collect()[0]
     assert (s["loss_streak"], s["win_streak"]) == (2, 1)
     assert tuple(paths.worst_sums(df, "path", ["k"], "v", (3, 20)).collect()[0]) == ("p", min(sum(v[k : k + 3]) for k in range(7)), None)
-    b = paths.bootstrap(spark, np.array(v, float), "s", 20, 3, 3)
-    assert b.collect() == b.collect() and b.count() == 20
-    steps = paths.block_path(1, "s", 0, 5000, 10)
-    assert 0.85 < np.mean(np.diff(steps) % 5000 == 1) < 0.95 and paths.path_numbers(np.empty(0), 3) == (0.0, 0, 0)
+    assert paths.path_numbers(np.empty(0), 3) == (0.0, 0, 0)
 
 
 @pytest.mark.parametrize("n, block_length", [(0, 3), (1, 1), (1, 5), (2, 2), (7, 1), (50, 3), (400, 5), (3000, 10), (40, 1000)])
-def test_block_path_is_that_of_single_draws(n, block_length):
-    for r in range(4):
-        assert paths.block_path(7, "m/c", r, n, block_length).tolist() == paths._drawn_path(7, "m/c", r, n, block_length).tolist()
+def test_block_paths(n, block_length):
+    """Indices in range, the same for the same replicate, others for another; blocks go on by one round the end and are as long as stated on average."""
+    draws = [paths.block_path(7, "m/c", r, n, block_length) for r in range(60)]
+    assert all(len(x) == n and (n == 0 or (0 <= x.min() and x.max() < n)) for x in draws)
+    assert draws[3].tolist() == paths.block_path(7, "m/c", 3, n, block_length).tolist()
+    if n >= 50 and block_length < n:
+        assert len({tuple(x) for x in draws}) == 60 and draws[0].tolist() != paths.block_path(7, "m/d", 0, n, block_length).tolist()
+        goes_on = np.mean([np.mean(np.diff(x) % n == 1) for x in draws])
+        assert abs(goes_on - (1 - 1 / block_length + 1 / block_length / n)) < 0.03
+        starts = np.concatenate(draws)
+        assert abs(starts.mean() / n - 0.5) < 0.05
 
 
 def test_bootstrap_resamples_the_trades_of_each_path(spark, monkeypatch):
@@ -112,6 +125,14 @@ def test_streams_agree_with_batches(spark, data):
     got = {tuple(r) for r in stream.collect()}
     batch = {tuple(r) for r in jobs.candle_stream(spark.read.parquet(f"{data}/ticks.parquet")).collect()}
     assert got and got <= batch
-    changes = jobs.run_to_end(jobs.retractions(jobs.tick_stream(spark, f"{data}/ticks.parquet")), "t-changes")
-    n = changes.selectExpr("sum(change * n)").collect()[0][0]
-    assert n == spark.read.parquet(f"{data}/ticks.parquet").where("event_time_micros is not null and generation is not null").count()
+
+
+def test_streamed_retractions_leave_what_the_batch_leaves(spark, data, tmp_path):
+    ticks, pages = spark.read.parquet(f"{data}/ticks.parquet"), spark.read.parquet(f"{data}/raw_pages.parquet")
+    extra = spark.createDataFrame([(-1, "i", None, "2017-01-10 00:00:00", "2017-01-10 00:04:00", None, None, None), (-2, "i", None, "2017-01-10 00:00:00", "2017-01-10 00:44:00", 5.0, None, None)], "tick_id bigint, instrument string, generation string, e string, k string, price double, acquisition_id string, page_ordinal bigint")
+    ticks = extra.selectExpr("tick_id", "instrument", "generation", "timestamp(e) as event_time_micros", "timestamp(k) as known_at_micros", "price", "acquisition_id", "page_ordinal").unionByName(ticks)
+    ticks.repartitionByRange(5, "known_at_micros").write.parquet(str(tmp_path / "ticks.parquet"))
+    got = jobs.run_to_end(jobs.retractions(jobs.tick_stream(spark, str(tmp_path / "ticks.parquet"), 100), pages), "t-changes")
+    got = {tuple(r[:2]): tuple(r[2:]) for r in got.groupBy("generation", "period_start_micros").agg(F.sum(F.col("change") * F.col("n")), F.sum(F.col("change") * F.col("n_values"))).collect()}
+    batch = late_events.consolidate(late_events.changelog(late_events.revisions(ticks, pages)))
+    assert got == {(r[0], r[1]): (r["n"], r["n_values"]) for r in batch.collect()} and any(k[0] is None for k in got)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterable
 from math import comb
 
@@ -15,34 +16,27 @@ def family_size(count: int, least: int, most: int, contracts: int = 1) -> int:
 
 
 def member_rank(count: int, least: int, chosen: list[int], contract: int = 0, contracts: int = 1) -> int:
-    """Place of a subset (ascending indices) and contract: smaller subsets first, then lexicographic, contracts fastest."""
-    before = sum(comb(count, k) for k in range(least, len(chosen)))
-    last = -1
-    for place, c in enumerate(chosen):
-        left = len(chosen) - place - 1
-        before += sum(comb(count - skipped - 1, left) for skipped in range(last + 1, c))
-        last = c
-    return before * contracts + contract
+    """Place of a subset (ascending indices) and contract: smaller subsets first, then lexicographic, contracts fastest.
+
+    Counted from the end: the subsets of k that come after `chosen` number the sum of C(count - 1 - c_i, k - i) over its places i.
+    """
+    k = len(chosen)
+    after = sum(comb(count - 1 - c, k - i) for i, c in enumerate(chosen))
+    return (family_size(count, least, k) - 1 - after) * contracts + contract
 
 
 def member_at(count: int, least: int, most: int, rank: int, contracts: int = 1) -> tuple[list[int], int]:
-    """The subset and contract at a place; the inverse of member_rank."""
+    """The subset and contract at a place; the inverse of member_rank. Each index is found by bisection among the binomials."""
     subset, contract = divmod(rank, contracts)
-    for size in range(least, most + 1):
-        if subset < comb(count, size):
-            break
-        subset -= comb(count, size)
-    else:
+    sizes = [k for k in range(least, most + 1) if family_size(count, least, k) > subset]
+    if not sizes or subset < 0:
         raise ValueError(f"no member {rank}")
-    chosen: list[int] = []
-    c = 0
-    while len(chosen) < size:
-        here = comb(count - c - 1, size - len(chosen) - 1)
-        if subset < here:
-            chosen.append(c)
-        else:
-            subset -= here
-        c += 1
+    k = sizes[0]
+    after, chosen = family_size(count, least, k) - 1 - subset, []
+    for left in range(k, 0, -1):
+        top = bisect_right(range(count), after, key=lambda x: comb(x, left)) - 1
+        after -= comb(top, left)
+        chosen.append(count - 1 - top)
     return chosen, contract
 
 

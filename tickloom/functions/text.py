@@ -32,4 +32,6 @@ def instant_micros(c: Column) -> Column:
     s = F.regexp_replace(s, r"([+-]\d{2})(\d{2})$", "$1:$2")
     s = F.regexp_replace(s, r"^(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2})(Z|[+-]\d{2}:\d{2})?$", "$1:00$2")
     s = F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d*)?)?$"), F.concat(s, F.lit("Z"))).otherwise(s)
-    return F.unix_micros(s.try_cast("timestamp"))
+    # Most instants are written plainly and need no rewriting.
+    plain = F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{1,6})?(Z|[+-]\d{2}:\d{2})$"), c.try_cast("timestamp"))
+    return F.unix_micros(F.coalesce(plain, s.try_cast("timestamp")))

@@ -20,8 +20,11 @@ PERIOD_MICROS = 300_000_000
 CUTOFF_MICROS = 1_800_000_000
 STEP_MICROS = 60_000_000
 
-#: Partial aggregate of a group of records: count, known values, their exact sum and extremes.
-_MERGE = (("n", F.sum), ("n_values", F.sum), ("total", F.sum), ("low", F.min), ("high", F.max))
+#: Values from this size on have no exact decimal; they are summed apart, as doubles.
+EXACT = 1e18
+
+#: Partial aggregate of a group of records: count, known values, the exact sum of those below EXACT, the sum of the others, extremes.
+_MERGE = (("n", F.sum), ("n_values", F.sum), ("total", F.sum), ("total_large", F.sum), ("low", F.min), ("high", F.max))
 
 
 def _revision(arrival: Column, period: Column, length: int, cutoff: int, step: int) -> Column:
@@ -31,20 +34,20 @@ def _revision(arrival: Column, period: Column, length: int, cutoff: int, step: i
 
 
 def revisions(events: DataFrame, receipts: DataFrame | None = None, *, entity: str = "generation", event_time: str = "event_time_micros", known_at: str = "known_at_micros", value: str = "price", acquisition: str = "acquisition_id", ordinal: str = "page_ordinal", receipt_acquisition: str = "acquisition_id", receipt_ordinal: str = "ordinal", receipt_time: str = "receipt_time_utc", period: int = PERIOD_MICROS, cutoff: int = CUTOFF_MICROS, step: int = STEP_MICROS) -> DataFrame:
-    """One row per entity, period and revision: entity, period_start_micros, revision, n, n_values, total, low, high.
+    """One row per entity, period and revision: entity, period_start_micros, revision, n, n_values, total, total_large, low, high.
 
     A record arrives at `known_at`, or where that is null at the earliest receipt of its page (same acquisition, but for case
     and outer blanks, and ordinal). Records without event time or arrival are left out. Records without arrival of their own
     are counted per page before they meet the receipts, so one page with a third of the records is one row of that join.
-    A null entity is an entity of its own; a null or non-finite value counts in `n` only. Repeats all count.
+    A null entity is an entity of its own; a null or non-finite value counts in `n` only. Values are taken to nine digits; total is the exact sum of
+    those below EXACT in size, total_large that of the others (null if there are none). Repeats all count.
     """
     length, at = F.lit(period), F.col("_t")
-    exact = F.col("_v").try_cast("decimal(28,9)")
-    own = (("n", F.count(F.lit(1))), ("n_values", F.count("_d")), ("total", F.sum("_d")), ("low", F.min("_d")), ("high", F.max("_d")))
+    own = (("n", F.count(F.lit(1))), ("n_values", F.count("_d")), ("total", F.sum(F.when(F.abs("_d") < EXACT, F.col("_v").try_cast("decimal(28,9)")))), ("total_large", F.sum(F.when(F.abs("_d") >= EXACT, F.col("_d")))), ("low", F.min("_d")), ("high", F.max("_d")))
     rows = events.select(
         F.col(entity).alias("_e"), F.unix_micros(event_time).alias("_t"), F.unix_micros(known_at).alias("_k"), F.col(value).cast("double").alias("_v"),
         F.col(acquisition).alias("_a"), F.col(ordinal).alias("_o"),
-    ).where("_t is not null").withColumn("_p", at - F.pmod(at, length)).withColumn("_d", F.when(F.abs("_v") < 1e18, exact))
+    ).where("_t is not null").withColumn("_p", at - F.pmod(at, length)).withColumn("_d", F.when(F.abs("_v") < float("inf"), F.round("_v", 9)))
     known = rows.where("_k is not null").withColumn("_r", _revision(F.col("_k"), F.col("_p"), period, cutoff, step)).groupBy("_e", "_p", "_r").agg(*[f.alias(c) for c, f in own])
     if receipts is not None:
         open_ = rows.where("_k is null").withColumn("_a", identifier(F.col("_a"))).where("_a is not null and _o is not null")
@@ -55,7 +58,7 @@ def revisions(events: DataFrame, receipts: DataFrame | None = None, *, entity: s
 
 
 def changelog(revised: DataFrame, entity: str = "generation", *, period: int = PERIOD_MICROS, step: int = STEP_MICROS) -> DataFrame:
-    """The deltas of `revisions`: entity, period_start_micros, version, revised_at_micros, change, n, n_values, total, low, high.
+    """The deltas of `revisions`: entity, period_start_micros, version, revised_at_micros, change, n, n_values, total, total_large, low, high.
 
     Version 0 stands at the period's end, for what had arrived by then (where nothing had, the first version is a late one
     and takes nothing back). Too late records make no version.
@@ -73,15 +76,15 @@ def changelog(revised: DataFrame, entity: str = "generation", *, period: int = P
 
 
 def consolidate(changes: DataFrame, entity: str = "generation", grain: int | None = None) -> DataFrame:
-    """Keyed state after all changes, per period or per coarser `grain` micros: entity, period_start_micros, n, n_values, total, low, high, versions.
+    """Keyed state after all changes, per period or per coarser `grain` micros: entity, period_start_micros, n, n_values, total, total_large, low, high, versions.
 
-    Counts and sums are the signed sums of the deltas, so an old aggregate and its retraction cancel; extremes come from
-    each period's newest version.
+    Counts and exact sums are the signed sums of the deltas, so an old aggregate and its retraction cancel; extremes and total_large, which would
+    not cancel to the last digit, come from each period's newest version.
     """
     signed = [F.sum(F.col("change") * F.col(c)).alias(c) for c in ("n", "n_values", "total")]
-    newest = F.max(F.when(F.col("change") == 1, F.struct("version", "low", "high"))).alias("_x")
+    newest = F.max(F.when(F.col("change") == 1, F.struct("version", "low", "high", "total_large"))).alias("_x")
     one = changes.groupBy(entity, "period_start_micros").agg(*signed, newest, F.sum((F.col("change") == 1).cast("int")).alias("versions"))
-    one = one.select(entity, "period_start_micros", "n", "n_values", "total", F.col("_x.low").alias("low"), F.col("_x.high").alias("high"), "versions")
+    one = one.select(entity, "period_start_micros", "n", "n_values", "total", F.col("_x.total_large").alias("total_large"), F.col("_x.low").alias("low"), F.col("_x.high").alias("high"), "versions")
     if grain is None:
         return one
     up = F.col("period_start_micros") - F.pmod(F.col("period_start_micros"), F.lit(grain))

@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import written
@@ -46,68 +45,30 @@ def worst_sums(trades: DataFrame, path: str, order: list[str], value: str, width
     return trades.withColumns(sums).groupBy(path).agg(*[F.min(f"_{n}").alias(f"worst_{n}") for n in widths])
 
 
-class CounterStream:
-    """Uniform integers from SHA-256 of (domain, seed, stratum, replicate, counter), by rejection, the same on every machine."""
-
-    DOMAIN = b"tickloom.bootstrap.v1"
-
-    def __init__(self, seed: int, stratum: str, replicate: int) -> None:
-        self.head = self.DOMAIN + seed.to_bytes(8, "little") + stratum.encode() + b"\0" + replicate.to_bytes(4, "little")
-        self.counter, self.words = 0, []
-
-    def below(self, m: int) -> int:
-        most = (2**64 - 1) // m * m
-        while True:
-            if not self.words:
-                d = hashlib.sha256(self.head + self.counter.to_bytes(8, "little")).digest()
-                self.words = [int.from_bytes(d[k : k + 8], "little") for k in (24, 16, 8, 0)]
-                self.counter += 1
-            w = self.words.pop()
-            if w < most:
-                return w % m
+def uniforms(seed: int, stratum: str, replicate: int) -> np.random.Generator:
+    """Random numbers that depend on these three alone: a counter-based generator whose key is the seed and the stratum, and whose counter starts at the replicate."""
+    key = int.from_bytes(hashlib.blake2b(stratum.encode(), digest_size=8).digest(), "little")
+    return np.random.Generator(np.random.Philox(key=[seed % (1 << 64), key], counter=[0, 0, 0, replicate]))
 
 
 def block_path(seed: int, stratum: str, replicate: int, n: int, block_length: int) -> np.ndarray:
-    """n indices of a stationary bootstrap: each step restarts with probability 1 / block_length, else goes on (round the end).
+    """n indices of a stationary bootstrap: blocks of geometric length, `block_length` on average, from evenly distributed starts, round the end.
 
-    The draws are those of a CounterStream, taken all at once; the few restarts are gone through one by one.
+    As many blocks as will do are drawn at once, lengths by inversion of their law; should they fall short, more are drawn.
     """
     if n == 0:
         return np.empty(0, np.int64)
-    head, count = CounterStream(seed, stratum, replicate).head, n // 4 + n // (4 * block_length) + 16
-    words, have = np.empty(0, np.uint64), 0
-    while True:
-        # Words in reverse of CounterStream's list: it pops the first eight bytes of a digest first.
-        more = b"".join(hashlib.sha256(head + k.to_bytes(8, "little")).digest() for k in range(have, have + count))
-        words, have = np.concatenate([words, np.frombuffer(more, "<u8")]), have + count
-        restarts, skip = [], -1
-        for h in np.flatnonzero(words[1:] % np.uint64(block_length) == 0).tolist():
-            if h != skip:  # else this word is the index of the restart before
-                restarts.append(h)
-                skip = h + 1
-        at = np.array(restarts, np.int64)
-        steps = at - np.arange(len(at)) + 1  # the step of each restart: words of indices are no steps
-        inside = steps < n
-        at, steps = at[inside], steps[inside]
-        if len(words) >= n + len(at) + 1:
-            break
-        count = max(16, count // 4)
-    used = words[: n + len(at)]
-    if (used >= np.uint64(min((2**64 - 1) // m * m for m in (n, block_length)))).any():  # a draw that may be rejected
-        return _drawn_path(seed, stratum, replicate, n, block_length)
-    starts = np.concatenate([[0], steps])
-    first = (np.concatenate([words[:1], words[at + 2]]) % np.uint64(n)).astype(np.int64)
-    lengths = np.diff(np.append(starts, n))
-    return (np.repeat(first - starts, lengths) + np.arange(n)) % n
-
-
-def _drawn_path(seed: int, stratum: str, replicate: int, n: int, block_length: int) -> np.ndarray:
-    """block_path draw by draw."""
-    s = CounterStream(seed, stratum, replicate)
-    out = np.empty(n, np.int64)
-    for k in range(n):
-        out[k] = s.below(n) if k == 0 or s.below(block_length) == 0 else (out[k - 1] + 1) % n
-    return out
+    draw = uniforms(seed, stratum, replicate)
+    starts, lengths, have = [], [], 0
+    while have < n:
+        u = draw.random((max(16, int(1.2 * (n - have) / block_length) + 8), 2))
+        length = np.ones(len(u), np.int64) if block_length <= 1 else 1 + np.floor(np.log1p(-u[:, 0]) / np.log1p(-1.0 / block_length)).astype(np.int64)
+        starts.append((u[:, 1] * n).astype(np.int64))
+        lengths.append(length)
+        have += int(length.sum())
+    start, length = np.concatenate(starts), np.concatenate(lengths)
+    before = np.cumsum(length) - length
+    return ((np.repeat(start - before, length) + np.arange(int(length.sum())))[:n]) % n
 
 
 def path_numbers(values: np.ndarray, horizon: int) -> tuple[float, int, int]:
@@ -121,25 +82,10 @@ def path_numbers(values: np.ndarray, horizon: int) -> tuple[float, int, int]:
     return float((peak - e).max()) if len(e) else 0.0, longest, int((sums < 0).sum())
 
 
-#: Trades of a path that `bootstrap` takes at most, since every task holds it; `bootstrap_trades` has no such limit.
-MAX_PATH = 1_000_000
 #: Trades in a stored piece of a path, and replicates that one task draws of one path.
 PIECE, UNIT = 4096, 25
 
 
-def bootstrap(spark: SparkSession, values: np.ndarray, stratum: str, replicates: int = 200, block_length: int = 5, horizon: int = 20, seed: int = 42) -> DataFrame:
-    """One row per replicate: replicate, max_drawdown, longest_underwater, negative_rolling. Replicates run in parallel."""
-    if len(values) > MAX_PATH:
-        raise ValueError(f"a path of more than {MAX_PATH} trades")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in frames:
-            rows = [(int(r), *path_numbers(values[block_path(seed, stratum, int(r), len(values), block_length)], horizon)) for r in df["id"]] if len(values) else []
-            yield pd.DataFrame(rows, columns=["replicate", "max_drawdown", "longest_underwater", "negative_rolling"])
-
-    return spark.range(0, replicates, 1, min(replicates, 32)).mapInPandas(run, "replicate bigint, max_drawdown double, longest_underwater bigint, negative_rolling bigint")
-
-
 def bootstrap_trades(trades: DataFrame, path: str, order: list[str], value: str, replicates: int = 200, block_length: int = 5, horizon: int = 20, seed: int = 42) -> DataFrame:
     """One row per path and replicate: path, n, replicate, max_drawdown, longest_underwater, negative_rolling (null where a path is shorter than `horizon`).
 

@@ -1,21 +1,40 @@
 """Overlapping intervals merged to continuous periods, and the gaps between them.
 
 session_window with each row's own length merges overlapping spans natively, first within the map tasks (so an entity with
-a third of the spans is mostly merged before the shuffle), then per entity and time block. Spans that cross a block border are
-cut there; touching periods, cut pieces among them, are joined afterwards along the borders of the blocks.
+a third of the spans is mostly merged before the shuffle), then per entity and block of starts; a span belongs to the block it starts in, however
+long it is. The pieces, which a table keeps, are joined where they overlap or touch: a piece that begins after all earlier ones have ended begins a period,
+and the period before has ended at the greatest end so far.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shards import sharded_neighbours
+from ..session import written
+from .shards import running, sharded_neighbours
 
-#: Length of a time block, 30 days.
-BLOCK_MICROS = 30 * 86_400_000_000
+#: Length of a block of starts, a day.
+BLOCK_MICROS = 86_400_000_000
+#: Merges sessions within the map tasks; set while the pieces are made.
+_LOCAL = "spark.sql.sessionWindow.merge.sessions.in.local.partition"
+_LAST = (1 << 63) - 1
+
+
+def _pieces(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Spans (keys, _block, _s, _e) merged within their blocks, as a table."""
+    length = F.concat((F.col("_e") - F.col("_s")).cast("string"), F.lit(" microseconds"))
+    merged = rows.withColumn("_at", F.timestamp_micros("_s")).groupBy(*keys, "_block", F.session_window("_at", length)).agg(F.count(F.lit(1)).alias("_n"))
+    pieces = merged.select(*keys, "_block", F.unix_micros("session_window.start").alias("_s"), F.unix_micros("session_window.end").alias("_e"))
+    spark = rows.sparkSession
+    before = spark.conf.get(_LOCAL, None)
+    spark.conf.set(_LOCAL, "true")
+    try:
+        return written(pieces, "pieces")
+    finally:
+        spark.conf.unset(_LOCAL) if before is None else spark.conf.set(_LOCAL, before)
 
 
 def continuous_periods(spans: DataFrame, keys: Sequence[str], start: str, end: str, block: int = BLOCK_MICROS) -> DataFrame:
@@ -24,25 +43,15 @@ def continuous_periods(spans: DataFrame, keys: Sequence[str], start: str, end: s
     `gap_end` is the start of the entity's next period, null at its last. Spans that overlap or touch are one period. Spans
     without both bounds or not ending after their start are left out; repeated spans change nothing; null keys are equal keys.
     """
-    spark = spans.sparkSession
-    spark.conf.set("spark.sql.sessionWindow.merge.sessions.in.local.partition", "true")
     rows = spans.select(*keys, F.col(start).cast("bigint").alias("_s"), F.col(end).cast("bigint").alias("_e")).where("_s < _e")
-    no = lambda c: F.floor(c / F.lit(block)).cast("bigint")
-    rows = rows.withColumn("_block", F.explode(F.sequence(no(F.col("_s")), no(F.col("_e") - 1))))
-    rows = rows.withColumn("_s", F.greatest("_s", F.col("_block") * block)).withColumn("_e", F.least("_e", (F.col("_block") + 1) * block))
-    merged = rows.withColumn("_at", F.timestamp_micros("_s")).groupBy(*keys, "_block", F.session_window("_at", F.concat((F.col("_e") - F.col("_s")).cast("string"), F.lit(" microseconds")))).agg(F.count(F.lit(1)).alias("_n"))
-    pieces = merged.select(*keys, "_block", F.unix_micros("session_window.start").alias("_s"), F.unix_micros("session_window.end").alias("_e"))
-    # Touching pieces: number the islands within a block, then stitch those at the borders of blocks.
-    w = Window.partitionBy(*keys, "_block").orderBy("_s")
-    pieces = pieces.withColumn("_new", F.coalesce((F.lag("_e").over(w) < F.col("_s")).cast("int"), F.lit(1))).withColumn("_no", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    parts = pieces.groupBy(*keys, "_block", "_no").agg(F.min("_s").alias("_s"), F.max("_e").alias("_e"))
-    inner = Window.partitionBy(*keys, "_block").orderBy("_s")
-    parts = parts.withColumn("_group", F.when(F.lag(F.lit(1)).over(inner).isNotNull() & F.lead(F.lit(1)).over(inner).isNotNull(), F.col("_block")))
-    w = Window.partitionBy(*keys, "_group").orderBy("_s")
-    parts = parts.withColumn("_new", F.coalesce((F.lag("_e").over(w) < F.col("_s")).cast("int"), F.lit(1))).withColumn("_no", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    periods = parts.groupBy(*keys, "_group", "_no").agg(F.min("_s").alias("period_start"), F.max("_e").alias("period_end"))
-    periods = periods.withColumn("_block", F.floor(F.col("period_start") / F.lit(block)))
-    return sharded_neighbours(periods, keys, "_block", ["period_start"], F.struct("period_start"), 0, 1).select(*keys, "period_start", "period_end", F.col("`_n+1`.period_start").alias("gap_end"))
+    pieces = _pieces(rows.withColumn("_block", F.floor(F.col("_s") / F.lit(block)).cast("bigint")), keys)
+    reached = running(pieces, keys, "_block", ["_s"], {"_reach": F.col("_e")}, "max")
+    heads = reached.where("_reach is null or _reach < _s").select(*keys, "_block", "_s", "_reach")
+    # After the last period of an entity comes a mark that knows where all its spans have ended.
+    marks = pieces.groupBy(*keys).agg(F.max("_e").alias("_reach")).select(*keys, F.lit(_LAST).alias("_block"), F.lit(_LAST).alias("_s"), "_reach")
+    x = sharded_neighbours(heads.unionByName(marks), keys, "_block", ["_s"], F.struct("_s", "_reach"), 0, 1).where(F.col("_s") < _LAST)
+    after = F.col("`_n+1`")
+    return x.select(*keys, F.col("_s").alias("period_start"), after["_reach"].alias("period_end"), F.when(after["_s"] < _LAST, after["_s"]).alias("gap_end"))
 
 
 def gaps(periods: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -17,6 +17,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
+from .shards import lookup_join
+
 #: Integer keys in a range, and about as many text keys.
 RANGE_WIDTH = 65_536
 #: References of one range that a task takes; a range with more is spread.
@@ -123,6 +126,9 @@ def orphans(parents: list[Parents], references: list[References], range_width: i
     def parent(p: Parents) -> DataFrame:
         k, r = ranged(p.name, F.col("_k"))
         rows = p.rows.select(F.col(p.key).alias("_k"), _micros(p.since).alias("since"), _micros(p.until).alias("until")).where("_k is not null")
+        if p.since is not None or p.until is not None:
+            # Of the versions of a key only the earliest counts among those that end together, however many there are.
+            rows = rows.groupBy("_k", "until").agg(F.min(F.coalesce("since", F.lit(-(1 << 63)))).alias("since"))
         text = F.col("_k").cast("string") if kinds[p.name] else F.lit(None).cast("string")
         return rows.select(F.lit(spaces[p.name]).alias("_space"), r.alias("_range"), F.struct(k.alias("key"), "since", "until", text.alias("text")).alias("_p"))
 
@@ -146,11 +152,11 @@ def orphans(parents: list[Parents], references: list[References], range_width: i
         return reduce(DataFrame.unionByName, out)
 
     refs = reduce(DataFrame.unionByName, [reference(r) for r in references])
-    # Of busy ranges there are at most references / spread_rows, each a row of three numbers.
     busy = refs.groupBy("_space", "_range").count().where(F.col("count") > spread_rows).select("_space", "_range", F.ceil(F.col("count") / spread_rows).cast("int").alias("_tasks"))
+    busy = written(busy, "busy")
     held = reduce(DataFrame.unionByName, [parent(p) for p in parents]).groupBy("_space", "_range").agg(F.sort_array(F.collect_set("_p")).alias("_parents"))
-    held = held.join(F.broadcast(busy), ["_space", "_range"], "left").select("_space", "_range", F.explode(F.sequence(F.lit(0), F.coalesce("_tasks", F.lit(1)) - 1)).alias("_salt"), F.lit(0).alias("_kind"), "_parents")
-    refs = refs.join(F.broadcast(busy), ["_space", "_range"], "left").withColumn("_salt", F.pmod(F.xxhash64("ref_id", "ref_field"), F.coalesce("_tasks", F.lit(1))).cast("int")).drop("_tasks").withColumn("_kind", F.lit(1))
+    held = lookup_join(held, busy, ["_space", "_range"]).select("_space", "_range", F.explode(F.sequence(F.lit(0), F.coalesce("_tasks", F.lit(1)) - 1)).alias("_salt"), F.lit(0).alias("_kind"), "_parents")
+    refs = lookup_join(refs, busy, ["_space", "_range"]).withColumn("_salt", F.pmod(F.xxhash64("ref_id", "ref_field"), F.coalesce("_tasks", F.lit(1))).cast("int")).drop("_tasks").withColumn("_kind", F.lit(1))
     both = held.unionByName(refs, allowMissingColumns=True).repartition("_space", "_range", "_salt").sortWithinPartitions("_space", "_range", "_salt", "_kind")
     missed = both.mapInArrow(_probe, MISSES).distinct()
     return missed.select("ref_table", "ref_id", "ref_field", "ref_key", "reason", F.to_date(F.timestamp_micros("day_micros")).alias("day"))

@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shards import running
+from ..session import written
+from .shards import ordered_shards, running
 
 
 def posting_lists(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -34,28 +35,71 @@ def combinations(rows: DataFrame, columns: list[str], sizes: tuple[int, ...] = (
     return x.groupBy(F.col("x.c").alias("conditions"), F.col("x.k").alias("size")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("_o") > 0).alias("wins"), F.count_if(F.col("_o") < 0).alias("losses"), F.count_if(F.col("_o") == 0).alias("ties"))
 
 
+def _stirling(n: np.ndarray) -> np.ndarray:
+    """log n! less Stirling's formula: exact below 16, by its series from there on."""
+    n = np.asarray(n, float)
+    small = np.minimum(n, 15).astype(int)
+    table = np.array([0.0, *(math.lgamma(k + 1) - (k + 0.5) * math.log(k) + k - 0.5 * math.log(2 * math.pi) for k in range(1, 16))])
+    x = np.maximum(n, 1.0)
+    y = x * x
+    series = (1 / 12 - (1 / 360 - (1 / 1260 - (1 / 1680 - 1 / 1188 / y) / y) / y) / y) / x
+    return np.where(n < 16, table[small], series)
+
+
+def _deviance(x: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """x log(x / m) + m - x, also where x is near m."""
+    v = (x - m) / (x + m)
+    near, total, power = np.abs(v) < 0.1, (x - m) * v, 2 * x * v
+    for j in range(1, 30):
+        power = power * v * v
+        total = total + power / (2 * j + 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(near, total, x * np.log(x / m) + m - x)
+
+
+def _mass(k: np.ndarray, n: np.ndarray, p: float) -> np.ndarray:
+    """P(X = k) of n trials at p, by saddle-point expansion, which holds its digits for any n."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        inner = np.exp(_stirling(n) - _stirling(k) - _stirling(n - k) - _deviance(k, n * p) - _deviance(n - k, n * (1 - p))) * np.sqrt(n / (2 * math.pi * k * (n - k)))
+    return np.where(k <= 0, np.exp(n * math.log1p(-p)), np.where(k >= n, np.exp(n * math.log(p)), inner))
+
+
+def upper_tails(wins: np.ndarray, losses: np.ndarray, p: float) -> np.ndarray:
+    """P(X >= wins) of wins + losses trials at p for each pair.
+
+    From the term at the border outwards, on the side of the border that falls off, each term by its ratio to the one before, until they no longer
+    count: some standard deviations' worth of terms, all pairs at once.
+    """
+    w, n = np.asarray(wins, float), np.asarray(wins, float) + np.asarray(losses, float)
+    out = np.ones(len(w))
+    live = (n > 0) & (w > 0)
+    if p <= 0 or p >= 1:
+        return np.where(live, 0.0, 1.0) if p <= 0 else out
+    up = w > n * p
+    k = np.where(up, w, w - 1)
+    term = np.where(live, _mass(k, np.maximum(n, 1.0), p), 0.0)
+    total, at, odds = term.copy(), np.flatnonzero(live), p / (1 - p)
+    while len(at):
+        i, m = k[at], n[at]
+        ratio = np.where(up[at], (m - i) / (i + 1) * odds, i / (m - i + 1) / odds)
+        term[at] *= ratio
+        total[at] += term[at]
+        k[at] += np.where(up[at], 1.0, -1.0)
+        at = at[term[at] > 1e-18 * total[at]]
+    return np.where(live, np.minimum(1.0, np.where(up, total, 1.0 - total)), 1.0)
+
+
 def upper_tail(wins: int, losses: int, p: float) -> float:
-    """P(X >= wins) of wins + losses trials at p, exact, summed in log space from the largest term down."""
-    n = wins + losses
-    if n == 0 or wins == 0 or p >= 1:
-        return 1.0
-    if p <= 0:
-        return 0.0
-    k = np.arange(wins, n + 1)
-    lg = np.array([math.lgamma(i) for i in (n + 1, *(k + 1), *(n - k + 1))])
-    m = len(k)
-    terms = lg[0] - lg[1 : m + 1] - lg[m + 1 :] + k * math.log(p) + (n - k) * math.log1p(-p)
-    top = terms.max()
-    return float(min(1.0, math.exp(top) * np.exp(terms - top).sum()))
+    """`upper_tails` of one pair."""
+    return float(upper_tails(np.array([wins]), np.array([losses]), p)[0])
 
 
 def tested(counts: DataFrame, break_even: float) -> DataFrame:
-    """Adds p_value, the exact upper tail of wins against `break_even`. A test each combination, in Arrow batches."""
+    """Adds p_value, the upper tail of wins against `break_even`. A test each combination, in Arrow batches."""
 
     @F.pandas_udf("double")
     def tail(w: pd.Series, l: pd.Series) -> pd.Series:
-        seen: dict[tuple[int, int], float] = {}
-        return pd.Series([seen.setdefault(k, upper_tail(*k, break_even)) if k not in seen else seen[k] for k in zip(w.tolist(), l.tolist())])
+        return pd.Series(upper_tails(w.to_numpy(), l.to_numpy(), break_even))
 
     return counts.withColumn("p_value", F.round(tail("wins", "losses"), 12))
 
@@ -63,17 +107,17 @@ def tested(counts: DataFrame, break_even: float) -> DataFrame:
 def adjusted(tests: DataFrame, id: str = "conditions") -> DataFrame:
     """Adds the rank by p_value (ties by id) and the Benjamini-Hochberg adjusted value: min over equal or larger ranks of p * m / rank, at most 1.
 
-    Ranks and minima run in shards of p_value, so the family is never ordered in one task. Null p_values get null.
+    The tests are written once in ranges of (p_value, id) of about equal size, however many are tied; ranks and minima run within these. Null p_values get null.
     """
-    live = tests.where("p_value is not null").withColumn("_shard", F.floor(F.col("p_value") * 4_096).cast("int")).withColumn("_all", F.lit(0))
-    ranked = running(live, ["_all"], "_shard", ["p_value", id], {"_before": F.lit(1)}).withColumn("rank", F.col("_before") + 1)
-    m = tests.agg(F.count("p_value").alias("_m"))
+    held = written(ordered_shards(tests, [], ["p_value", id]), "tests")
+    ranked = running(held.where("p_value is not null").withColumn("_all", F.lit(0)), ["_all"], "_shard", ["p_value", id], {"_before": F.lit(1)}).withColumn("rank", F.col("_before") + 1)
+    m = held.agg(F.count("p_value").alias("_m"))
     x = ranked.join(F.broadcast(m)).withColumn("_v", F.col("p_value") * F.col("_m") / F.col("rank"))
     # Backwards: the least value among the larger ranks is the greatest of the negatives before.
     x = x.withColumn("_back", -F.col("_shard")).withColumn("_down", -F.col("rank"))
     x = running(x, ["_all"], "_back", ["_down"], {"_least": -F.col("_v")}, "max")
     x = x.withColumn("adjusted", F.least(F.lit(1.0), F.coalesce(F.least("_v", -F.col("_least")), "_v")))
-    return x.drop("_shard", "_all", "_before", "_m", "_v", "_back", "_down", "_least").unionByName(tests.where("p_value is null"), allowMissingColumns=True)
+    return x.drop("_shard", "_all", "_before", "_m", "_v", "_back", "_down", "_least").unionByName(held.where("p_value is null").drop("_shard"), allowMissingColumns=True)
 
 
 def screened(tests: DataFrame, most: float, top: int, id: str = "conditions") -> DataFrame:

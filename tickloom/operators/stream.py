@@ -7,8 +7,12 @@ ranges of the order itself, not sampled ones, since totals per shard are compute
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -179,18 +183,43 @@ def log2_histogram(rows: DataFrame, value: str, *keys: str) -> DataFrame:
     return rows.where(v >= 0).groupBy(*keys, bucket.cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _divisors(whole: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Greatest common divisor and count per generation, of each batch or of all batches of a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str | None, tuple[int, int]] = {}
+        out = lambda: pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([v[0] for v in held.values()], pa.int64()), pa.array([v[1] for v in held.values()], pa.int64())], names=[E, "step_units", "n_moves"])
+        for b in batches:
+            e = b.column(0).dictionary_encode()
+            code = e.indices.fill_null(len(e.dictionary)).to_numpy(zero_copy_only=False)
+            names = [*e.dictionary.to_pylist(), None]
+            order = np.argsort(code, kind="stable")
+            code, step, n = code[order], b.column(1).to_numpy()[order], b.column(2).to_numpy()[order]
+            cuts = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else ()
+            if len(cuts):
+                for k, g, m in zip(code[cuts].tolist(), np.gcd.reduceat(step, cuts).tolist(), np.add.reduceat(n, cuts).tolist()):
+                    a, c = held.get(names[k], (0, 0))
+                    held[names[k]] = (math.gcd(a, g), c + m)
+            if not whole:
+                yield out()
+                held.clear()
+        if whole and held:
+            yield out()
+
+    return run
+
+
 def price_facts(moved: DataFrame) -> DataFrame:
     """generation, min_units, max_units, n_moves, step_units: the greatest common divisor of all price moves (null without moves).
 
-    Distinct moves only are folded, and each partition folds its own to one number first.
+    Each batch of rows folds its own to one number a generation before the shuffle, and those are folded as they stream by: no moves are collected.
     """
-    gcd = "aggregate(collect_set(step), cast(0 as bigint), (a, b) -> aggregate(sequence(1, 64), named_struct('x', a, 'y', b), (s, i) -> if(s.y = 0, s, named_struct('x', s.y, 'y', s.x % s.y))).x)"
-    steps = moved.where("before is not null and before <> units").withColumn("step", F.abs(F.col("units") - F.col("before")))
-    part = steps.withColumn("_part", F.pmod(F.xxhash64("step"), F.lit(64)))
-    small = part.groupBy(E, "_part").agg(F.expr(gcd).alias("step"), F.count(F.lit(1)).alias("_n"))
-    folded = small.groupBy(E).agg(F.expr(gcd).alias("step_units"), F.sum("_n").alias("n_moves"))
+    steps = moved.where("before is not null and before <> units").select(E, F.abs(F.col("units") - F.col("before")).alias("step_units"), F.lit(1).cast("bigint").alias("n_moves"))
+    kinds = f"{E} string, step_units bigint, n_moves bigint"
+    folded = steps.mapInArrow(_divisors(False), kinds).repartition(E).mapInArrow(_divisors(True), kinds)
     bounds = moved.groupBy(E).agg(F.min("units").alias("min_units"), F.max("units").alias("max_units"))
-    return bounds.join(folded, E, "left").select(E, "min_units", "max_units", F.coalesce("n_moves", F.lit(0)).alias("n_moves"), "step_units")
+    folded = folded.withColumnRenamed(E, "_e")
+    return bounds.join(folded, bounds[E].eqNullSafe(folded["_e"]), "left").select(E, "min_units", "max_units", F.coalesce("n_moves", F.lit(0)).alias("n_moves"), "step_units")
 
 
 def run_facts(moved: DataFrame) -> DataFrame:

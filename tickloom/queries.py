@@ -19,17 +19,20 @@ def _late(spark: SparkSession, d: str) -> DataFrame:
     return late_events.changelog(late_events.revisions(table(spark, d, "ticks"), table(spark, d, "raw_pages")))
 
 
+def _rounded(state: DataFrame) -> DataFrame:
+    return state.withColumn("total", F.round(F.col("total").cast("double") + F.coalesce("total_large", F.lit(0.0)), 3)).drop("total_large")
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return late_events.corrected_periods(_late(spark, d))
 
 
 def p1_corrected(spark: SparkSession, d: str) -> DataFrame:
-    return late_events.consolidate(_late(spark, d)).withColumn("total", F.round(F.col("total").cast("double"), 3)).withColumns({c: F.col(c).cast("double") for c in ("low", "high")})
+    return _rounded(late_events.consolidate(_late(spark, d)))
 
 
 def p1_hourly(spark: SparkSession, d: str) -> DataFrame:
-    out = late_events.consolidate(_late(spark, d), grain=3_600_000_000)
-    return out.withColumn("total", F.round(F.col("total").cast("double"), 3)).withColumns({c: F.col(c).cast("double") for c in ("low", "high")})
+    return _rounded(late_events.consolidate(_late(spark, d), grain=3_600_000_000))
 
 
 def _orphans(spark: SparkSession, d: str) -> DataFrame:
@@ -66,7 +69,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_grid(spark: SparkSession, d: str) -> DataFrame:
-    return _grid(spark, d)
+    return _grid(spark, d).withColumn("value", F.round("value", 6))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -152,6 +155,16 @@ ORACLES: dict[str, str] = {
 WITH m AS (SELECT DISTINCT generation, CAST(floor(epoch_us(event_time_micros) / 60000000) AS BIGINT) AS m FROM ticks WHERE event_time_micros IS NOT NULL AND price IS NOT NULL),
 n AS (SELECT generation, m, lead(m) OVER (PARTITION BY generation ORDER BY m) AS next FROM m)
 SELECT generation, unnest(range(m + 1, next)) * 60000000 AS period_start_micros FROM n WHERE next > m + 1""",
+    "p4_grid": """
+WITH m AS (SELECT generation, CAST(floor(epoch_us(event_time_micros) / 60000000) AS BIGINT) AS x, arg_max(price, (epoch_us(event_time_micros), tick_id)) AS y, count(*) AS n FROM ticks WHERE event_time_micros IS NOT NULL AND price IS NOT NULL GROUP BY 1, 2),
+n AS (SELECT *, CAST(x - lag(x) OVER w AS DOUBLE) AS hb, (y - lag(y) OVER w) / (x - lag(x) OVER w) AS db, CAST(lead(x) OVER w - x AS DOUBLE) AS h, lead(y) OVER w AS y1, (lead(y) OVER w - y) / (lead(x) OVER w - x) AS dd,
+  CAST(lead(x, 2) OVER w - lead(x) OVER w AS DOUBLE) AS hn, (lead(y, 2) OVER w - lead(y) OVER w) / (lead(x, 2) OVER w - lead(x) OVER w) AS dn FROM m WINDOW w AS (PARTITION BY generation ORDER BY x)),
+e AS (SELECT *, coalesce(hb <= 31, false) AS back, coalesce(hn <= 31, false) AS nxt, ((2 * h + hn) * dd - h * dn) / (h + hn) AS el, ((2 * h + hb) * dd - h * db) / (h + hb) AS er FROM n),
+k AS (SELECT *, CASE WHEN back THEN CASE WHEN db * dd <= 0 THEN 0.0 ELSE 3 * (h + hb) / ((2 * h + hb) / db + (h + 2 * hb) / dd) END WHEN nxt THEN CASE WHEN el * dd <= 0 THEN 0.0 WHEN dd * dn <= 0 AND abs(el) > 3 * abs(dd) THEN 3 * dd ELSE el END ELSE dd END AS m0,
+  CASE WHEN nxt THEN CASE WHEN dd * dn <= 0 THEN 0.0 ELSE 3 * (hn + h) / ((2 * hn + h) / dd + (hn + 2 * h) / dn) END WHEN back THEN CASE WHEN er * dd <= 0 THEN 0.0 WHEN dd * db <= 0 AND abs(er) > 3 * abs(dd) THEN 3 * dd ELSE er END ELSE dd END AS m1 FROM e),
+j AS (SELECT *, unnest(range(0, CAST(coalesce(h, 1) AS BIGINT))) AS j FROM k), t AS (SELECT *, j / h AS t FROM j)
+SELECT generation, (x + j) * 60000000 AS period_start_micros, round(CASE WHEN j = 0 THEN y WHEN h <= 31 THEN (1 + 2 * t) * (1 - t) * (1 - t) * y + t * (1 - t) * (1 - t) * h * m0 + t * t * (3 - 2 * t) * y1 + t * t * (t - 1) * h * m1 END, 6) AS value,
+  CASE WHEN j = 0 THEN n ELSE 0 END AS n_readings, CASE WHEN j = 0 THEN 'observed' WHEN h <= 31 THEN 'filled' ELSE 'gap' END AS fill FROM t""",
     "p5_found": _P5 + "SELECT delivery_id FROM r WHERE k > 1",
     "p5_kept": _P5 + "SELECT delivery_id, acquisition, ordinal, digest FROM r WHERE k = 1",
     "p7_found": _P7 + "SELECT generation, family, span_kind, period_end AS gap_start_micros, nxt AS gap_end_micros FROM (SELECT *, lead(period_start) OVER (PARTITION BY generation, family, span_kind ORDER BY period_start) AS nxt FROM periods) WHERE nxt IS NOT NULL",

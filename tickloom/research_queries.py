@@ -9,6 +9,7 @@ from .functions.prices import decimal_text, decimal_units, event_micros, event_t
 from .functions.text import instant_micros
 from .operators import asof, coverage, encodings, outcomes, paths, search, sessions
 from .operators import stream as st
+from .session import written
 from .sources import files, pages, table
 from .stream_queries import MOVED, _moved
 from .streaming import jobs
@@ -20,8 +21,13 @@ def _references(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "feature_rows").where("close_time_micros is not null").select("feature_id", "generation", F.unix_micros("close_time_micros").alias("reference_micros"))
 
 
+def _marked(spark: SparkSession, d: str) -> DataFrame:
+    """The marked ticks as a table: they are laid in order once, not anew for each expiry."""
+    return written(outcomes.marked(_moved(spark, d)), "marked")
+
+
 def _labels(spark: SparkSession, d: str) -> DataFrame:
-    return outcomes.outcomes(_references(spark, d), outcomes.marked(_moved(spark, d)))
+    return outcomes.outcomes(_references(spark, d), _marked(spark, d))
 
 
 def outcome_matrix(spark: SparkSession, d: str) -> DataFrame:
@@ -40,7 +46,7 @@ def _trades(spark: SparkSession, d: str) -> DataFrame:
 
 def trade_paths(spark: SparkSession, d: str) -> DataFrame:
     moved = _moved(spark, d)
-    ticks = outcomes.marked(moved)
+    ticks = written(outcomes.marked(moved), "marked")
     t = outcomes.outcomes(_references(spark, d), ticks).where("reason = 0")
     t = t.join(ticks.select(F.col("seq").alias("entry_seq"), F.col("units").alias("entry_units")), "entry_seq").withColumn("trade_id", F.concat_ws("/", "feature_id", "expiry_seconds"))
     return outcomes.path_metrics(t, moved)
@@ -224,12 +230,13 @@ def page_ticks(spark: SparkSession, d: str) -> DataFrame:
 def _kept_rows(spark: SparkSession, d: str) -> DataFrame:
     first = table(spark, d, "raw_pages")
     rows = pages.decoded(first)
-    keep = rows.groupBy("acquisition", "ordinal").agg(F.min("delivery_id").alias("delivery_id"))
-    return rows.join(keep, ["acquisition", "ordinal", "delivery_id"]).drop("delivery_id")
+    keep = rows.groupBy("acquisition", "ordinal", "digest").agg(F.min("delivery_id").alias("delivery_id"))
+    on = [rows[c].eqNullSafe(keep[c]) for c in ("acquisition", "ordinal", "digest")]
+    return rows.join(keep, [*on, rows["delivery_id"] == keep["delivery_id"]], "left_semi").drop("delivery_id")
 
 
 def page_overlaps(spark: SparkSession, d: str) -> DataFrame:
-    return pages.without_overlap(_kept_rows(spark, d)).groupBy("acquisition", "ordinal").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("dropped"))
+    return pages.without_overlap(_kept_rows(spark, d)).groupBy("acquisition", "ordinal", "digest").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("dropped"))
 
 
 def event_properties(spark: SparkSession, d: str) -> DataFrame:
@@ -244,7 +251,10 @@ def stream_candles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stream_retractions(spark: SparkSession, d: str) -> DataFrame:
-    return jobs.run_to_end(jobs.retractions(jobs.tick_stream(spark, f"{d}/ticks.parquet")), "stream-retractions")
+    """What the retractions of the ticks, streamed in files, leave of each period: its last version and the signed sums."""
+    changes = jobs.run_to_end(jobs.retractions(jobs.tick_stream(spark, f"{d}/ticks.parquet"), table(spark, d, "raw_pages")), "stream-retractions")
+    sums = [F.sum(F.col("change") * F.col(c)).alias(c) for c in ("n", "n_values")]
+    return changes.groupBy("generation", "period_start_micros").agg(*sums, F.round(F.sum(F.col("change") * F.col("total")), 3).alias("total"))
 
 
 QUERIES = {
@@ -355,4 +365,14 @@ SELECT d.generation, d.family, d.day, n_rows, coalesce(unresolved_micros, 0) AS
     "timestamp_roundtrip": "SELECT tick_id, strftime(event_time_micros, '%Y-%m-%dT%H:%M:%S.%fZ') AS text, epoch_us(event_time_micros) AS micros FROM ticks WHERE event_time_micros IS NOT NULL",
     "page_digests": "SELECT delivery_id, sha256(payload) = regexp_replace(regexp_replace(lower(payload_sha256), '^\\s+|\\s+$', '', 'g'), '^(sha-?256\\s*[:=]\\s*)?(0x)?', '') AS intact FROM raw_pages",
     "event_properties": "SELECT epoch_us(ts) - (epoch_us(ts) - 1800000000) % 3600000000 AS start_micros, event_type, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY 1, 2",
+    "stream_retractions": """
+WITH pages AS (SELECT regexp_replace(lower(acquisition_id), '^\\s+|\\s+$', '', 'g') AS a, ordinal AS o, min(epoch_us(receipt_time_utc)) AS k FROM raw_pages WHERE receipt_time_utc IS NOT NULL GROUP BY 1, 2),
+t AS (SELECT generation, price, CAST(floor(epoch_us(event_time_micros) / 300000000) AS BIGINT) * 300000000 AS p, coalesce(epoch_us(known_at_micros), k) AS arrival FROM ticks LEFT JOIN pages ON a = regexp_replace(lower(acquisition_id), '^\\s+|\\s+$', '', 'g') AND o = page_ordinal WHERE event_time_micros IS NOT NULL)
+SELECT generation, p AS period_start_micros, count(*) AS n, count(price) AS n_values, round(coalesce(sum(price), 0.0), 3) AS total FROM t WHERE arrival <= p + 2100000000 GROUP BY 1, 2""",
+    "page_ticks": """
+WITH d AS (SELECT delivery_id, regexp_replace(lower(acquisition_id), '^\\s+|\\s+$', '', 'g') AS acquisition, ordinal, regexp_replace(regexp_replace(lower(payload_sha256), '^\\s+|\\s+$', '', 'g'), '^(sha-?256\\s*[:=]\\s*)?(0x)?', '') AS digest, payload FROM raw_pages),
+j AS (SELECT delivery_id, acquisition, ordinal, digest, CAST(decode(payload) AS JSON) AS p FROM d WHERE sha256(payload) = digest),
+a AS (SELECT delivery_id, acquisition, ordinal, digest, CAST(p -> '$.history.times' AS BIGINT[]) AS t, CAST(p -> '$.history.prices' AS VARCHAR[]) AS x FROM j),
+r AS (SELECT *, unnest(range(0, len(t))) AS place FROM a WHERE len(t) = len(x))
+SELECT delivery_id, acquisition, ordinal, digest, CAST(place AS INT) AS place, t[place + 1] AS t_millis, x[place + 1] AS price FROM r""",
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -28,9 +29,11 @@ def session(master: str | None = None, app: str = "tickloom", shuffle_partitions
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; a local one is made only where that is unset."""
+    """The folder all executors share, from spark.checkpoint.dir. Where that is unset, one is made on this machine, which only a session in one process may use."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="tickloom-")
         spark.conf.set("spark.checkpoint.dir", at)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -43,8 +46,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     at = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(at)
+    _WRITTEN.append(at)
     return spark.read.schema(df.schema).parquet(at)
 
 
+_WRITTEN: list[str] = []
+
+
+def drop_written(spark: SparkSession) -> None:
+    """Deletes the tables that `written` has made in this process; what was read from them is lost."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
