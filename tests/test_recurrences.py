@@ -16,7 +16,7 @@ def test_moving_averages_and_legs(spark):
             rows.append((g, ordinal, seg, 1000 + rnd.randrange(-20, 20), rnd.choice(["up", "down", "flat"]), rnd.choice(["up", "up", "down", "sideways", "unknown"])))
     cols = "generation string, ordinal bigint, clean_segment_index bigint, close_units bigint, candle_direction string, directional_state string"
     df = spark.createDataFrame(rows, cols)
-    df = df.selectExpr("*", "row_number() over (partition by generation, clean_segment_index order by ordinal) - 1L as clean_segment_candle_index", "false as breakout_up", "false as breakout_down", "cast(null as bigint) as last_swing_high_units", "cast(null as bigint) as last_swing_low_units", "row_number() over (partition by generation order by ordinal) - 1L as _row")
+    df = df.selectExpr("*", "row_number() over (partition by generation, clean_segment_index order by ordinal) - 1L as clean_segment_candle_index", "false as breakout_up", "false as breakout_down", "cast(null as bigint) as last_swing_high_units", "cast(null as bigint) as last_swing_low_units", "ordinal as close_micros", "row_number() over (partition by generation order by ordinal) - 1L as _row")
     got = {r["ordinal"]: r for r in fe.carried(df.withColumn("clean_segment_candle_index", df["clean_segment_candle_index"].cast("bigint"))).collect()}
     state = {}
     for g, o, seg, close, d, s in rows:
