@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions.text import instant_micros
 from .operators import late_events, periods, redelivery, references, regrid, spikes
-from . import extra_queries, research_queries, stream_queries
+from . import extra_queries, research_queries, spike_sql, stream_queries
 from .sources import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -167,6 +167,8 @@ SELECT generation, (x + j) * 60000000 AS period_start_micros, round(CASE WHEN j
   CASE WHEN j = 0 THEN n ELSE 0 END AS n_readings, CASE WHEN j = 0 THEN 'observed' WHEN h <= 31 THEN 'filled' ELSE 'gap' END AS fill FROM t""",
     "p5_found": _P5 + "SELECT delivery_id FROM r WHERE k > 1",
     "p5_kept": _P5 + "SELECT delivery_id, acquisition, ordinal, digest FROM r WHERE k = 1",
+    "p6_found": spike_sql.flags() + " SELECT DISTINCT row_table, row_id FROM flags",
+    "p6_flags": spike_sql.flags() + " SELECT * FROM flags",
     "p7_found": _P7 + "SELECT generation, family, span_kind, period_end AS gap_start_micros, nxt AS gap_end_micros FROM (SELECT *, lead(period_start) OVER (PARTITION BY generation, family, span_kind ORDER BY period_start) AS nxt FROM periods) WHERE nxt IS NOT NULL",
     "p7_periods": _P7 + "SELECT * FROM periods",
 } | stream_queries.ORACLES | research_queries.ORACLES | extra_queries.ORACLES
