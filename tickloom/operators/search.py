@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import written
-from .shards import ordered_shards, running
+from .shards import lookup_join, ordered_shards, running
 
 
 def posting_lists(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -125,22 +125,65 @@ def screened(tests: DataFrame, most: float, top: int, id: str = "conditions") ->
     return tests.where((F.col("adjusted") <= most) & (F.col("rank") <= top))
 
 
+def candidates(menu: DataFrame, least: int, most: int) -> DataFrame:
+    """Every set of `least` to `most` conditions of different columns of a menu (column, code): conditions (array of `column=code`, ascending), size.
+
+    The family is what this makes, so it is as large as the menu says; each set grows by what comes later in the menu's order, a size at a time.
+    """
+    one = menu.distinct().select(F.struct(F.concat_ws("=", "column", F.col("code").cast("string")).alias("c"), F.col("column").alias("col")).alias("m"))
+    whole = F.broadcast(one.agg(F.sort_array(F.collect_list("m")).alias("_menu")))  # the menu in one row: it is what the user states
+    sets = one.select(F.array("m.c").alias("conditions"), F.array("m.col").alias("cols"))
+    out = [sets]
+    for _ in range(1, most):
+        later = F.filter("_menu", lambda m: (m["c"] > F.element_at("conditions", -1)) & ~F.array_contains("cols", m["col"]))
+        sets = sets.join(whole).select("conditions", "cols", F.explode(later).alias("m")).select(F.array_append("conditions", F.col("m.c")).alias("conditions"), F.array_append("cols", F.col("m.col")).alias("cols"))
+        out.append(sets)
+    rows = out[least - 1]
+    for x in out[least:]:
+        rows = rows.unionByName(x)
+    return rows.select("conditions", F.size("conditions").alias("size"))
+
+
+def matched(rows: DataFrame, columns: list[str], candidates: DataFrame) -> DataFrame:
+    """Each row (its own columns) with each candidate (candidate, conditions: array of `column=code`) all of whose conditions it meets.
+
+    A candidate is looked up by its least frequent condition alone, and the rest is held against the row: rows meet only candidates that may fit.
+    A candidate without conditions fits nothing.
+    """
+    held = F.array_compact(F.array(*[F.when(F.col(c) >= 0, F.concat(F.lit(f"{c}="), F.col(c).cast("string"))) for c in columns]))
+    rows = rows.withColumn("_held", held)
+    counts = rows.select(F.explode("_held").alias("_driver")).groupBy("_driver").agg(F.count(F.lit(1)).alias("_n"))
+    parts = candidates.select("candidate", "conditions", F.explode("conditions").alias("_driver")).join(counts, "_driver")
+    whole = F.count(F.lit(1)).over(Window.partitionBy("candidate")) == F.size(F.array_distinct("conditions"))
+    first = F.row_number().over(Window.partitionBy("candidate").orderBy("_n", "_driver")) == 1
+    drivers = parts.dropDuplicates(["candidate", "_driver"]).withColumns({"_whole": whole, "_first": first}).where("_whole and _first").select("candidate", "conditions", "_driver")
+    met = lookup_join(rows.withColumn("_driver", F.explode("_held")), drivers, "_driver", "inner")
+    return met.where(F.size(F.array_except("conditions", "_held")) == 0).drop("_held", "_driver", "conditions")
+
+
 def _scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     at, busy = None, np.iinfo(np.int64).min
     for df in frames:
         kept = np.zeros(len(df), bool)
         for i, x in enumerate(df.itertuples(index=False)):
-            if x.candidate != at:
-                at, busy = x.candidate, np.iinfo(np.int64).min
+            if (x.candidate, x.stretch) != at:
+                at, busy = (x.candidate, x.stretch), np.iinfo(np.int64).min
             if busy <= x.entry and x.release > 0:
                 kept[i], busy = True, x.release
         yield pd.DataFrame({"candidate": df["candidate"], "row": df["row"], "kept": kept})
 
 
-def one_at_a_time(signals: DataFrame) -> DataFrame:
+def one_at_a_time(signals: DataFrame, length: int = 86_400_000_000) -> DataFrame:
     """Signals (candidate, row, entry, release) with `kept`: a candidate takes a signal only while it holds none, from entry to release.
 
-    In order of (entry, row), candidates in parallel; sorted rows stream by, nothing is collected. A release of 0 or less is never taken.
+    In order of (entry, row). Wherever everything before has been released by a signal's entry, it is taken whatever came before, so a candidate's
+    signals fall into stretches that are worked on apart; a stretch streams by in order, nothing is collected. The stretches are found by running maxima over
+    blocks of `length` of entries. A release of 0 or less is never taken.
     """
     s = signals.select(F.col("candidate").cast("string"), F.col("row").cast("bigint"), F.col("entry").cast("bigint"), F.coalesce(F.col("release").cast("bigint"), F.lit(0)).alias("release")).where("candidate is not null and entry is not null")
-    return s.repartition("candidate").sortWithinPartitions("candidate", "entry", "row").mapInPandas(_scan, "candidate string, row bigint, kept boolean")
+    s = running(s.withColumn("_shard", F.floor(F.col("entry") / F.lit(length))), ["candidate"], "_shard", ["entry", "row"], {"_held": F.col("release")}, "max")
+    # A stretch is named by its first entry: the greatest entry so far at which nothing was held.
+    free = F.when(F.coalesce(F.col("_held"), F.lit(0)) <= F.col("entry"), F.col("entry"))
+    s = s.withColumn("_free", free)
+    s = running(s, ["candidate"], "_shard", ["entry", "row"], {"_before": F.col("_free")}, "max").withColumn("stretch", F.coalesce("_free", "_before"))
+    return s.select("candidate", "stretch", "row", "entry", "release").repartition("candidate", "stretch").sortWithinPartitions("candidate", "stretch", "entry", "row").mapInPandas(_scan, "candidate string, row bigint, kept boolean")

@@ -78,13 +78,17 @@ def encode_apply(spark: SparkSession, d: str) -> DataFrame:
     return encodings.encoded(rows, fitted, ["direction", "instrument"]).select("feature_id", "direction_code", "instrument_code")
 
 
-def _coded(spark: SparkSession, d: str) -> DataFrame:
-    """Outcomes with codes of their feature row, and won: 1 if the price rose from entry to settlement, -1 if it fell."""
-    rows = table(spark, d, "feature_rows")
+def coded_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Feature rows with their codes."""
     cut = lambda c, edges: F.when(c.isNotNull(), sum(((c > e).cast("int") for e in edges), F.lit(0)))
-    f = rows.select(
+    return table(spark, d, "feature_rows").select(
         "feature_id", F.when(F.col("direction") == "up", 1).when(F.col("direction") == "down", 2).when(F.col("direction").isNotNull(), 0).alias("dir"), cut(F.col("return_1_bps"), (-5.0, -1.0, 1.0, 5.0)).alias("ret"), cut(F.col("body_bps"), (1.0, 3.0, 8.0)).alias("body"), cut(F.col("activity_score"), (0.5, 1.0, 2.0)).alias("act"),
     )
+
+
+def _coded(spark: SparkSession, d: str) -> DataFrame:
+    """Outcomes with codes of their feature row, and won: 1 if the price rose from entry to settlement, -1 if it fell."""
+    f = coded_rows(spark, d)
     o = table(spark, d, "outcomes").where("reason = 0").select("outcome_id", "feature_id", "entry_tick_id", "settlement_tick_id")
     t = table(spark, d, "ticks").where("price is not null").select("tick_id", "price")
     x = o.join(t.select(F.col("tick_id").alias("entry_tick_id"), F.col("price").alias("p0")), "entry_tick_id").join(t.select(F.col("tick_id").alias("settlement_tick_id"), F.col("price").alias("p1")), "settlement_tick_id").join(f, "feature_id")
@@ -375,4 +379,9 @@ j AS (SELECT delivery_id, acquisition, ordinal, digest, CAST(decode(payload) AS
 a AS (SELECT delivery_id, acquisition, ordinal, digest, CAST(p -> '$.history.times' AS BIGINT[]) AS t, CAST(p -> '$.history.prices' AS VARCHAR[]) AS x FROM j),
 r AS (SELECT *, unnest(range(0, len(t))) AS place FROM a WHERE len(t) = len(x))
 SELECT delivery_id, acquisition, ordinal, digest, CAST(place AS INT) AS place, t[place + 1] AS t_millis, x[place + 1] AS price FROM r""",
+    "one_at_a_time": f"""
+WITH RECURSIVE {MARKED}, o1 AS MATERIALIZED (SELECT path AS candidate, feature_id AS "row", et AS entry, st AS release, row_number() OVER (PARTITION BY path ORDER BY et, feature_id) AS rn FROM tr),
+o2 AS MATERIALIZED (SELECT a.candidate, a.rn, min(b.rn) AS nrn FROM o1 a JOIN o1 b ON a.candidate = b.candidate AND b.rn > a.rn AND b.entry >= a.release GROUP BY 1, 2),
+o3 AS (SELECT candidate, CAST(1 AS BIGINT) AS rn FROM o1 WHERE rn = 1 UNION ALL SELECT n.candidate, n.nrn FROM o3 t JOIN o2 n ON n.candidate = t.candidate AND n.rn = t.rn)
+SELECT o1.candidate, "row", o3.rn IS NOT NULL AS kept FROM o1 LEFT JOIN o3 ON o3.candidate = o1.candidate AND o3.rn = o1.rn""",
 }
