@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
 from .periods import continuous_periods
 
 DAY = 86_400_000_000
@@ -63,3 +64,53 @@ def newest(rows: DataFrame, key: str, at: str, tie: str) -> DataFrame:
     """The newest row of each key (ties: the greater `tie`), kept by a running maximum before any shuffle."""
     own = [c for c in rows.columns if c != key]
     return rows.groupBy(key).agg(F.max_by(F.struct(*own), F.struct(at, tie)).alias("_x")).select(key, "_x.*")
+
+
+def full_grid(days: DataFrame) -> DataFrame:
+    """Adds `full` to inventory days (day, first, last: micros; n_rows, duration_seconds): do its bars stand at every place of the day's grid, as their number and ends tell?"""
+    step = F.col("duration_seconds").cast("bigint") * 1_000_000
+    return days.withColumn("full", F.coalesce((F.col("n_rows") * step == DAY) & (F.col("first") == F.col("day")) & (F.col("last") == F.col("day") + DAY - step), F.lit(False)))
+
+
+def inventory_problems(days: DataFrame) -> DataFrame:
+    """Adds `problem` to inventory days (day, first, last: micros; n_rows, state): null, or the first that holds of bad_day, negative_rows, rows_without_bounds, bounds_without_rows, reversed, outside_day, state_without_rows (complete without rows), rows_in_empty."""
+    c = F.col
+    bounds = c("first").isNotNull() & c("last").isNotNull()
+    none = c("first").isNull() & c("last").isNull()
+    n = F.coalesce("n_rows", F.lit(0))
+    problem = (
+        F.when(c("day").isNull(), "bad_day").when(n < 0, "negative_rows").when((n > 0) & ~bounds, "rows_without_bounds").when((n == 0) & ~none, "bounds_without_rows").when(bounds & (c("last") < c("first")), "reversed")
+        .when(bounds & ((c("first") < c("day")) | (c("last") >= c("day") + DAY)), "outside_day").when((c("state") == "complete") & (n == 0), "state_without_rows").when((c("state") == "empty_known") & (n > 0), "rows_in_empty")
+    )
+    return days.withColumn("problem", problem)
+
+
+def disorder(spans: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Spans (keys, start, end, `order`: their place in a list) that break the rule that each ends after its start and begins at or after the end of the one before: spans with `problem` empty, reversed or overlap."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    before = F.lag("end").over(w)
+    problem = F.when(F.col("start") == F.col("end"), "empty").when(F.col("start") > F.col("end"), "reversed").when(F.col("start") < before, "overlap")
+    return spans.withColumn("problem", problem).where("problem is not null")
+
+
+def against_coverage(days: DataFrame, coverage: DataFrame, key: str) -> DataFrame:
+    """Days of an inventory (key, day) against what is covered (key, start, end: micros): key, day, finding, for days covered but not listed (`missing`) and days listed but not covered (`outside`)."""
+    c = coverage.select(key, F.explode(F.sequence(F.floor(F.col("start") / DAY), F.floor((F.col("end") - 1) / DAY))).alias("_d")).select(key, (F.col("_d") * DAY).alias("day")).distinct()
+    d = days.where("day is not null").select(key, "day").distinct()
+    return c.join(d, [key, "day"], "left_anti").withColumn("finding", F.lit("missing")).unionByName(d.join(c, [key, "day"], "left_anti").withColumn("finding", F.lit("outside")))
+
+
+def reachable(edges: DataFrame, roots: DataFrame, most: int = 1_000) -> DataFrame:
+    """Every node that can be reached from the roots (node) along edges (source, target), the roots included: node, steps (fewest).
+
+    Breadth first, a join a step; what is known is written after each step, so no plan grows and a lost executor loses nothing. Ends when a step finds nothing new.
+    """
+    known = written(roots.select("node").dropna().distinct().withColumn("steps", F.lit(0)), "known")
+    edges = edges.select("source", "target").dropna().distinct()
+    for step in range(1, most + 1):
+        fresh = known.where(F.col("steps") == step - 1).join(edges, F.col("node") == F.col("source")).select(F.col("target").alias("node")).distinct()
+        fresh = written(fresh.join(known, "node", "left_anti").withColumn("steps", F.lit(step)), "fresh")
+        if fresh.isEmpty():
+            return known
+        known = written(known.unionByName(fresh), "known")
+    raise RuntimeError(f"a path of more than {most} edges")

@@ -161,6 +161,19 @@ def matched(rows: DataFrame, columns: list[str], candidates: DataFrame) -> DataF
     return met.where(F.size(F.array_except("conditions", "_held")) == 0).drop("_held", "_driver", "conditions")
 
 
+def gated(scores: DataFrame, least: int, profit: int = 0, id: str = "conditions") -> DataFrame:
+    """Adds `gate` (null, or why a candidate is out: too_few with fewer than `least` decided trades, unprofitable with net units of `profit` or less) and `place`, the rank of those that are in: by net units, then decided trades, then id.
+
+    scores: id, wins, losses, net_units.
+    """
+    decided = F.col("wins") + F.col("losses")
+    x = scores.withColumn("gate", F.when(decided < least, "too_few").when(F.col("net_units") <= profit, "unprofitable"))
+    inside = x.where("gate is null").withColumns({"_net": -F.col("net_units"), "_decided": -(F.col("wins") + F.col("losses")), "_all": F.lit(0)})
+    held = written(ordered_shards(inside, [], ["_net", "_decided", id]), "gated")
+    ranked = running(held, ["_all"], "_shard", ["_net", "_decided", id], {"_before": F.lit(1)}).withColumn("place", F.col("_before") + 1)
+    return ranked.drop("_net", "_decided", "_all", "_shard", "_before").unionByName(x.where("gate is not null"), allowMissingColumns=True)
+
+
 def _scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     at, busy = None, np.iinfo(np.int64).min
     for df in frames:

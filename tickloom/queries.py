@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions.text import instant_micros
 from .operators import late_events, periods, redelivery, references, regrid, spikes
-from . import extra_queries, research_queries, spike_sql, stream_queries
+from . import extra_queries, grid_queries, research_queries, spike_sql, stream_queries
 from .sources import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -107,7 +107,7 @@ def p7_periods(spark: SparkSession, d: str) -> DataFrame:
     return periods.continuous_periods(_spans(spark, d), P7_KEYS, "s", "e").drop("gap_end")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_corrected, p1_hourly, p3_found, p3_report, p4_found, p4_grid, p5_found, p5_kept, p6_found, p6_flags, p7_found, p7_periods)} | stream_queries.QUERIES | research_queries.QUERIES | extra_queries.QUERIES
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_corrected, p1_hourly, p3_found, p3_report, p4_found, p4_grid, p5_found, p5_kept, p6_found, p6_flags, p7_found, p7_periods)} | stream_queries.QUERIES | research_queries.QUERIES | extra_queries.QUERIES | grid_queries.QUERIES
 
 _P1_ARRIVED = """
 WITH pages AS (SELECT regexp_replace(lower(acquisition_id), '^\\s+|\\s+$', '', 'g') AS a, ordinal AS o, min(epoch_us(receipt_time_utc)) AS k FROM raw_pages WHERE receipt_time_utc IS NOT NULL GROUP BY 1, 2),
@@ -171,4 +171,4 @@ SELECT generation, (x + j) * 60000000 AS period_start_micros, round(CASE WHEN j
     "p6_flags": spike_sql.flags() + " SELECT * FROM flags",
     "p7_found": _P7 + "SELECT generation, family, span_kind, period_end AS gap_start_micros, nxt AS gap_end_micros FROM (SELECT *, lead(period_start) OVER (PARTITION BY generation, family, span_kind ORDER BY period_start) AS nxt FROM periods) WHERE nxt IS NOT NULL",
     "p7_periods": _P7 + "SELECT * FROM periods",
-} | stream_queries.ORACLES | research_queries.ORACLES | extra_queries.ORACLES
+} | stream_queries.ORACLES | research_queries.ORACLES | extra_queries.ORACLES | grid_queries.ORACLES
