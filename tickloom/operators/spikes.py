@@ -148,6 +148,42 @@ def _chunks(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple[in
         yield int(held[0]["key"][0]), {c: np.concatenate([h[c] for h in held]) for c in names}
 
 
+class _Sheet:
+    """Rows gathered from many series as arrays and given out as few Arrow batches. What a row doesn't state is null, an array it doesn't state is empty."""
+
+    def __init__(self, **kinds: pa.DataType) -> None:
+        self.kinds, self.parts, self.sizes = kinds, {c: [] for c in kinds}, []
+
+    def add(self, size: int, **columns) -> None:
+        """`size` rows; a number stands for as many, an array column states the array of the first row alone."""
+        self.sizes.append(size)
+        for c, parts in self.parts.items():
+            parts.append(columns.get(c))
+
+    def batches(self, least: int = 1) -> Iterator[pa.RecordBatch]:
+        sizes = np.array(self.sizes, np.int64)
+        if sizes.sum() < least or not sizes.sum():
+            return
+        columns = []
+        for c, kind in self.kinds.items():
+            parts = self.parts[c]
+            stated = np.array([p is not None for p in parts])
+            if pa.types.is_list(kind):
+                first, lengths = np.cumsum(sizes) - sizes, np.zeros(int(sizes.sum()), np.int32)
+                lengths[first[stated]] = [len(p) for p in parts if p is not None]
+                values = np.concatenate([p for p in parts if p is not None] or [np.empty(0)])
+                columns.append(pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32), pa.array(values, kind.value_type)))
+                continue
+            flat = np.concatenate([np.full(n, 0 if p is None else p) if p is None or np.ndim(p) == 0 else p for n, p in zip(self.sizes, parts)])
+            columns.append(pa.array(flat.astype(bool) if pa.types.is_boolean(kind) else flat, kind, mask=np.repeat(~stated, sizes)))
+        yield pa.RecordBatch.from_arrays(columns, names=list(self.kinds))
+        self.sizes, self.parts = [], {c: [] for c in self.kinds}
+
+
+#: Rows that are given out together.
+_ROWS = 20_000
+
+
 def _distinct(x: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Which rows begin a distinct reading, and each row's reading."""
     new = np.ones(len(x["t"]), bool)
@@ -174,6 +210,7 @@ def _detail_counts(u: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 _BORDER = "key bigint, kind int, t bigint, u double, own double, decided boolean, codes array<bigint>, counts array<bigint>"
+_LISTS = pa.list_(pa.int64())
 
 
 def _borders(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -181,40 +218,46 @@ def _borders(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
     halo = _halo(width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = _Sheet(key=pa.int64(), kind=pa.int32(), t=pa.int64(), u=pa.float64(), own=pa.float64(), decided=pa.bool_(), codes=_LISTS, counts=_LISTS)
         for key, x in _chunks(batches, "t", "u", "own"):
             new, row = _distinct(x)
             t, u = x["t"][new], x["u"][new]
             n = len(t)
-            place = np.arange(n)
-            inner = (place >= halo) & (place < n - halo)
-            codes, counts = _detail_counts(u, inner)
-            at = np.flatnonzero((place < 2 * halo) | (place >= n - 2 * halo))
-            own = _own(x["own"], row, n)[at]
-            k = len(at)
-            lists = pa.array([codes.tolist(), *[None] * k], pa.list_(pa.int64())), pa.array([counts.tolist(), *[None] * k], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.full(k + 1, key)), pa.array(np.minimum(np.arange(k + 1), 1).astype(np.int32)), pa.array(np.concatenate([[0], t[at]])), pa.array(np.concatenate([[0.0], u[at]])),
-                pa.array(np.concatenate([[np.nan], own])), pa.array(np.concatenate([[True], inner[at]])), *lists,
-            ], names=["key", "kind", "t", "u", "own", "decided", "codes", "counts"])
+            own = _own(x["own"], row, n)
+            inner = np.zeros(n, bool)
+            inner[halo : max(n - halo, 0)] = True
+            if n > 2 * halo:
+                codes, counts = _detail_counts(u, inner)
+                out.add(1, key=key, kind=0, codes=codes, counts=counts)
+            at = np.arange(n) if n <= 4 * halo else np.concatenate([np.arange(2 * halo), np.arange(n - 2 * halo, n)])
+            out.add(len(at), key=key, kind=1, t=t[at], u=u[at], own=own[at], decided=inner[at])
+            yield from out.batches(_ROWS)
+        yield from out.batches()
 
     return run
 
 
-def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
-    """Rows ordered by key as one table a key."""
-    held: list[pa.RecordBatch] = []
+def _by_key(batches: Iterator[pa.RecordBatch], names: tuple[str, ...], lists: tuple[str, ...] = ()) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
+    """Rows ordered by key as (key, arrays of `names`, and of `lists` what their rows hold, end to end), one a key."""
+    held: list[dict[str, np.ndarray]] = []
+    last: int | None = None
+    whole = lambda: {c: np.concatenate([h[c] for h in held]) for c in (*names, *lists)}
     for b in batches:
-        key = b.column(0).to_numpy(zero_copy_only=False)
-        bounds = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
+        column = lambda c: b.column(b.schema.get_field_index(c))
+        key = column("key").to_numpy(zero_copy_only=False)
+        cols = {c: column(c).to_numpy(zero_copy_only=False) for c in names}
+        flat = {c: (column(c).offsets.to_numpy(), column(c).values.to_numpy(zero_copy_only=False)) for c in lists}
+        bounds = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
         for lo, hi in zip(bounds, bounds[1:]):
             if hi == lo:
                 continue
-            if held and held[0].column(0)[0].as_py() != key[lo]:
-                yield held[0].column(0)[0].as_py(), pa.Table.from_batches(held)
-                held = []
-            held.append(b.slice(lo, hi - lo))
+            if held and last != int(key[lo]):
+                yield last, whole()
+                held.clear()
+            last = int(key[lo])
+            held.append({c: v[lo:hi] for c, v in cols.items()} | {c: v[o[lo] : o[hi]] for c, (o, v) in flat.items()})
     if held:
-        yield held[0].column(0)[0].as_py(), pa.Table.from_batches(held)
+        yield last, whole()
 
 
 _STITCHED = "key bigint, kind int, t bigint, u double, n bigint, zeros bigint, scales array<double>"
@@ -224,31 +267,28 @@ def _stitched(outlying: float, back: float, width: int) -> Callable[[Iterator[pa
     """From what _borders gives, ordered by key, kind and reading: a series' number of readings, zero details and scales (kind 0), and the readings near borders that are spikes (kind 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, x in _by_key(batches):
-            kind = x["kind"].to_numpy()
-            lists = x.filter(pa.array(kind == 0))
-            flat = lambda c: np.concatenate([np.asarray(v, np.int64) for v in lists[c].to_pylist()] or [np.empty(0, np.int64)])
-            codes, counts = flat("codes"), flat("counts")
-            r = x.filter(pa.array(kind == 1))
-            t, u, own, decided = (r[c].to_numpy() for c in ("t", "u", "own", "decided"))
+        out = _Sheet(key=pa.int64(), kind=pa.int32(), t=pa.int64(), u=pa.float64(), n=pa.int64(), zeros=pa.int64(), scales=pa.list_(pa.float64()))
+        for key, x in _by_key(batches, ("kind", "t", "u", "own", "decided"), ("codes", "counts")):
+            codes, counts, here = x["codes"], x["counts"], x["kind"] == 1
+            t, u, own, decided = (x[c][here] for c in ("t", "u", "own", "decided"))
             new, row = _distinct({"t": t, "u": u})
             n = int(new.sum())
             own, t, u = _own(own, row, n), t[new], u[new]
             # A reading that two stretches share is at a border of both.
             open_ = np.zeros(n, bool)
-            open_[row[~decided]] = True
+            open_[row[~decided.astype(bool)]] = True
             more, times = _detail_counts(u, open_)
             codes, counts = np.concatenate([codes, more]), np.concatenate([counts, times])
             known = codes >= -(1 << 39)
-            scale = np.array([_quartile(codes[known & (codes % 4 == k)] // 4, counts[known & (codes % 4 == k)]) for k in range(len(WIDTHS))])
+            of = [known & (codes % 4 == k) for k in range(len(WIDTHS))]
+            scale = np.array([_quartile(codes[f] // 4, counts[f]) for f in of])
             zeros = int(counts[codes == -1 << 40].sum())
-            total = int(counts[(codes == -1 << 40) | (known & (codes % 4 == 0))].sum()) + 1
+            out.add(1, key=key, kind=0, n=int(counts[of[0]].sum()) + zeros + 1, zeros=zeros, scales=scale)
             at = np.flatnonzero(spike_mask(u, own, scale, outlying, back, width, True) & open_)
-            k = len(at)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.full(k + 1, key)), pa.array(np.minimum(np.arange(k + 1), 1).astype(np.int32)), pa.array(np.concatenate([[0], t[at]])), pa.array(np.concatenate([[0.0], u[at]])),
-                pa.array([total, *[None] * k], pa.int64()), pa.array([zeros, *[None] * k], pa.int64()), pa.array([scale.tolist(), *[None] * k], pa.list_(pa.float64())),
-            ], names=["key", "kind", "t", "u", "n", "zeros", "scales"])
+            if len(at):
+                out.add(len(at), key=key, kind=1, t=t[at], u=u[at])
+            yield from out.batches(_ROWS)
+        yield from out.batches()
 
     return run
 
@@ -260,45 +300,45 @@ def usual_run(n: Column, zeros: Column) -> Column:
     return F.when(zeros <= 0, 1.0).when(zeros >= details, float("inf")).otherwise(1.0 + more)
 
 
-_FOUND = "key bigint, kind string, row_id bigint, u double, first bigint, last bigint, n bigint, head boolean, tail boolean, lengths array<bigint>, counts array<bigint>"
-_FOUND_TYPES = {"key": pa.int64(), "kind": pa.string(), "row_id": pa.int64(), "u": pa.float64(), "first": pa.int64(), "last": pa.int64(), "n": pa.int64(), "head": pa.bool_(), "tail": pa.bool_(), "lengths": pa.list_(pa.int64()), "counts": pa.list_(pa.int64())}
-
-
-def _rows(size: int, **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[c], k) if c in columns else pa.nulls(size, k) for c, k in _FOUND_TYPES.items()], names=list(_FOUND_TYPES))
+#: Kinds of rows of _found.
+SPIKE, LENGTHS, RUN, EDGE = range(4)
+_FOUND = "key bigint, kind int, row_id bigint, u double, first bigint, last bigint, n bigint, head boolean, tail boolean, lengths array<bigint>"
 
 
 def _found(outlying: float, back: float, width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Of each stretch: the rows of spikes (kind spike), runs at its ends (end) and long ones within (run), and the lengths of the runs within (lengths)."""
+    """Of each stretch: the rows of spikes (kind SPIKE), runs at its ends (EDGE) and long ones within (RUN), and the lengths of the runs within (LENGTHS)."""
     halo = _halo(width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = _Sheet(key=pa.int64(), kind=pa.int32(), row_id=pa.int64(), u=pa.float64(), first=pa.int64(), last=pa.int64(), n=pa.int64(), head=pa.bool_(), tail=pa.bool_(), lengths=_LISTS)
         for key, x in _chunks(batches, "t", "u", "row_id", "border", "s0", "s1", "s2", "least"):
             new, row = _distinct(x)
             t, u = x["t"][new], x["u"][new]
             n = len(t)
-            scale, least = np.array([x[f"s{k}"][0] for k in range(len(WIDTHS))]), max(2.0, x["least"][0])
-            spiked = spike_mask(u, np.full(n, np.nan), scale, outlying, back, width, False)
-            spiked[:halo] = spiked[max(n - halo, 0) :] = False
-            spiked[row[x["border"]]] = True
-            hit = spiked[row]
-            if hit.any():
-                yield _rows(int(hit.sum()), key=np.full(int(hit.sum()), key), kind=["spike"] * int(hit.sum()), row_id=x["row_id"][hit])
-            t, u = t[~spiked], u[~spiked]
-            if not len(t):
-                continue
-            cut = np.flatnonzero(u[1:] != u[:-1]) + 1
-            first, stop = np.concatenate([[0], cut]), np.concatenate([cut, [len(u)]])
-            length = stop - first
-            inner = np.ones(len(first), bool)
-            inner[[0, -1]] = False
-            lengths, counts = np.unique(length[inner], return_counts=True)
-            if len(lengths):
-                yield _rows(1, key=[key], kind=["lengths"], lengths=[lengths.tolist()], counts=[counts.tolist()])
-            keep = np.flatnonzero(~inner | (length >= least))
-            yield _rows(
-                len(keep), key=np.full(len(keep), key), kind=np.where(inner[keep], "run", "end").tolist(), u=u[first[keep]], first=t[first[keep]], last=t[stop[keep] - 1], n=length[keep], head=keep == 0, tail=keep == len(first) - 1
-            )
+            least = max(2.0, x["least"][0])
+            spiked = np.zeros(n, bool)
+            if n > 2 * halo:
+                scale = np.array([x[f"s{k}"][0] for k in range(len(WIDTHS))])
+                spiked[halo : n - halo] = spike_mask(u, np.empty(0), scale, outlying, back, width, False)[halo : n - halo]
+            border = x["border"].astype(bool)
+            if border.any():
+                spiked[row[border]] = True
+            if spiked.any():
+                hit = spiked[row]
+                out.add(int(hit.sum()), key=key, kind=SPIKE, row_id=x["row_id"][hit])
+                t, u = t[~spiked], u[~spiked]
+            if len(t):
+                cut = np.flatnonzero(u[1:] != u[:-1]) + 1
+                first, stop = np.concatenate([[0], cut]), np.concatenate([cut, [len(u)]])
+                length = stop - first
+                if len(first) > 2:
+                    out.add(1, key=key, kind=LENGTHS, lengths=np.unique(length[1:-1]))
+                inner = np.flatnonzero(length[1:-1] >= least) + 1
+                for kind, at in ((RUN, inner), (EDGE, np.unique([0, len(first) - 1]))):
+                    if len(at):
+                        out.add(len(at), key=key, kind=kind, u=u[first[at]], first=t[first[at]], last=t[stop[at] - 1], n=length[at], head=at == 0, tail=at == len(first) - 1)
+            yield from out.batches(_ROWS)
+        yield from out.batches()
 
     return run
 
@@ -310,41 +350,35 @@ def _standstills(ratio: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
     """From runs ordered by key and time: per series its ordinary longest run (u null), and its runs that may be standstills, with the lengths from which they are if nothing else forbids it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, x in _by_key(batches):
-            d = x.to_pydict()
-            count: dict[int, int] = {}
+        out = _Sheet(key=pa.int64(), u=pa.float64(), first=pa.int64(), last=pa.int64(), n=pa.int64(), ordinary=pa.int64(), breaks=_LISTS)
+        for key, d in _by_key(batches, ("kind", "u", "first", "last", "n", "head", "tail", "least"), ("lengths",)):
+            sizes = set(d["lengths"].tolist())
             runs: list[list] = []
             open_: list | None = None  # a run at the end of a stretch, which may go on in the next
-            least = max(2.0, d["least"][0])
-            for i, kind in enumerate(d["kind"]):
-                if kind == "lengths":
-                    for n in d["lengths"][i]:
-                        count[n] = 1
-                elif kind == "run":
-                    runs.append([d["u"][i], d["first"][i], d["last"][i], d["n"][i]])
-                else:
-                    here = [d["u"][i], d["first"][i], d["last"][i], d["n"][i]]
-                    if open_ is not None and d["head"][i] and open_[0] == here[0]:
-                        here = [here[0], open_[1], here[2], open_[3] + here[3] - (open_[2] == here[1])]
-                    elif open_ is not None:
-                        runs.append(open_)
-                    open_ = here
-                    if not d["tail"][i]:
-                        runs.append(open_)
-                        open_ = None
+            least = max(2.0, float(d["least"][0]))
+            rows = np.flatnonzero(d["kind"] != LENGTHS)
+            for kind, head, tail, *here in zip(*(d[c][rows].tolist() for c in ("kind", "head", "tail", "u", "first", "last", "n"))):
+                if kind == RUN:
+                    runs.append(here)
+                    continue
+                if open_ is not None and head and open_[0] == here[0]:
+                    here = [here[0], open_[1], here[2], open_[3] + here[3] - (open_[2] == here[1])]
+                elif open_ is not None:
+                    runs.append(open_)
+                open_ = here
+                if not tail:
+                    runs.append(open_)
+                    open_ = None
             if open_ is not None:
                 runs.append(open_)
-            for r in runs:
-                count[r[3]] = 1
-            sizes = sorted(count)
+            sizes = sorted(sizes | {int(r[3]) for r in runs})
             breaks = [n for k, n in enumerate(sizes) if n >= ratio * (sizes[k - 1] if k else 0) and n >= least]
-            ordinary = max((n for n in sizes if not breaks or n < breaks[0]), default=0)
-            long = [r for r in runs if breaks and r[3] >= breaks[0]]
-            k = len(long)
-            yield pa.RecordBatch.from_arrays([
-                pa.array([key] * (k + 1)), pa.array([None, *[r[0] for r in long]], pa.float64()), pa.array([None, *[r[1] for r in long]], pa.int64()), pa.array([None, *[r[2] for r in long]], pa.int64()),
-                pa.array([None, *[r[3] for r in long]], pa.int64()), pa.array([ordinary] * (k + 1)), pa.array([breaks] * (k + 1), pa.list_(pa.int64())),
-            ], names=["key", "u", "first", "last", "n", "ordinary", "breaks"])
+            out.add(1, key=key, ordinary=max((n for n in sizes if not breaks or n < breaks[0]), default=0))
+            for r in runs:
+                if breaks and r[3] >= breaks[0]:
+                    out.add(1, key=key, u=r[0], first=int(r[1]), last=int(r[2]), n=int(r[3]), breaks=np.array(breaks))
+            yield from out.batches(_ROWS)
+        yield from out.batches()
 
     return run
 
@@ -392,15 +426,15 @@ def implausible(readings: DataFrame, *, factor: float = FACTOR, outlying: float
     if not all(light):
         told = told.repartition(F.shiftright("no", 33)).sortWithinPartitions("no")
     found = written(told.mapInArrow(_found(outlying, back, width), _FOUND), "found")
-    runs = lookup_join(found.where("kind <> 'spike'").drop("row_id"), series.select("key", "least"), "key", "inner")
+    runs = lookup_join(found.where(F.col("kind") != SPIKE).drop("row_id"), series.select("key", "least"), "key", "inner")
     runs = runs.repartition(wide, "key").sortWithinPartitions("key", F.col("first").asc_nulls_first(), "u", "last", "head", F.col("tail").desc())
-    long = written(runs.select("key", "kind", "u", "first", "last", "n", "head", "tail", "lengths", "least").mapInArrow(_standstills(still_ratio), _LONG), "runs")
+    long = written(runs.select("key", "kind", "u", "first", "last", "n", "head", "tail", "lengths", F.col("least")).mapInArrow(_standstills(still_ratio), _LONG), "runs")
     kinds = levels.select("key", "series")
     ordinary = lookup_join(long.where("u is null").select("key", "ordinary"), kinds, "key", "inner").groupBy("series").agg((F.percentile("ordinary", F.lit(usual)) * still_ratio).alias("_usual"))
     still = lookup_join(lookup_join(long.where("u is not null"), kinds, "key", "inner"), ordinary, "series", "inner")
     still = still.where(F.col("n") >= F.array_min(F.filter("breaks", lambda b: b >= F.col("_usual")))).select("key", "u", "first", "last")
     still_rows = lookup_join(shards.select("key", "t", "u", "row_id"), written(still, "still"), ["key", "u"], "inner").where("t between first and last").select("key", "row_id", F.lit("still").alias("reason"))
-    moving = found.where("kind = 'spike'").select("key", "row_id", F.lit("spike").alias("reason")).unionByName(still_rows)
+    moving = found.where(F.col("kind") == SPIKE).select("key", "row_id", F.lit("spike").alias("reason")).unionByName(still_rows)
     return impossible.unionByName(lookup_join(moving, kinds, "key", "inner").select("series", "row_id", "reason")).distinct()
 
 
