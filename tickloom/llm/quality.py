@@ -42,7 +42,9 @@ PHRASE_SHARE, PHRASE_LINE = 0.4, 6
 LAYOUT = ("duplicate_line_share", "duplicate_paragraph_share", "phrase_coverage", "prose_share")
 
 #: Marks that end sentences, marks within words, and bullets; spaces beyond the ASCII ones; signs that, besides punctuation, may stand around a word.
-END_MARKS, WIDE_END_MARKS, JOINERS, BULLETS, SPACES, AROUND = ".!?…؟।", "。！？", "'’ʼ-‐‑­‌‍", "-*•·–+◦▪‣○●", "\t\n\x0b\x0c\r              　", "><~`+="
+END_MARKS, WIDE_END_MARKS, BULLETS, AROUND = ".!?…؟।", "。！？", "-*•·–+◦▪‣○●", "><~`+="
+JOINERS = "'’ʼ-‐‑\u00ad\u200c\u200d"
+SPACES = "\t\n\x0b\x0c\r \u00a0\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u3000"
 #: Code points of scripts written without spaces (kana, Han, Thai to Lao, Myanmar, Khmer).
 UNSPACED = ((0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF))
 

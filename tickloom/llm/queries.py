@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import table
-from . import leakage, mixing, quality, runs
+from . import layout_sql, leakage, mixing, quality, runs
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -66,6 +66,8 @@ t AS (SELECT t.source, target_share, max_repeats, coalesce(n_documents, 0) AS n_
 a AS (SELECT *, CASE WHEN live THEN target_share + (1 - sum(CASE WHEN live THEN target_share ELSE 0 END) OVER ()) / count(*) FILTER (WHERE live) OVER () ELSE 0.0 END AS share FROM t),
 z AS (SELECT *, min(CASE WHEN share > 0 THEN stock * max_repeats / share END) OVER () AS size FROM a)
 SELECT source, target_share, round(share, 9) AS share, n_documents, CAST(stock AS BIGINT) AS stock, CAST(round(share * size) AS BIGINT) AS quota, CAST(max_repeats AS INT) AS max_repeats FROM z""",
+    "p10_found": layout_sql.layout() + r" SELECT doc_id FROM ly WHERE prose_share < 0.5 AND regexp_matches(text, '\S')",
+    "p10_layout": layout_sql.layout() + f" SELECT doc_id, {', '.join(f'round({c}, 6) AS {c}' for c in quality.LAYOUT)} FROM ly",
     "p10_statistics": r"""
 WITH t AS (SELECT row_number() OVER () AS i, doc_id, coalesce(text, '') AS t FROM documents),
 s AS (SELECT i, doc_id, t, regexp_extract_all(lower(t), '\p{L}+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '\S')) AS l FROM t),
