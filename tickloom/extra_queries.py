@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import asof, capacity, coverage, search
-from .research_queries import CODED, CODES, MARKED, _labels, _trades, coded_rows
+from .research_queries import CODED, CODES, MARKED, _ONE_AT_A_TIME, _labels, _trades, coded_rows
 from .session import written
 from .sources import table, verify
 
@@ -14,7 +14,7 @@ MONTH = 30 * 86_400_000_000
 
 
 def converted_amounts(spark: SparkSession, d: str) -> DataFrame:
-    """Orders valued at the latest event of their kind at or before them, if it isn't too old."""
+    """Orders valued at the latest event at or before them, if it isn't too old. The events are one series of rates."""
     e = table(spark, d, "events", "event_id", "ts", "event_type", "value").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp"))).withColumn("cur", F.lit("0")).where("event_type is not null")
     lo = e.agg(F.min("t")).collect()[0][0] or 0
     o = table(spark, d, "orders", "o_orderkey", "o_totalprice").withColumn("cur", F.lit("0")).withColumn("at", F.lit(lo) + F.col("o_orderkey") * F.lit(1_000_000))
@@ -93,6 +93,16 @@ _BOTH = _SIGNALS + _SIDED("CASE WHEN bw THEN 1 WHEN sw THEN -1 ELSE 0 END", "CAS
 _APART = _SIGNALS + _SIDED("CASE WHEN bw THEN 1 WHEN sw THEN -1 ELSE 0 END", "CASE WHEN sw THEN 1 WHEN bw THEN -1 ELSE 0 END")
 
 ORACLES = {
+    "capacity_one_scores": f"""WITH RECURSIVE {MARKED}, {_ONE_AT_A_TIME},
+k0 AS (SELECT o1.candidate, value, row_number() OVER w AS no, sum(value) OVER w AS eq FROM o1 JOIN o3 USING (candidate, rn) WINDOW w AS (PARTITION BY o1.candidate ORDER BY rn)),
+k1 AS (SELECT *, greatest(max(eq) OVER w, 0) - eq AS dd, """
+    + ", ".join(f"CASE WHEN no >= {n} THEN sum(value) OVER (PARTITION BY candidate ORDER BY no ROWS {n - 1} PRECEDING) END AS w{n}" for n in (20, 50, 100))
+    + """, no - row_number() OVER (PARTITION BY candidate, sign(value) ORDER BY no) AS r FROM k0 WINDOW w AS (PARTITION BY candidate ORDER BY no)),
+k2 AS (SELECT *, no - coalesce(max(CASE WHEN dd <= 0 THEN no END) OVER (PARTITION BY candidate ORDER BY no), 0) AS under FROM k1), ks AS (SELECT candidate, sign(value) AS s, r, count(*) AS n FROM k1 GROUP BY 1, 2, 3),
+kt AS (SELECT candidate, coalesce(max(n) FILTER (WHERE s < 0), 0) AS loss_streak, coalesce(max(n) FILTER (WHERE s > 0), 0) AS win_streak FROM ks GROUP BY 1),
+ku AS (SELECT candidate, count(*) FILTER (WHERE value > 0) AS wins, count(*) FILTER (WHERE value < 0) AS losses, count(*) FILTER (WHERE value = 0) AS ties, count(*) AS n, CAST(sum(value) AS BIGINT) AS total, CAST(max(dd) AS BIGINT) AS max_drawdown, round(sqrt(avg(pow(dd, 2))), 6) AS ulcer, max(under) AS longest_underwater,
+  CAST(min(w20) AS BIGINT) AS worst_20, CAST(min(w50) AS BIGINT) AS worst_50, CAST(min(w100) AS BIGINT) AS worst_100 FROM k2 GROUP BY 1)
+SELECT * FROM ku JOIN kt USING (candidate)""",
     "cap1_signal_masks": _SIGNALS + " SELECT candidate, \"row\" FROM tkn WHERE kept AND scope = 1",
     "cap1_counters": _APART + " SELECT * FROM sf",
     "cap1_scores": _BOTH

@@ -7,6 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
+from .shards import lookup_join
+
 INF = math.inf
 #: Edges of the fixed bins. Bins are closed on the right, the first also on the left.
 _RATIO = (0.0, 0.1, 0.25, 0.45, 0.65, 0.85, 1.0)
@@ -96,8 +99,9 @@ def ranked_labels(df: DataFrame, columns: list[str], max_labels: int = 64) -> Da
 
 
 def encoded(df: DataFrame, fitted: DataFrame, columns: list[str]) -> DataFrame:
-    """Adds NAME_code for each column: the fitted code, -1 for null, uncoded or unseen labels. At most max_labels codes a column are broadcast."""
+    """Adds NAME_code for each column: the fitted code, -1 for null, uncoded or unseen labels. What was fitted is written once, not fitted again for each column, and measured before it is broadcast."""
+    fitted = written(fitted.select("column", "label", "code"), "fitted")
     for c in columns:
         one = fitted.where(F.col("column") == c).select(F.col("label").alias("_label"), F.col("code").alias(f"{c}_code"))
-        df = df.join(F.broadcast(one), F.col(c).cast("string") == F.col("_label"), "left").drop("_label").withColumn(f"{c}_code", F.coalesce(f"{c}_code", F.lit(-1)).cast("int"))
+        df = lookup_join(df.withColumn("_label", F.col(c).cast("string")), one, "_label").drop("_label").withColumn(f"{c}_code", F.coalesce(f"{c}_code", F.lit(-1)).cast("int"))
     return df

@@ -73,6 +73,18 @@ def rejects(ticks: DataFrame, generations: DataFrame) -> DataFrame:
     return classified(ticks, generations).where("reason is not null").groupBy(E, "reason").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first_seq"))
 
 
+REJECTS = ("missing_value", "unknown_scale", "off_scale", "backwards_time", "conflicting_duplicate")
+
+
+def audit(ticks: DataFrame, generations: DataFrame) -> DataFrame:
+    """Per generation what a stream holds: n_records, n_accepted, n_REASON for each reject, first_micros and last_micros of what was accepted, days with accepted records."""
+    ok = F.col("reason").isNull()
+    return classified(ticks, generations).groupBy(E).agg(
+        F.count(F.lit(1)).alias("n_records"), F.count_if(ok).alias("n_accepted"), *[F.count_if(F.col("reason") == r).alias(f"n_{r}") for r in REJECTS],
+        F.min(F.when(ok, F.col("t"))).alias("first_micros"), F.max(F.when(ok, F.col("t"))).alias("last_micros"), F.count_distinct(F.when(ok, F.floor(F.col("t") / F.lit(86_400 * MICRO)))).alias("n_days"),
+    )
+
+
 def moves(records: DataFrame, checks: Checks = CHECKS) -> DataFrame:
     """Accepted records with what led into each: delta (micros since the record before), before (its units), duplicate, context, bps, run (number of the same-price run)."""
     rows = sharded_neighbours(records.withColumn("_shard", F.floor(F.col("t") / F.lit(SHARD_MICROS))), [E], "_shard", ["t", "seq"], F.struct("t", "units"), 1, 0)

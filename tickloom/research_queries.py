@@ -11,16 +11,22 @@ from .operators import asof, coverage, encodings, outcomes, paths, search, sessi
 from .operators import stream as st
 from .session import written
 from .sources import files, pages, table
-from .stream_queries import MOVED, _moved
+from .stream_queries import ACCEPTED, MOVED, _moved
 from .streaming import jobs
 
 DAY = 86_400_000_000
+#: Labels that a column may have codes for.
+LABELS = 32_768
 
 
 def _references(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "feature_rows").where("close_time_micros is not null").select("feature_id", "generation", F.unix_micros("close_time_micros").alias("reference_micros"))
 
 
+#: A minute's bars are a minute apart, so what counts as stale, as a gap or as a jump is wider than for ticks.
+BAR_RULE = outcomes.Rule((60, 120, 300), entry_delay=90_000_000, settlement_delay=90_000_000, gap_max=180_000_000, jump_bps=60, jump_gap_max=90_000_000, frozen_ticks=12, frozen_micros=900_000_000)
+
+
 def _marked(spark: SparkSession, d: str) -> DataFrame:
     """The marked ticks as a table: they are laid in order once, not anew for each expiry."""
     return written(outcomes.marked(_moved(spark, d)), "marked")
@@ -34,6 +40,13 @@ def outcome_matrix(spark: SparkSession, d: str) -> DataFrame:
     return _labels(spark, d).select("feature_id", "expiry_seconds", "entry_seq", "settlement_seq", "reason", "outcome")
 
 
+def outcomes_from_bars(spark: SparkSession, d: str) -> DataFrame:
+    """Labels whose observations are the closes of bars, known at their ends."""
+    bars = table(spark, d, "candles").where("close_time_micros is not null and close_units is not null").select("generation", F.col("candle_id").alias("seq"), F.unix_micros("close_time_micros").alias("t"), F.col("close_units").alias("units"))
+    marks = written(outcomes.marked(st.moves(written(bars, "bars")), BAR_RULE), "marked")
+    return outcomes.outcomes(_references(spark, d), marks, BAR_RULE).select("feature_id", "expiry_seconds", "entry_seq", "settlement_seq", "reason", "outcome")
+
+
 def outcome_summary(spark: SparkSession, d: str) -> DataFrame:
     return outcomes.summary(_labels(spark, d))
 
@@ -69,12 +82,12 @@ def development_fifths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def category_labels(spark: SparkSession, d: str) -> DataFrame:
-    return encodings.ranked_labels(table(spark, d, "feature_rows"), ["direction", "stream_key", "instrument"], 16)
+    return encodings.ranked_labels(table(spark, d, "feature_rows"), ["direction", "stream_key", "instrument"], LABELS)
 
 
 def encode_apply(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "feature_rows")
-    fitted = encodings.ranked_labels(rows.where("written_at < timestamp '2017-01-20 00:00:00'"), ["direction", "instrument"], 16)
+    fitted = encodings.ranked_labels(rows.where("written_at < timestamp '2017-01-20 00:00:00'"), ["direction", "instrument"], LABELS)
     return encodings.encoded(rows, fitted, ["direction", "instrument"]).select("feature_id", "direction_code", "instrument_code")
 
 
@@ -264,7 +277,7 @@ def stream_retractions(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        outcome_matrix, outcome_summary, trade_paths, availability_asof, fixed_bins, development_fifths, category_labels, encode_apply, posting_lists, combination_scores, binomial_tails, adjusted_tests, screened_top, one_at_a_time,
+        outcome_matrix, outcomes_from_bars, outcome_summary, trade_paths, availability_asof, fixed_bins, development_fifths, category_labels, encode_apply, posting_lists, combination_scores, binomial_tails, adjusted_tests, screened_top, one_at_a_time,
         path_drawdowns, path_streaks, path_worst_sums, bootstrap_paths, grouped_results, session_membership, continuous_grid, fill_kinds, coverage_day_states, coverage_complement, coverage_containment, role_split_days, newest_inventory,
         bar_problems, decimal_prices, timestamp_roundtrip, page_digests, page_ticks, page_overlaps, event_properties, stream_candles, stream_retractions,
     )
@@ -284,6 +297,10 @@ lb AS (SELECT en.*, s.t AS st, s.seq AS settlement_seq, s.units AS su, CASE WHEN
 lo AS (SELECT *, CASE WHEN reason = 0 THEN CASE WHEN su > eu THEN 'buy_win' WHEN su < eu THEN 'sell_win' ELSE 'tie' END END AS outcome FROM lb),
 tr AS (SELECT *, CASE outcome WHEN 'buy_win' THEN 92 WHEN 'sell_win' THEN -100 ELSE 0 END AS value, generation || '/' || expiry_seconds AS path FROM lo WHERE reason = 0)"""
 )
+_BAR_MARKED = (
+    "acc AS (SELECT generation, candle_id AS seq, epoch_us(close_time_micros) AS t, close_units AS units FROM candles WHERE close_time_micros IS NOT NULL AND close_units IS NOT NULL)"
+    + MARKED[len(ACCEPTED) :].replace("delta > 60000000", "delta > 180000000").replace("delta <= 30000000 AND before <> 0", "delta <= 90000000 AND before <> 0").replace(">= 180000000 AS frz", ">= 900000000 AS frz").replace("[30, 60, 120]", "[60, 120, 300]").replace("> 20000000", "> 90000000")
+)
 _COUNTS = ", ".join([f"count(*) FILTER (WHERE reason = {k}) AS {r}" for k, r in enumerate(outcomes.REASONS)] + [f"count(*) FILTER (WHERE outcome = '{o}') AS {o}" for o in ("buy_win", "sell_win", "tie")])
 
 
@@ -295,7 +312,7 @@ def _bin_sql(c: str) -> str:
 
 
 _LABELS = lambda cols, where="": " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {c} AS label FROM feature_rows {where}" for c in cols)
-_FITTED = lambda cols, where="": f"pairs AS ({_LABELS(cols, where)}), counts AS (SELECT \"column\", label, count(*) AS n FROM pairs WHERE label NOT IN ('', 'missing', 'none', '<NA>', 'nan', 'NaT') GROUP BY 1, 2), fitted AS (SELECT \"column\", label, CAST(row_number() OVER (PARTITION BY \"column\" ORDER BY n DESC, label) - 1 AS INT) AS code, n FROM counts QUALIFY code < 16)"
+_FITTED = lambda cols, where="": f"pairs AS ({_LABELS(cols, where)}), counts AS (SELECT \"column\", label, count(*) AS n FROM pairs WHERE label NOT IN ('', 'missing', 'none', '<NA>', 'nan', 'NaT') GROUP BY 1, 2), fitted AS (SELECT \"column\", label, CAST(row_number() OVER (PARTITION BY \"column\" ORDER BY n DESC, label) - 1 AS INT) AS code, n FROM counts QUALIFY code < 32768)"
 CODES = """
 f AS (SELECT feature_id, CASE WHEN direction = 'up' THEN 1 WHEN direction = 'down' THEN 2 WHEN direction IS NOT NULL THEN 0 END AS dir, CAST(return_1_bps > -5 AS INT) + CAST(return_1_bps > -1 AS INT) + CAST(return_1_bps > 1 AS INT) + CAST(return_1_bps > 5 AS INT) AS ret,
   CAST(body_bps > 1 AS INT) + CAST(body_bps > 3 AS INT) + CAST(body_bps > 8 AS INT) AS body, CAST(activity_score > 0.5 AS INT) + CAST(activity_score > 1 AS INT) + CAST(activity_score > 2 AS INT) AS act FROM feature_rows),
@@ -331,8 +348,13 @@ g0 AS (SELECT generation, epoch_us(open_time_micros) AS open_micros, open_units,
 g1 AS (SELECT *, lead(open_micros) OVER (PARTITION BY generation ORDER BY open_micros) AS nxt FROM g0),
 g AS (SELECT generation, open_micros, open_units, high_units, low_units, close_units, observations, fill FROM g0 UNION ALL SELECT generation, unnest(range(open_micros + 60000000, nxt, 60000000)), close_units, close_units, close_units, close_units, 0, 'engine' FROM g1 WHERE nxt > open_micros + 60000000)"""
 
+_ONE_AT_A_TIME = """o1 AS MATERIALIZED (SELECT path AS candidate, feature_id AS "row", et AS entry, st AS release, value, row_number() OVER (PARTITION BY path ORDER BY et, feature_id) AS rn FROM tr),
+o2 AS MATERIALIZED (SELECT a.candidate, a.rn, min(b.rn) AS nrn FROM o1 a JOIN o1 b ON a.candidate = b.candidate AND b.rn > a.rn AND b.entry >= a.release GROUP BY 1, 2),
+o3 AS (SELECT candidate, CAST(1 AS BIGINT) AS rn FROM o1 WHERE rn = 1 UNION ALL SELECT n.candidate, n.nrn FROM o3 t JOIN o2 n ON n.candidate = t.candidate AND n.rn = t.rn)"""
+
 ORACLES = {
     "outcome_matrix": f"WITH {MARKED} SELECT feature_id, CAST(expiry_seconds AS INT) AS expiry_seconds, entry_seq, settlement_seq, CAST(reason AS INT) AS reason, outcome FROM lo",
+    "outcomes_from_bars": f"WITH {_BAR_MARKED} SELECT feature_id, CAST(expiry_seconds AS INT) AS expiry_seconds, entry_seq, settlement_seq, CAST(reason AS INT) AS reason, outcome FROM lo",
     "outcome_summary": f"WITH {MARKED} SELECT CAST(expiry_seconds AS INT) AS expiry_seconds, count(*) AS n, {_COUNTS} FROM lo GROUP BY 1",
     "trade_paths": f"WITH {MARKED}, j AS (SELECT feature_id || '/' || expiry_seconds AS trade_id, mv.t, mv.units - eu AS m FROM tr JOIN mv ON mv.generation = tr.generation AND mv.t > tr.et AND mv.t <= tr.st) SELECT trade_id, count(*) AS n_ticks, max(m) AS best_units, min(m) AS worst_units, arg_max(t, (m, -t)) AS best_micros, arg_min(t, (m, t)) AS worst_micros FROM j GROUP BY 1",
     "availability_asof": """
@@ -380,8 +402,6 @@ a AS (SELECT delivery_id, acquisition, ordinal, digest, CAST(p -> '$.history.tim
 r AS (SELECT *, unnest(range(0, len(t))) AS place FROM a WHERE len(t) = len(x))
 SELECT delivery_id, acquisition, ordinal, digest, CAST(place AS INT) AS place, t[place + 1] AS t_millis, x[place + 1] AS price FROM r""",
     "one_at_a_time": f"""
-WITH RECURSIVE {MARKED}, o1 AS MATERIALIZED (SELECT path AS candidate, feature_id AS "row", et AS entry, st AS release, row_number() OVER (PARTITION BY path ORDER BY et, feature_id) AS rn FROM tr),
-o2 AS MATERIALIZED (SELECT a.candidate, a.rn, min(b.rn) AS nrn FROM o1 a JOIN o1 b ON a.candidate = b.candidate AND b.rn > a.rn AND b.entry >= a.release GROUP BY 1, 2),
-o3 AS (SELECT candidate, CAST(1 AS BIGINT) AS rn FROM o1 WHERE rn = 1 UNION ALL SELECT n.candidate, n.nrn FROM o3 t JOIN o2 n ON n.candidate = t.candidate AND n.rn = t.rn)
+WITH RECURSIVE {MARKED}, {_ONE_AT_A_TIME}
 SELECT o1.candidate, "row", o3.rn IS NOT NULL AS kept FROM o1 LEFT JOIN o3 ON o3.candidate = o1.candidate AND o3.rn = o1.rn""",
 }

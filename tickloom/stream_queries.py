@@ -35,6 +35,10 @@ def tick_rejects(spark: SparkSession, d: str) -> DataFrame:
     return st.rejects(table(spark, d, "ticks"), table(spark, d, "generations"))
 
 
+def stream_audit(spark: SparkSession, d: str) -> DataFrame:
+    return st.audit(table(spark, d, "ticks"), table(spark, d, "generations"))
+
+
 def tick_moves(spark: SparkSession, d: str) -> DataFrame:
     return _moved(spark, d).select("generation", "seq", "t", "delta", "duplicate", "context", "bps", "run")
 
@@ -194,7 +198,7 @@ def feature_bins(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        ticks_accepted, tick_rejects, tick_moves, quote_deltas, candles_tumbling, candles_offset_grid, candles_multi_stream, candle_flags, candle_flag_counts, candles_withheld_tail, candles_from_bars, profile_gap_facts,
+        ticks_accepted, tick_rejects, stream_audit, tick_moves, quote_deltas, candles_tumbling, candles_offset_grid, candles_multi_stream, candle_flags, candle_flag_counts, candles_withheld_tail, candles_from_bars, profile_gap_facts,
         profile_cadence_histogram, profile_jump_histogram, profile_price_facts, profile_runs, profile_documents, tick_path, anatomy, adjacency, rolling_features, rolling_statistics, candle_shape, swing_structure, swing_sequence,
         moving_averages, structure_state, structure_events, sequence_events, regime, feature_rows_all, feature_bins,
     )
@@ -513,6 +517,7 @@ def bin_sql(c: str, value: str) -> str:
 ORACLES = {
     "ticks_accepted": f"WITH {ACCEPTED} SELECT * FROM acc",
     "tick_rejects": f"WITH {ACCEPTED} SELECT generation, reason, count(*) AS n, min(seq) AS first_seq FROM r4 WHERE reason IS NOT NULL GROUP BY 1, 2",
+    "stream_audit": f"WITH {ACCEPTED} SELECT generation, count(*) AS n_records, count(*) FILTER (WHERE reason IS NULL) AS n_accepted, " + ", ".join(f"count(*) FILTER (WHERE reason = '{r}') AS n_{r}" for r in st.REJECTS) + ", min(CASE WHEN reason IS NULL THEN t END) AS first_micros, max(CASE WHEN reason IS NULL THEN t END) AS last_micros, count(DISTINCT CASE WHEN reason IS NULL THEN t // 86400000000 END) AS n_days FROM r4 GROUP BY 1",
     "tick_moves": f"WITH {MOVED} SELECT generation, seq, t, delta, duplicate, context, bps, run FROM mv",
     "quote_deltas": f"WITH {MOVED} SELECT generation, t, seq, CASE WHEN delta <= 30000000 THEN units - before END AS quote_delta_units FROM mv WHERE NOT duplicate",
     "candles_tumbling": f"WITH {MOVED}{candle_sql()} SELECT {_c} FROM c",
