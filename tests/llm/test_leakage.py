@@ -155,6 +155,17 @@ def test_randomised_basis_spans_the_leading_vectors(spark):
     assert np.allclose(basis.T @ basis, np.eye(basis.shape[1]), atol=1e-6)
 
 
+def test_numbers_are_those_of_the_words():
+    rnd = random.Random(1)
+    vocabulary = {w: k for k, w in enumerate(["cafes", "report", "dont", "a", "1", "straße", "naive", "東京", "ledger"])}
+    texts = [None, "", "Cáfe​'s <b>Re-\nport</b> &amp; Don’t", "東京 naïve STRASSE straße ½ x_a a_1 _a_ 'a'", "\n\n", "ledger" * 3 + " ledger"]
+    texts += ["".join(rnd.choice("aA1 _-\n'é<>&;bﬁÅ東京") for _ in range(rnd.randrange(60))) for _ in range(300)]
+    flat, lengths = lk.numbers_of(texts, *lk._lookup(vocabulary))
+    want = [[vocabulary.get(w, -1) for w in lk.words(t or "")] for t in texts]
+    assert lengths.tolist() == [len(w) for w in want] and flat.tolist() == [x for w in want for x in w]
+    assert lk.numbers_of(["a b"], *lk._lookup({"z": 0}))[0].tolist() == [-1, -1]
+
+
 def test_blocks_and_hyphens():
     rows, own = lk.blocks(np.arange(7), np.array([3, 0, 4]), 2)
     assert rows.tolist() == [[0, 1], [2, -1], [3, 4], [5, 6]] and own.tolist() == [0, 0, 2, 2]

@@ -18,6 +18,8 @@ from __future__ import annotations
 
 import html
 import re
+import sys
+import types
 import unicodedata
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -28,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import shuffle_width, written
+from .quality import AT_ONCE, _Hashed as text_hashes
 
 #: Words in a block; a passage is two neighbouring blocks.
 BLOCK = 12
@@ -56,8 +59,8 @@ _SENTENCE = re.compile(r"(?<=[.!?…;:])\s+")
 _DROPPED = dict.fromkeys((*(c for c in range(0x30000) if unicodedata.category(chr(c)) in ("Mn", "Cf")), ord("’")))
 
 
-def words(text: str) -> list[str]:
-    """Lower-case words without accents, mark-up, invisible characters, apostrophes and hyphenation at line ends."""
+def plain(text: str) -> str:
+    """Lower-case text without accents, mark-up, invisible characters, apostrophes and hyphenation at line ends."""
     if not text.isascii():
         text = unicodedata.normalize("NFKD", text).translate(_DROPPED)
     if "-" in text:
@@ -66,7 +69,30 @@ def words(text: str) -> list[str]:
         text = _TAG.sub(" ", text)
     if "&" in text:
         text = html.unescape(text)
-    return _WORD.findall(text.replace("'", "").lower())
+    return text.replace("'", "").lower()
+
+
+def words(text: str) -> list[str]:
+    """The words of `plain`: letters and digits in a row."""
+    return _WORD.findall(plain(text))
+
+
+def _alnum() -> np.ndarray:
+    """Which code points are letters or digits, told once in each process."""
+    held = vars(sys.modules.setdefault("_tickloom_alnum", types.ModuleType("_tickloom_alnum")))
+    if "table" not in held:
+        held["table"] = np.array([chr(c).isalnum() for c in range(0x110000)])
+    return held["table"]
+
+
+def _lookup(vocabulary: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the vocabulary's words in order, and their numbers."""
+    held = list(vocabulary)
+    lengths = np.array([len(w) for w in held])
+    ends = np.cumsum(lengths)
+    h = text_hashes(np.frombuffer("".join(held).encode("utf-32-le"), "<u4")).of(ends - lengths, ends)
+    order = np.argsort(h)
+    return h[order], np.array(list(vocabulary.values()), np.int32)[order]
 
 
 @dataclass
@@ -106,17 +132,37 @@ def read_items(items: DataFrame, id: str = "item_id", text: str = "item_text", a
     return out
 
 
+def numbers_of(texts: list[str | None], hashes: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words of all texts, end to end, as their numbers (-1 for words outside the vocabulary), and how many words each text has. Words are told by hashes of 64 bits."""
+    made = [plain(t) if t else "" for t in texts]
+    codes = np.frombuffer("\n".join([*made, ""]).encode("utf-32-le", "surrogatepass"), "<u4")
+    inside = np.zeros(len(codes) + 1, bool)
+    inside[1:] = _alnum()[codes]  # every text ends with a line's end, which is outside
+    turn = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = turn[::2], turn[1::2]
+    if not len(starts) or not len(hashes):
+        found = np.full(len(starts), -1, np.int32)
+    else:
+        h = text_hashes(codes).of(starts, ends)
+        at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+        found = np.where(hashes[at] == h, numbers[at], -1).astype(np.int32)
+    lengths = np.array([len(t) + 1 for t in made], np.int64)
+    return found, np.bincount(np.searchsorted(np.cumsum(lengths), starts, "right"), minlength=len(texts)).astype(np.int64)
+
+
 def _numbered(vocabulary: dict[str, int], id_type: pa.DataType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = vocabulary.get
+        hashes, numbers = _lookup(vocabulary)
         for b in batches:
-            flat: list[int] = []
-            ends = [0]
-            for t in b.column(1).to_pylist():
-                if t:
-                    flat += [get(w, -1) for w in words(t)]
-                ends.append(len(flat))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(flat, np.int32)))], names=["doc_id", "numbers"])
+            texts, lo = b.column(1).to_pylist(), 0
+            while lo < len(texts):
+                hi, n = lo, 0
+                while hi < len(texts) and (hi == lo or n < AT_ONCE):
+                    n, hi = n + len(texts[hi] or ""), hi + 1
+                flat, lengths = numbers_of(texts[lo:hi], hashes, numbers)
+                ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["doc_id", "numbers"])
+                lo = hi
 
     return run
 
@@ -313,10 +359,6 @@ def candidates(flat: np.ndarray, lengths: np.ndarray, index: Index, table: np.nd
     return doc[best], item[best], cos[best]
 
 
-#: Bits in which an alignment keeps the item's and the document's first place.
-_ITEM_BITS, _DOC_BITS = 18, 27
-
-
 def coverage(item: np.ndarray, sentences: list[tuple[int, int]], document: np.ndarray, gap: int = GAP, agree: float = AGREE) -> float:
     """Share of the item's words in stretches that the document repeats; `coverages` of one pair."""
     zero = np.zeros(1, np.int64)
@@ -334,8 +376,6 @@ def coverages(items: list[np.ndarray], sentences: list[list[tuple[int, int]]], d
     out = np.zeros(len(item))
     if not len(item):
         return out
-    if max(map(len, items)) >> _ITEM_BITS or max(map(len, documents)) >> _DOC_BITS:
-        raise ValueError("an item of more than 2^18 words, or a document of more than 2^27")  # beyond any text that fits a task
     # The places of each known word in each document.
     lengths = np.array([len(d) for d in documents])
     flat = np.concatenate(documents).astype(np.int64)
@@ -355,6 +395,14 @@ def coverages(items: list[np.ndarray], sentences: list[list[tuple[int, int]]], d
     return out
 
 
+def _bits(item: int, document: int) -> tuple[int, int]:
+    """Bits in which an alignment keeps its matches and its first place in the item, and that in the document: together they fit one number for texts of any size a task can hold."""
+    a, b = item.bit_length() + 1, document.bit_length() + 1
+    if 2 * a + b > 63:
+        raise ValueError(f"an item of {item} words and a document of {document}")
+    return a, b
+
+
 def _aligned(items: list[np.ndarray], sentences: list[list[tuple[int, int]]], item: np.ndarray, document: np.ndarray, lengths: np.ndarray, starts: np.ndarray, key: np.ndarray, known: np.ndarray, size: int, gap: int, agree: float) -> np.ndarray:
     n = len(item)
     width = np.array([len(items[i]) for i in item])
@@ -380,7 +428,8 @@ def _aligned(items: list[np.ndarray], sentences: list[list[tuple[int, int]]], it
         for a, b in sentences[i]:
             last[b - 1, k] = max(last[b - 1, k], a)
     last = np.maximum.accumulate(last, axis=0)
-    top, one = (1 << _ITEM_BITS) - 1, 1 << (_ITEM_BITS + _DOC_BITS)
+    item_bits, doc_bits = _bits(length, int(lengths[document].max()))
+    top, one = (1 << item_bits) - 1, 1 << (item_bits + doc_bits)
     # Cells of the last `gap` words of the item, with `gap` empty ones before each document; only cells that were set are emptied.
     before = [np.zeros(int(room.sum()), np.int64) for _ in range(gap + 1)]
     set_ = [cell[:0] for _ in range(gap + 1)]
@@ -394,12 +443,12 @@ def _aligned(items: list[np.ndarray], sentences: list[list[tuple[int, int]]], it
             for b in before:
                 for back in range(1, gap + 1):
                     np.maximum(best, b[c - back], out=best)
-            best = np.where(best > 0, best + one, one | ((top - i) << _DOC_BITS) | at[lo:hi])
+            best = np.where(best > 0, best + one, one | ((top - i) << doc_bits) | at[lo:hi])
             now[c] = best
             some = np.flatnonzero(best >= MATCHES * one)
             if len(some):
                 best, r, k = best[some], pair[lo:hi][some], at[lo:hi][some]
-                matches, first, begin = best >> (_ITEM_BITS + _DOC_BITS), top - ((best >> _DOC_BITS) & top), best & ((1 << _DOC_BITS) - 1)
+                matches, first, begin = best >> (item_bits + doc_bits), top - ((best >> doc_bits) & top), best & ((1 << doc_bits) - 1)
                 span = i - first + 1
                 good = (matches >= agree * span) & (matches >= agree * (k - begin + 1)) & ((span >= STRETCH) | (first <= last[i][r]))
                 np.minimum.at(start[i], r[good], first[good])
