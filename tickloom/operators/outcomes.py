@@ -70,16 +70,19 @@ def summary(labels: DataFrame) -> DataFrame:
     return labels.groupBy("expiry_seconds").agg(F.count(F.lit(1)).alias("n"), *counts)
 
 
-def path_metrics(trades: DataFrame, ticks: DataFrame, hour: int = 3_600 * MICRO) -> DataFrame:
+def path_metrics(trades: DataFrame, ticks: DataFrame, step: int = 60 * MICRO) -> DataFrame:
     """Best and worst move between entry and settlement of each trade (trade_id, generation, entry_micros, settlement_micros, entry_units): trade_id, n_ticks, best_units, worst_units, best_micros, worst_micros (first times).
 
-    Ticks in (entry, settlement]. Ticks and trades meet by generation and hour; a trade is repeated for each hour it spans.
+    Ticks in (entry, settlement]. Ticks are reduced to one row a minute (`step`) with its extremes; a trade meets the minutes that it spans whole, and single ticks only in
+    the minutes of its entry and settlement.
     """
-    cut = lambda c: F.floor(c / F.lit(hour))
-    t = trades.withColumn("_hour", F.explode(F.sequence(cut(F.col("entry_micros")), cut(F.col("settlement_micros")))))
-    k = ticks.select(F.col(E).alias("_g"), "t", "units", cut(F.col("t")).alias("_hour"))
-    j = t.join(k, (t[E] == k["_g"]) & (t["_hour"] == k["_hour"]) & (k["t"] > t["entry_micros"]) & (k["t"] <= t["settlement_micros"]))
-    move = F.col("units") - F.col("entry_units")
-    return j.groupBy("trade_id").agg(F.count(F.lit(1)).alias("n_ticks"), F.max(F.struct(move.alias("m"), (-F.col("t")).alias("t"))).alias("_b"), F.min(F.struct(move.alias("m"), F.col("t").alias("t"))).alias("_w")).select(
-        "trade_id", "n_ticks", F.col("_b.m").alias("best_units"), F.col("_w.m").alias("worst_units"), (-F.col("_b.t")).alias("best_micros"), F.col("_w.t").alias("worst_micros")
-    )
+    cut = lambda c: F.floor(c / F.lit(step))
+    k = ticks.select(F.col(E).alias("_g"), "t", "units", cut(F.col("t")).alias("_m"))
+    high, low = F.struct("units", (-F.col("t")).alias("t")), F.struct("units", "t")
+    minutes = k.groupBy("_g", "_m").agg(F.count(F.lit(1)).alias("n"), F.max(high).alias("b"), F.min(low).alias("w"))
+    own = trades.select("trade_id", F.col(E).alias("_g"), "entry_micros", "settlement_micros", "entry_units", cut(F.col("entry_micros")).alias("_first"), cut(F.col("settlement_micros")).alias("_last"))
+    edge = own.withColumn("_m", F.explode(F.array_distinct(F.array("_first", "_last")))).join(k, ["_g", "_m"]).where((F.col("t") > F.col("entry_micros")) & (F.col("t") <= F.col("settlement_micros")))
+    inner = own.where("_last - _first > 1").withColumn("_m", F.explode(F.sequence(F.col("_first") + 1, F.col("_last") - 1))).join(minutes, ["_g", "_m"])
+    x = edge.select("trade_id", "entry_units", F.lit(1).cast("bigint").alias("n"), high.alias("b"), low.alias("w")).unionByName(inner.select("trade_id", "entry_units", "n", "b", "w"))
+    x = x.groupBy("trade_id").agg(F.sum("n").alias("n_ticks"), F.max("b").alias("b"), F.min("w").alias("w"), F.max("entry_units").alias("_u"))
+    return x.select("trade_id", "n_ticks", (F.col("b.units") - F.col("_u")).alias("best_units"), (F.col("w.units") - F.col("_u")).alias("worst_units"), (-F.col("b.t")).alias("best_micros"), F.col("w.t").alias("worst_micros"))

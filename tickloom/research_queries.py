@@ -405,3 +405,9 @@ SELECT delivery_id, acquisition, ordinal, digest, CAST(place AS INT) AS place, t
 WITH RECURSIVE {MARKED}, {_ONE_AT_A_TIME}
 SELECT o1.candidate, "row", o3.rn IS NOT NULL AS kept FROM o1 LEFT JOIN o3 ON o3.candidate = o1.candidate AND o3.rn = o1.rn""",
 }
+ORACLES["page_overlaps"] = ORACLES["page_ticks"].replace("SELECT delivery_id, acquisition, ordinal, digest, CAST(place AS INT) AS place, t[place + 1] AS t_millis, x[place + 1] AS price FROM r", """
+SELECT acquisition, ordinal, digest, CAST(len(v) - dropped AS BIGINT) AS n, CAST(dropped AS INT) AS dropped FROM (
+  SELECT *, CASE WHEN b IS NULL THEN 0 ELSE coalesce(list_max(list_filter(range(1, least(len(v), len(b)) + 1), lambda k: v[1 : k] = b[len(b) - k + 1 : len(b)])), 0) END AS dropped FROM (
+    SELECT *, lag(v) OVER (PARTITION BY acquisition ORDER BY ordinal NULLS FIRST, digest NULLS FIRST) AS b FROM (
+      SELECT acquisition, ordinal, digest, list({'t': t[place + 1], 'x': x[place + 1]} ORDER BY place) AS v FROM r WHERE delivery_id IN (SELECT min(delivery_id) FROM a WHERE len(t) = len(x) AND len(t) > 0 GROUP BY acquisition, ordinal, digest) GROUP BY 1, 2, 3)))
+WHERE len(v) > dropped""")
