@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.prices import bps_change, gap_class, interval_open, ladder, six
+from ..session import written
 from .stream import MICRO, E
 
 
@@ -370,7 +371,11 @@ def _carried(s: Settings):
 
 
 def carried(c: DataFrame, s: Settings = SETTINGS) -> DataFrame:
-    """Moving averages, trend legs and what becomes of breakouts, joined to the rows; needs rolling(), adjacency() and swings()."""
+    """Moving averages, trend legs and what becomes of breakouts, joined to the rows; needs rolling(), adjacency() and swings().
+
+    The rows are written once, for they are read for the recurrences and again for the join.
+    """
+    c = written(c, "windowed")
     cols = c.select(
         E, "ordinal", F.col("clean_segment_index").alias("segment"), F.col("clean_segment_candle_index").alias("in_segment"), F.col("close_units").cast("double").alias("close"), F.col("candle_direction").alias("direction"), F.col("directional_state").alias("state"),
         F.col("breakout_up").alias("up"), F.col("breakout_down").alias("down"), F.col("last_swing_high_units").cast("double").alias("high"), F.col("last_swing_low_units").cast("double").alias("low"), F.col("_row").alias("row"), F.col("close_micros").alias("closed"),

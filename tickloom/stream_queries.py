@@ -181,7 +181,7 @@ def regime(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _features(spark: SparkSession, d: str) -> DataFrame:
-    moved = _moved(spark, d)
+    moved = written(_moved(spark, d), "moved")
     return fe.features(st.candles(moved, moved=moved), fe.tick_path(moved))
 
 
