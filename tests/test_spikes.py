@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from tickloom.operators import spikes
+from tickloom.operators import shards, spikes
 
 SCHEMA = "series string, entity string, t bigint, u double, row_id bigint"
 
@@ -114,3 +114,26 @@ def test_rows_of_both_tables(spark):
     gens = spark.createDataFrame([], "generation string, price_scale int")
     candles = spark.createDataFrame([("g", None, 1, 5, 9), ("g", None, 2, 7, 6)], "generation string, open_time_micros timestamp, candle_id bigint, high_units bigint, low_units bigint")
     assert [tuple(r) for r in spikes.implausible_rows(ticks, gens, candles).collect()] == [("candles", 1, "crossed")]
+
+
+def test_many_series_go_through_the_driver_in_small_tables_only(spark, monkeypatch):
+    sent, send = [], shards.F.broadcast
+    monkeypatch.setattr(shards.F, "broadcast", lambda df: sent.append(df) or send(df))
+    rows = spark.range(20_000).selectExpr("'s' as series", "concat(repeat('e', 500), id div 2) as entity", "id as t", "if(id = 7, -1.0d, 5.0d) as u", "id as row_id")
+    assert [tuple(r) for r in spikes.implausible(rows).collect()] == [("s", 7, "impossible")]
+    assert all(shards.fits(df, max_bytes=4 << 20) for df in sent)
+
+
+def test_series_that_are_not_broadcast_give_the_same(spark, monkeypatch):
+    rows = walk(400, 1, "a") + walk(150, 2, None, 1_000) + walk(30, 3, "c", 2_000)
+    for k in (0, 99, 100, 101, 199, 200, 300, 399, 450, 549, 560):
+        rows[k][3] += 700
+    for k in range(220, 260):
+        rows[k][3] = rows[220][3]
+    rows[320][3], rows[321][3] = -1.0, float("nan")
+    rows.append(["s", "a", 300 * 1_000_000, rows[300][3], 3_000])
+    want = flagged(spark, rows)
+    assert {r for _, r in want} == {"spike", "still", "impossible"}
+    monkeypatch.setattr(spikes, "fits", lambda *_, **__: False)
+    monkeypatch.setattr(shards, "fits", lambda *_, **__: False)
+    assert flagged(spark, rows) == want
